@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import splitting, variants
+from docloom.llm import mapping, privacy, splitting, variants
 from docloom.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,40 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_words(read(spark, sf_dir, "examples"), "example_id", labels="labels")
 
 
+_pii_mentions = "category in ('Name', 'Admission_Number') and value is not null"
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First position of every personal item in examples and mentions."""
+    examples = spread(read(spark, sf_dir, "examples").select("example_id", "words").where("words is not null"))
+    mentions = read(spark, sf_dir, "mentions").where(_pii_mentions).select("mention_id", "value", "category")
+    in_words = privacy.find_in_words(examples, "example_id").withColumn("src", F.lit("examples"))
+    in_values = privacy.find_in_values(mentions, "mention_id", "value", F.col("category") == "Name").withColumn("src", F.lit("mentions"))
+    return in_words.unionByName(in_values).select("src", "row_id", "kind", F.col("start").alias("start_pos")).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with a placeholder for each item."""
+    examples = spread(read(spark, sf_dir, "examples").select("example_id", "words").where("words is not null"))
+    mentions = read(spark, sf_dir, "mentions").where(_pii_mentions).select("mention_id", "value", "category")
+    words = privacy.redact_words(examples).select(F.lit("examples").alias("src"), F.col("example_id").alias("row_id"), F.array_join("words", " ").alias("redacted"))
+    values = privacy.redact_values(mentions, "value", F.col("category") == "Name")
+    return words.unionByName(values.select(F.lit("mentions").alias("src"), F.col("mention_id").alias("row_id"), F.col("value").alias("redacted")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions that are not letter for letter an entry of their list, mapped."""
+    gazetteer = read(spark, sf_dir, "gazetteer")
+    mapped = mapping.map_mentions(read(spark, sf_dir, "mentions"), gazetteer)
+    return mapped.join(gazetteer.select("list_name", "value"), ["list_name", "value"], "left_anti").select("mention_id", "list_pos").distinct()
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry, with their number of mentions."""
+    mapped = mapping.map_mentions(read(spark, sf_dir, "mentions"), read(spark, sf_dir, "gazetteer"))
+    return mapped.where("list_pos = -1").groupBy("list_name", "value").agg(F.count("*").alias("mentions"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = read(spark, sf_dir, "examples").where("words is not null")
     mentions = read(spark, sf_dir, "mentions").where("category = 'Department'")
