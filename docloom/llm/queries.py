@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mapping, privacy, splitting, variants
+from docloom.llm import mapping, overlap, privacy, splitting, variants
 from docloom.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,22 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_words(read(spark, sf_dir, "examples"), "example_id", labels="labels")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a dev or test example of (nearly) equal text."""
+    pairs = overlap.overlaps(read(spark, sf_dir, "examples"))
+    a, b = F.col("example_train"), F.col("example_eval")
+    return pairs.select(F.least(a, b).alias("example_a"), F.greatest(a, b).alias("example_b")).distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and pair of sources."""
+    pairs = overlap.overlaps(read(spark, sf_dir, "examples"))
+    return pairs.groupBy("split", "source_eval", "source_train").agg(
+        F.count("*").alias("pairs"), F.count_distinct("example_eval").alias("evaluation_examples"),
+        F.sum(F.when(F.col("distance") == 0, 1).otherwise(0)).alias("equal_pairs"),
+    )
+
+
 _pii_mentions = "category in ('Name', 'Admission_Number') and value is not null"
 
 
