@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mapping, overlap, privacy, splitting, variants
+from docloom.llm import leakage, mapping, overlap, privacy, spam, splitting, variants
 from docloom.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,5 +93,29 @@ def p6_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items they give away."""
+    return leakage.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents that give them away."""
+    leaks = leakage.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+    items = read(spark, sf_dir, "eval_items").select("item_id", "split", "task")
+    return leaks.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("share").alias("largest_share")).join(items, "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which three quarters are keywords, links or tags."""
+    return spam.find_stuffed(read(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stuffed pages per source."""
+    documents = read(spark, sf_dir, "documents")
+    found = spam.find_stuffed(documents)
+    return documents.select("doc_id", "source").join(found, "doc_id").groupBy("source").agg(F.count("*").alias("pages"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
