@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from docloom.operators import nested
+from docloom.session import read
+
+
+def p4_found(spark, sf_dir):
+    """Every box in the payloads with the path of indices that leads to it."""
+    return nested.boxes(read(spark, sf_dir, "ocr_raw")).select("raw_id", "box_path").distinct()
+
+
+def p4_responses(spark, sf_dir):
+    return nested.responses(read(spark, sf_dir, "ocr_raw"))
+
+
+def p4_boxes(spark, sf_dir):
+    return nested.boxes(read(spark, sf_dir, "ocr_raw"))
+
+
+def p4_points(spark, sf_dir):
+    return nested.points(read(spark, sf_dir, "ocr_raw"))
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p4_found, p4_responses, p4_boxes, p4_points)}
 
 
 def oracle_sql() -> dict[str, str]:
