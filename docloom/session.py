@@ -33,7 +33,12 @@ def build_session(master: str | None = None, app: str = "docloom", **conf: str)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One table of a data folder (a Parquet file or a folder of them)."""
+    """One table of a data folder (a Parquet file or a folder of them).
+
+    Texts run to tens of thousands of characters, so Arrow batches are kept
+    smaller than Spark's default of 10,000 rows unless the session says so."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
