@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import leakage, mapping, overlap, privacy, spam, splitting, variants
+from docloom.llm import leakage, mapping, overlap, packing, privacy, spam, splitting, variants
 from docloom.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,26 @@ def p6_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and slot of every piece of every document."""
+    return packing.pack(packing.count_tokens(read(spark, sf_dir, "documents")))
+
+
+def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens and the room left over, in all."""
+    bins = p7_packed(spark, sf_dir).where("bin_id is not null").groupBy("bin_id").agg(F.sum("n_tokens").alias("tokens"))
+    return bins.agg(
+        F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"),
+        (1 - F.sum("tokens") / (F.count("*") * 2048)).alias("room_left"),
+    )
+
+
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed training sequences."""
+    documents = read(spark, sf_dir, "documents")
+    return packing.packed_sequences(documents, packing.pack(packing.count_tokens(documents)))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     return leakage.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
