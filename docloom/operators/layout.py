@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_doc = Window.partitionBy("doc_id")
-_input = _doc.orderBy("box_idx")
+
+def _doc():
+    return Window.partitionBy("doc_id")
+
+
+def _input():
+    """Boxes of a document in input order."""
+    return _doc().orderBy("box_idx")
 
 
 def geometry(boxes: DataFrame) -> DataFrame:
@@ -34,20 +40,20 @@ def corners(points: DataFrame) -> DataFrame:
 def rows_by_previous(geo: DataFrame) -> DataFrame:
     """Adds ``row_id``: a box begins a row iff its top is not above the middle of
     the box before it in input order."""
-    prev = F.lag("avg_y").over(_input)
-    return geo.withColumn("row_id", F.sum((F.coalesce(F.col("min_y") >= prev, F.lit(False))).cast("int")).over(_input))
+    prev = F.lag("avg_y").over(_input())
+    return geo.withColumn("row_id", F.sum((F.coalesce(F.col("min_y") >= prev, F.lit(False))).cast("int")).over(_input()))
 
 
 def rows_by_font(geo: DataFrame) -> DataFrame:
     """Adds ``row_id``: a box begins a row iff its middle lies a font size or more
     below the middle of the box before; the font size is the mean height of the
     three boxes around (of the last box: of the ones around its predecessor)."""
-    font = F.avg("height").over(_input.rowsBetween(-1, 1))
+    font = F.avg("height").over(_input().rowsBetween(-1, 1))
     g = geo.withColumn("__font", font)
-    last = F.lead("box_idx").over(_input).isNull()
-    g = g.withColumn("__font", F.when(last, F.coalesce(F.lag("__font").over(_input), F.col("__font"))).otherwise(F.col("__font")))
-    begins = F.coalesce(F.col("avg_y") >= F.lag("avg_y").over(_input) + F.col("__font"), F.lit(False))
-    return g.withColumn("row_id", F.sum(begins.cast("int")).over(_input)).drop("__font")
+    last = F.lead("box_idx").over(_input()).isNull()
+    g = g.withColumn("__font", F.when(last, F.coalesce(F.lag("__font").over(_input()), F.col("__font"))).otherwise(F.col("__font")))
+    begins = F.coalesce(F.col("avg_y") >= F.lag("avg_y").over(_input()) + F.col("__font"), F.lit(False))
+    return g.withColumn("row_id", F.sum(begins.cast("int")).over(_input())).drop("__font")
 
 
 def font_size(geo: DataFrame, *keys: str) -> DataFrame:
@@ -88,7 +94,7 @@ def document_text(rows: DataFrame, ends: Column | None = None) -> DataFrame:
 def paragraph_ends(rows: DataFrame, fonts: float = 2.0) -> DataFrame:
     """Adds ``ends``: rows that stop ``fonts`` font sizes or more before the
     rightmost edge of the document end a paragraph."""
-    right = F.max("x_end").over(_doc)
+    right = F.max("x_end").over(_doc())
     return rows.withColumn("max_x", right).withColumn("ends", F.col("max_x") - F.col("x_end") >= fonts * F.col("font"))
 
 
@@ -96,7 +102,7 @@ def paragraphs_by_edge(rows: DataFrame, keep_tail: bool = False) -> DataFrame:
     """Adds ``para`` and ``para_pos``: within a paragraph rows are ordered by right
     edge. An unfinished last paragraph is lost unless ``keep_tail``."""
     marked = paragraph_ends(rows)
-    before = _doc.orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = _doc().orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     p = marked.withColumn("para", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
     p = p.withColumn("para_pos", F.row_number().over(Window.partitionBy("doc_id", "para").orderBy("x_end", "row_id")) - 1)
     if keep_tail:
@@ -107,7 +113,7 @@ def paragraphs_by_edge(rows: DataFrame, keep_tail: bool = False) -> DataFrame:
 def to_text(boxes: DataFrame, few: int = 3) -> DataFrame:
     """``(doc_id, text)``: the whole chain; documents of fewer than ``few`` boxes
     are strung together in input order, each box with a newline."""
-    sized = boxes.withColumn("__n", F.count("*").over(_doc))
+    sized = boxes.withColumn("__n", F.count("*").over(_doc()))
     small = sized.where(F.col("__n") < few)
     plain = F.array_sort(F.collect_list(F.struct("box_idx", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("t"))))
     short = small.groupBy("doc_id").agg(F.array_join(F.transform(plain, lambda x: x["t"]), "").alias("text"))
@@ -135,5 +141,5 @@ def columns_by_rank(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Values to columns by their order from left to right, in documents that
     have exactly as many values as there are names."""
     w = Window.partitionBy("doc_id").orderBy("x_center", "box_idx")
-    b = boxes.withColumn("__n", F.count("*").over(_doc)).where(F.col("__n") == len(names)).withColumn("__r", F.row_number().over(w))
+    b = boxes.withColumn("__n", F.count("*").over(_doc())).where(F.col("__n") == len(names)).withColumn("__r", F.row_number().over(w))
     return b.select("doc_id", "box_idx", "text", F.element_at(F.array(*map(F.lit, names)), F.col("__r")).alias("column_name"))
