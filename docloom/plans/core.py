@@ -1,8 +1,9 @@
-"""Queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators and their SQL."""
 
 from __future__ import annotations
 
 from docloom.operators import nested
+from docloom.plans import tags
 from docloom.session import read
 
 
@@ -24,8 +25,8 @@ def p4_points(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_responses, p4_boxes, p4_points)}
+    return {f.__name__: f for f in (p4_found, p4_responses, p4_boxes, p4_points)} | tags.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(tags.SQL)
