@@ -6,18 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is used
+    (an expression inside a lambda is otherwise evaluated for every element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_sum_exp(x: Column) -> Column:
     """log(sum(exp(x))) with the largest element taken out first."""
-    top = F.array_max(x)
-    return F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top
+    return let(F.array_max(x), lambda top: F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top)
 
 
 def softmax(x: Column) -> Column:
     """Stable softmax; an empty array stays empty."""
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.when(F.size(x) == 0, x).otherwise(F.transform(e, lambda v: v / total))
+    shifted = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    parts = let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
+    return F.when(F.size(x) == 0, x).otherwise(parts)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -18,12 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 16
-
+from docloom.functions.arrays import let
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+DEPTH = 16
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -36,7 +33,7 @@ def _kind(v: Column, kind: str) -> Column:
 
 def _listed(v: Column, path: str) -> Column:
     """The list at ``path``; a single object counts as a list of one."""
-    return _let(_get(v, path, "variant"), lambda x: F.coalesce(_get(x, "$", "array<variant>"), F.when(_kind(x, "OBJECT"), F.array(x))))
+    return let(_get(v, path, "variant"), lambda x: F.coalesce(_get(x, "$", "array<variant>"), F.when(_kind(x, "OBJECT"), F.array(x))))
 
 
 def parse_whole(payload: Column) -> Column:
@@ -46,7 +43,7 @@ def parse_whole(payload: Column) -> Column:
     kinds of brackets makes anything that follows an error."""
     listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}")))
-    return _let(listed, lambda x: F.when(_get(x, "$[1]", "variant").isNull() & named.isNotNull(), _get(x, "$[0]", "variant")))
+    return let(listed, lambda x: F.when(_get(x, "$[1]", "variant").isNull() & named.isNotNull(), _get(x, "$[0]", "variant")))
 
 
 def pages_of(value: Column) -> Column:
@@ -58,7 +55,7 @@ def pages_of(value: Column) -> Column:
 
 def result_of(page: Column) -> Column:
     """``result`` of a response, parsed when it is JSON text."""
-    return _let(_get(page, "$.result", "variant"), lambda x: F.when(_kind(x, "STRING"), F.try_parse_json(_get(x, "$", "string"))).otherwise(x))
+    return let(_get(page, "$.result", "variant"), lambda x: F.when(_kind(x, "STRING"), F.try_parse_json(_get(x, "$", "string"))).otherwise(x))
 
 
 def _box(box: Column, page: Column, path: Column, parent: Column, index: Column, level: int) -> Column:
@@ -88,21 +85,26 @@ def _boxes(boxes: Column, page: Column, parent: Column, depth: int, level: int =
 
 
 def _parsed(df: DataFrame, key: str, payload: str) -> DataFrame:
-    return df.where(F.col(payload).isNotNull()).select(F.col(key).alias("__key"), _let(parse_whole(F.col(payload)), pages_of).alias("__pages"))
+    return df.where(F.col(payload).isNotNull()).select(F.col(key).alias("__key"), let(parse_whole(F.col(payload)), pages_of).alias("__pages"))
 
 
-def responses(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
-    """``(key, page, error, message, n_elements)``: one row per response object."""
-    rows = F.transform(
-        "__pages",
-        lambda p, i: F.when(
-            _kind(p, "OBJECT"),
-            F.struct(
-                i.alias("page"), _get(p, "$.error", "string").alias("error"), _get(result_of(p), "$.message", "string").alias("message"),
-                F.coalesce(F.size(_listed(result_of(p), "$.info")), F.lit(0)).alias("n_elements"),
-            ),
-        ),
-    )
+def responses(df: DataFrame, key: str = "raw_id", payload: str = "payload", missing: bool = False) -> DataFrame:
+    """``(key, page, error, message, n_elements)``: one row per response object.
+
+    With ``missing``, null or non-object responses and unreadable payloads are
+    rows too, with error and message null."""
+
+    def row(p: Column, i: Column) -> Column:
+        return F.struct(
+            i.cast("int").alias("page"), _get(p, "$.error", "string").alias("error"), _get(result_of(p), "$.message", "string").alias("message"),
+            F.coalesce(F.size(_listed(result_of(p), "$.info")), F.lit(0)).alias("n_elements"),
+        )
+
+    if missing:
+        pages = let(parse_whole(F.col(payload)), pages_of)
+        rows = F.transform(F.coalesce(pages, F.array(F.lit(None).cast("variant"))), row)
+        return df.select(F.col(key), F.inline(rows))
+    rows = F.transform("__pages", lambda p, i: F.when(_kind(p, "OBJECT"), row(p, i)))
     return _parsed(df, key, payload).select(F.col("__key").alias(key), F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 

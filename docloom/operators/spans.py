@@ -66,14 +66,19 @@ def widened(start: Column, end: Column, first: Column, last: Column, reach: int
 def tightest(tokens: Column, answer: Column, start: Column, end: Column) -> Column:
     """The first shortest-from-the-left sub-span of ``[start, end]`` whose tokens
     equal ``answer``; the span itself if there is none."""
-    n = F.size(answer)
-    at = F.filter(
-        F.when(end - n + 1 >= start, F.sequence(start, end - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.slice(tokens, i + 1, n) == answer,
-    )
-    return F.when((F.size(at) > 0) & (n > 0), F.struct(F.get(at, F.lit(0)).alias("start"), (F.get(at, F.lit(0)) + n - 1).alias("end"))).otherwise(
-        F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-    )
+    none = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def search(pair: Column) -> Column:
+        t, w = pair["t"], pair["w"]
+        n = F.size(w)
+        at = F.filter(
+            F.when(end - n + 1 >= start, F.sequence(start, end - n + 1)).otherwise(F.array().cast("array<int>")),
+            # the first token is compared before a slice is taken
+            lambda i: (F.get(t, i) == F.get(w, F.lit(0))) & (F.slice(t, i + 1, n) == w),
+        )
+        return arrays.let(at, lambda a: F.when((F.size(a) > 0) & (n > 0), F.struct(F.get(a, F.lit(0)).alias("start"), (F.get(a, F.lit(0)) + n - 1).alias("end"))).otherwise(none))
+
+    return arrays.let(F.struct(tokens.alias("t"), answer.alias("w")), search)
 
 
 def _align(pred: str, text: str, lower: bool) -> str:

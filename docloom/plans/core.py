@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.operators import nested
-from docloom.plans import tags, texts
+from docloom.plans import spans, tags, texts
 from docloom.session import read
 
 
@@ -25,8 +25,8 @@ def p4_points(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_responses, p4_boxes, p4_points)} | tags.QUERIES | texts.QUERIES
+    return {f.__name__: f for f in (p4_found, p4_responses, p4_boxes, p4_points)} | tags.QUERIES | texts.QUERIES | spans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tags.SQL | texts.SQL
+    return tags.SQL | texts.SQL | spans.SQL

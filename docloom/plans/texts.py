@@ -119,7 +119,7 @@ def layout_of_responses(spark, sf_dir):
 
 
 def ocr_codes(spark, sf_dir):
-    return envelope.error_report(envelope.coded(nested.responses(read(spark, sf_dir, "ocr_raw"))))
+    return envelope.error_report(envelope.coded(nested.responses(read(spark, sf_dir, "ocr_raw"), missing=True)))
 
 
 def response_plain_text(spark, sf_dir):

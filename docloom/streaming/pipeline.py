@@ -11,7 +11,10 @@ from docloom.operators import envelope, nested
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame, per_trigger: int = 1000) -> DataFrame:
-    """A folder of Parquet files as a stream with the schema of ``like``."""
+    """A folder of Parquet files (or one file) as a stream with the schema of ``like``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"  # a pattern that only this file matches
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
