@@ -84,8 +84,9 @@ def stuffed(ended: bool, segments: list[str]) -> int:
         # question marks and the like may be sprinkled over a keyword list
         atoms = [a for a in _sep.split(body) if a]
         short = sum(map(len, atoms)) / max(1, len(atoms)) <= 7
-        least = 0.7 if _cjk.search(body) else 0.45
-        return chars if len(atoms) >= 6 and short and redundancy(body) < least else 0
+        if not _cjk.search(body):  # words are short; what counts is short "sentences"
+            return chars if len(atoms) >= 6 and chars / len(segments) < 40 and redundancy(body) < 0.45 else 0
+        return chars if len(atoms) >= 6 and short and redundancy(body) < 0.7 else 0
     fine = [s for s in segments if _lab.search(s) or _drug.search(s.rstrip())]
     good = sum(map(len, fine))
     if good * 2 >= chars:
