@@ -139,3 +139,15 @@ def points(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth:
         ),
     )
     return _all_boxes(df, key, payload, depth).select(key, "box_path", F.inline(rows)).where("x is not null or y is not null")
+
+
+def box_corners(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:
+    """As :func:`boxes` with the four corners as columns ``ax ay bx by cx cy dx dy``,
+    read in the same pass; null where a corner is missing."""
+    b = F.col("box")
+    corner = [
+        F.coalesce(_get(b, f"$.coord[{i}].{k}", "double"), _get(b, f"$.coord[{i}][{j}]", "double")).alias(f"{n}{k}")
+        for i, n in enumerate("abcd")
+        for j, k in enumerate("xy")
+    ]
+    return _all_boxes(df, key, payload, depth).select(key, "page", "box_path", "level", "box_index", _get(b, "$.text", "string").alias("text"), *corner)

@@ -109,13 +109,8 @@ def rank_columns(spark, sf_dir):
 
 def layout_of_responses(spark, sf_dir):
     """Reading-order texts of the recognised pages themselves."""
-    raw = read(spark, sf_dir, "ocr_raw")
-    b = nested.boxes(raw).where("level = 0")
-    p = nested.points(raw).join(b.select("raw_id", "page", "box_index", "box_path"), ["raw_id", "box_path"])
-    key = (F.col("raw_id") * 1000 + F.col("page")).alias("doc_id")
-    four = layout.corners(p.select(key, F.col("box_index").alias("box_idx"), "point_index", "x", "y")).dropna()
-    named = b.select(key, F.col("box_index").alias("box_idx"), "text")
-    return layout.to_text(four.join(named, ["doc_id", "box_idx"]))
+    b = nested.box_corners(read(spark, sf_dir, "ocr_raw")).where("level = 0").dropna(subset=[n + k for n in "abcd" for k in "xy"])
+    return layout.to_text(b.withColumns({"doc_id": F.col("raw_id") * 1000 + F.col("page"), "box_idx": F.col("box_index")}))
 
 
 def ocr_codes(spark, sf_dir):
