@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import spread
+from docloom.session import cut_lineage, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern of the byte-level vocabularies.
@@ -89,6 +89,7 @@ def pack(counted: DataFrame, capacity: int = 2048, shard_items: int = SHARD_ITEM
 
     ``counted`` has ``doc_id`` and ``n_tokens``. A piece of full capacity is a
     bin of its own; all others are packed shard by shard."""
+    counted = cut_lineage(counted)  # ids and lengths only; texts are read once
     total = counted.count()
     shards = max(1, -(-total // shard_items))
     n = F.col("n_tokens")
