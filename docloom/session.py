@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
     Texts run to tens of thousands of characters, so Arrow batches are kept
     smaller than Spark's default of 10,000 rows unless the session says so."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable for Python workers, once per application.
+
+    Workers do not see the driver's ``sys.path``; Spark hands the zipped package
+    to every executor, also to ones that join later."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give Python-heavy work one partition per core at least.
 
