@@ -43,11 +43,15 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _pii_mentions = "category in ('Name', 'Admission_Number') and value is not null"
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "gazetteer").where("list_name = 'place_py'")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First position of every personal item in examples and mentions."""
     examples = spread(read(spark, sf_dir, "examples").select("example_id", "words").where("words is not null"))
     mentions = read(spark, sf_dir, "mentions").where(_pii_mentions).select("mention_id", "value", "category")
-    in_words = privacy.find_in_words(examples, "example_id").withColumn("src", F.lit("examples"))
+    in_words = privacy.find_in_words(examples, "example_id", places=_places(spark, sf_dir)).withColumn("src", F.lit("examples"))
     in_values = privacy.find_in_values(mentions, "mention_id", "value", F.col("category") == "Name").withColumn("src", F.lit("mentions"))
     return in_words.unionByName(in_values).select("src", "row_id", "kind", F.col("start").alias("start_pos")).distinct()
 
@@ -56,7 +60,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts with a placeholder for each item."""
     examples = spread(read(spark, sf_dir, "examples").select("example_id", "words").where("words is not null"))
     mentions = read(spark, sf_dir, "mentions").where(_pii_mentions).select("mention_id", "value", "category")
-    words = privacy.redact_words(examples).select(F.lit("examples").alias("src"), F.col("example_id").alias("row_id"), F.array_join("words", " ").alias("redacted"))
+    words = privacy.redact_words(examples, places=_places(spark, sf_dir)).select(F.lit("examples").alias("src"), F.col("example_id").alias("row_id"), F.array_join("words", " ").alias("redacted"))
     values = privacy.redact_values(mentions, "value", F.col("category") == "Name")
     return words.unionByName(values.select(F.lit("mentions").alias("src"), F.col("mention_id").alias("row_id"), F.col("value").alias("redacted")))
 
