@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from docloom.llm.textform import TABLE, ranges
+
 P1_FOUND = """
 select example_id from examples
 where len(list_filter(words, lambda w: w is not null and trim(w) <> '')) > 254
 """
 
 
+# every code point that has another plain form; α, β, γ and μ are meant as such
+_points = set(TABLE) | set(range(0x300, 0x370)) | set(range(0x370, 0x530)) - {0x3B1, 0x3B2, 0x3B3, 0x3BC, 0x37E}
+_variant = "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in ranges(_points)) + "]"
+
+P6_FOUND = f"""
+select 'examples' as src, example_id as row_id from examples where regexp_matches(array_to_string(words, ''), '{_variant}')
+union
+select 'mentions', mention_id from mentions where category = 'Department' and regexp_matches(value, '{_variant}')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p6_found": P6_FOUND}

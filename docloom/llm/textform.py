@@ -52,17 +52,20 @@ def _table() -> dict[int, str | None]:
 TABLE = _table()
 
 
+def ranges(points: set[int]) -> list[tuple[int, int]]:
+    """Runs of consecutive code points."""
+    out: list[list[int]] = []
+    for o in sorted(points):
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return [(a, b) for a, b in out]
+
+
 def _char_class(points: set[int]) -> str:
     """A regex character class, in escapes that Java and Python share."""
-    parts, points = [], sorted(points)
-    i = 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        parts.append(f"\\u{points[i]:04x}" + (f"-\\u{points[j]:04x}" if j > i else ""))
-        i = j + 1
-    return "[" + "".join(parts) + "]"
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges(points)) + "]"
 
 
 #: Class of everything that can make a text need rewriting; texts without a
