@@ -259,9 +259,11 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, list_name: s
 
     ``reference`` has ``list_pos`` and ``value``."""
     normalize, n, check, threshold = LISTS[list_name]
-    # few bytes but much work per value: spread over the cores by number
+    # few bytes but much work per value: spread over the cores by number (not by
+    # value, which Spark would take for the partitioning that is there already
+    # and coalesce by size)
     cores = values.sparkSession.sparkContext.defaultParallelism
-    distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct().repartition(2 * cores, "value")
+    distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct().repartition(2 * cores)
     ref = reference.select(F.col("list_pos").cast("int").alias("list_pos"), F.col("value").alias("entry")).where("entry is not null")
     size = ref.count()
     found = None
