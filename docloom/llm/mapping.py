@@ -54,6 +54,7 @@ _alike = {a + b for g in LOOKALIKE for a in g for b in g if a != b}
 _doubled = re.compile(r"(.)\1+")
 WILD = "□*?口"
 _keep_han = re.compile(r"[^一-鿿A-Z0-9□*?]")
+_province = re.compile(r"^.{0,12}?(?:省|自治区)(?=.{2,}[市县区])")
 _entry = re.compile(r"^(.+?)([市县区])(?:第([一二三四五六七八九十]+))?(.+)$")
 _number = re.compile(r"^[第弟]?([一二三四五六七八九十]|[0-9]{1,2})(?=.)")
 _noise_py = re.compile(r"\(T?\d\)|\bT\d\b|\bINTL\b|\bINTERNATIONAL\b|[/ ]AIRPORT\b|#")
@@ -62,8 +63,8 @@ _digits_py = str.maketrans("0152868", "OISZBGB")
 
 
 def normalize_han(value: str) -> str:
-    s = canon(value).upper().translate(_simplify)
-    return _keep_han.sub("", s)
+    s = _keep_han.sub("", canon(value).upper().translate(_simplify))
+    return _province.sub("", s)
 
 
 def normalize_py(value: str) -> str:
@@ -251,7 +252,7 @@ class Index:
         return scored[0][2], scored[0][0], scored[1][0] if len(scored) > 1 else 9.0
 
 
-LISTS = {"hospital": (normalize_han, 2, HospitalCheck, 0.15), "place_py": (normalize_py, 2, PlaceCheck, 0.1)}
+LISTS = {"hospital": (normalize_han, 2, HospitalCheck, 0.2), "place_py": (normalize_py, 2, PlaceCheck, 0.2)}
 
 
 def map_values(values: DataFrame, value: str, reference: DataFrame, list_name: str, margin: float = 0.02, block: int = 50_000) -> DataFrame:

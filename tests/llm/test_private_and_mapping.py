@@ -100,7 +100,7 @@ def test_mapping_edges(spark):
 
 def test_prefix_filter_loses_nothing(spark):
     """Candidates of the filtered retrieval are those of a full scan."""
-    ix = mapping.Index(list(enumerate(HOSPITALS)), mapping.normalize_han, 2, mapping.HospitalCheck, 0.15, 0.02)
+    ix = mapping.Index(list(enumerate(HOSPITALS)), mapping.normalize_han, 2, mapping.HospitalCheck, 0.2, 0.02)
     full = mapping.Index(list(enumerate(HOSPITALS)), mapping.normalize_han, 2, mapping.HospitalCheck, 0.0, 0.02)
     for v in MEANT:
         s = mapping.normalize_han(v)
