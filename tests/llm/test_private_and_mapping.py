@@ -104,5 +104,5 @@ def test_prefix_filter_loses_nothing(spark):
     full = mapping.Index(list(enumerate(HOSPITALS)), mapping.normalize_han, 2, mapping.HospitalCheck, 0.0, 0.02)
     for v in MEANT:
         s = mapping.normalize_han(v)
-        want = sorted(i for c, i in full.candidates(s) if c >= 0.15) if s else []
+        want = sorted(i for c, i in full.candidates(s) if c >= 0.2) if s else []
         assert sorted(i for _, i in ix.candidates(s)) == want
