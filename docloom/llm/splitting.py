@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from docloom.llm.textform import LINE_BREAK
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: A word of nothing but white space, as ``str.strip`` sees it.
+BLANK = r"^[\s\p{Z}\u001c-\u001f\u0085]*$"
 SENTENCE_END = frozenset("。！？!?；;．…")
 CLAUSE_END = frozenset("，,、：:）)")
 
@@ -52,11 +54,14 @@ def cut(units: list[str], limit: int, overlap: int) -> list[tuple[int, int]]:
             pieces.append((start, n))
             return pieces
         least = start + overlap + 1  # a piece must add something new
-        best, end = 0, top
+        best, end = None, top
         for e in range(top, least - 1, -1):
-            if power[e - 1] > best:
-                best, end = power[e - 1], e
-                if best >= 3:
+            p = power[e - 1]
+            # a line break or sentence end, in the later half if there is one
+            key = (p >= 2, e - start >= limit // 2, p)
+            if best is None or key > best:
+                best, end = key, e
+                if p >= 3 and key[1]:
                     break
         pieces.append((start, end))
         start = end - overlap
@@ -85,7 +90,7 @@ def split_words(df: DataFrame, id_column: str, words: str = "words", limit: int
         return batch.map(lambda w: [{"start": a, "end": b} for a, b in word_spans(w, limit, overlap)])
 
     w = F.col("__w")
-    solid = F.size(F.filter(w, lambda x: F.length(F.trim(F.coalesce(x, F.lit("")))) > 0))
+    solid = F.size(F.filter(w, lambda x: ~F.coalesce(x, F.lit("")).rlike(BLANK)))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("end")))
     keep = [F.col(id_column).alias("__id"), F.col(words).alias("__w")] + ([F.col(labels).alias("__l")] if labels else [])
     out = df.select(*keep).where(w.isNotNull())
