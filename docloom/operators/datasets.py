@@ -36,11 +36,21 @@ def sampled(df: DataFrame, key: str, percent: int, seed: int = 0) -> DataFrame:
     return df.where(bucket(F.col(key), seed) < percent)
 
 
-def batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
+def batches(df: DataFrame, group: str, order: str, size: int, span: int = 65_536) -> DataFrame:
     """Adds ``batch``: consecutive rows of a group in batches of ``size``, the last
-    may be short."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int"))
+    may be short.
+
+    ``order`` is an integer column, unique within a group. Rows are numbered
+    within stretches of ``span`` keys and moved on by the counts of the
+    stretches before, so no task ever holds a whole group."""
+    cut = F.floor(F.col(order) / F.lit(span))
+    d = df.withColumn("__cut", cut)
+    before = Window.partitionBy(group).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(group, "__cut").agg(F.count("*").alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counts = counts.select(F.col(group).alias("__g"), F.col("__cut").alias("__c"), "__off")
+    number = F.col("__off") + F.row_number().over(Window.partitionBy(group, "__cut").orderBy(order)) - 1
+    joined = d.join(counts, F.col(group).eqNullSafe(F.col("__g")) & F.col("__cut").eqNullSafe(F.col("__c")))
+    return joined.select(*df.columns, F.floor(number / F.lit(size)).cast("int").alias("batch"))
 
 
 def truncated(tokens: Column, max_len: int, keep: str = "pre") -> Column:

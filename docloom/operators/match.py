@@ -10,17 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a side that may be sent to every worker; larger sides are joined by
-#: shuffle or taken in blocks.
-BROADCAST_ROWS = 50_000
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows, else as it is."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
-
-
 def containment_ratio(values: DataFrame, entries: DataFrame, inside: float = 0.6, around: float = 0.5) -> DataFrame:
     """``(value, list_pos, entry)``: the list entry meant by each distinct value.
 
@@ -29,14 +18,18 @@ def containment_ratio(values: DataFrame, entries: DataFrame, inside: float = 0.6
     ratio of ``around`` (an entry contained with too small a ratio is not tried
     the other way). Values of up to three characters mean nothing."""
     v = values.select("value").where("value is not null and length(value) > 3").distinct()
-    e = sized(entries.select(F.col("list_pos"), F.col("value").alias("entry")))
+    e = entries.select(F.col("list_pos"), F.col("value").alias("entry")).where("length(entry) >= 3")
+    # the shorter text's first three characters stand in the longer one, so the
+    # candidates come from an equi-join and nothing is compared with everything
+    of = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3))))).alias("g")
+    around_it = v.select("value", of(F.col("value"))).join(e.select("list_pos", "entry", F.substring("entry", 1, 3).alias("g")), "g")
+    within_it = v.select("value", F.substring("value", 1, 3).alias("g")).join(e.select("list_pos", "entry", of(F.col("entry"))), "g")
+    pairs = around_it.unionByName(within_it).drop("g")
     n, m = F.length("value"), F.length("entry")
     holds = F.contains("value", F.col("entry"))
     fits = (holds & (m / n >= inside)) | (~holds & F.contains(F.col("entry"), F.col("value")) & (n / m >= around))
-    hits = v.join(e, fits).groupBy("value").agg(
-        F.min_by("list_pos", F.struct((F.col("entry") != F.col("value")).cast("int"), F.col("list_pos"))).alias("list_pos")
-    )
-    return hits.join(e, "list_pos").select("value", "list_pos", "entry")
+    first = F.struct((F.col("entry") != F.col("value")).cast("int"), F.col("list_pos"))
+    return pairs.where(fits).groupBy("value").agg(F.min_by("list_pos", first).alias("list_pos"), F.min_by("entry", first).alias("entry"))
 
 
 def overlap_top(queries: DataFrame, dictionary: DataFrame, k: int = 10) -> DataFrame:

@@ -230,3 +230,16 @@ def test_splits_are_stable(spark):
 def test_helpers(spark):
     df = spark.range(10).coalesce(1)
     assert spread(df).count() == 10 and cut_lineage(df).count() == 10
+
+
+def test_batches_and_medians_in_hot_groups(spark):
+    df = spark.range(1000).select((F.col("id") * 37).alias("i"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") < 900, "x").alias("g"))
+    got = datasets.batches(df, "g", "i", 32, span=500).collect()
+    for g in ("hot", "x", None):
+        own = sorted((r.i, r.batch) for r in got if r.g == g)
+        assert [b for _, b in own] == [k // 32 for k in range(len(own))]
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("a", 1001), ("b", 10), ("c", 1)) for v in np.round(rng.normal(size=n), 2)] + [("d", 2.0)] * 5 + [("e", None), (None, 1.0)]
+    m = {r.k: r.median for r in metrics.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v", bins=16).collect()}
+    want = {k: float(np.median([v for x, v in rows if x == k])) for k in "abcd"}
+    assert {k: round(v, 9) for k, v in m.items()} == {k: round(v, 9) for k, v in want.items()}
