@@ -125,3 +125,14 @@ def confusions(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for a, b in pairs:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def shared_characters(a: Column, b: Column) -> Column:
+    """Number of distinct characters that two texts share (blanks aside)."""
+    chars = lambda x: F.filter(F.array_distinct(F.split(x, "")), lambda c: F.trim(c) != "")
+    return F.size(F.array_intersect(chars(a), chars(b)))
+
+
+def label_type(label: Column) -> Column:
+    """The type of a position tag, without its ``B- I- O- S- E-`` prefix."""
+    return F.regexp_replace(label, "^[BIOSE]-", "")

@@ -102,3 +102,10 @@ def positions(mentions: DataFrame, texts: DataFrame) -> DataFrame:
 def wide(assigned: DataFrame, categories: list[str], sep: str = "@#") -> DataFrame:
     """One row per document with a column per category, values joined by ``sep``."""
     return assigned.groupBy("doc_id").pivot("category", categories).agg(F.array_join(F.flatten(F.collect_list("values")), sep))
+
+
+def mentions_of_responses(answered: DataFrame) -> DataFrame:
+    """Answers back to mentions: ``(doc_id, task, category, pos, value)``, values
+    parted at blanks, in upper case; empty answers give none."""
+    parts = F.filter(F.split("answer", " "), lambda x: x != "")
+    return answered.select("doc_id", "task", "category", F.posexplode(parts).alias("pos", "__v")).select("doc_id", "task", "category", "pos", F.upper("__v").alias("value"))

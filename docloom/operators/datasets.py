@@ -101,3 +101,28 @@ def question_features(query: Column, tokens: Column, start: Column, size: Column
         "layout": layout, "segment_ids": arrays.padded(flat(zero, zero, zero, one, one), max_seq, 0),
         "span_mask": arrays.padded(flat(one, zero, zero, one, zero), max_seq, 0), "input_mask": arrays.padded(F.transform(layout, lambda x: one), max_seq, 0),
     }
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Adds ``place``: a random-looking order by key that is the same on any partitioning."""
+    return df.withColumn("place", bucket(F.col(key), seed, 1_000_003))
+
+
+def inherited(files: dict[str, dict[str, dict[str, str]]], name: str) -> dict[str, object]:
+    """Experiment parameters of a settings file with its ancestors' values below.
+
+    Sections are ``str_*``, ``int_*`` and ``bool_*`` for the type; ``inherit``
+    names the file whose values hold where this one has none."""
+    chain, seen = [], set()
+    while name and name not in seen:
+        seen.add(name)
+        chain.append(files[name])
+        name = files[name].get("inherit", {}).get("path", "")
+    out: dict[str, object] = {}
+    kinds = {"str": str, "int": int, "bool": lambda v: str(v).lower() in ("1", "true", "yes", "y", "t")}
+    for sections in reversed(chain):
+        for section, values in sections.items():
+            kind = kinds.get(section.split("_")[0])
+            if kind:
+                out.update({k: kind(v) for k, v in values.items()})
+    return out

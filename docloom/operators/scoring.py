@@ -68,3 +68,27 @@ def viterbi(transitions: np.ndarray, start: int | None = None, end: int | None =
         return emissions.map(one)
 
     return decode
+
+
+def sequence_loss(transitions: np.ndarray):
+    """A column function ``(emissions, labels)``: negative log-likelihood of a label
+    sequence under emission and transition scores; zero over an empty one."""
+
+    def one(rows, labels) -> float:
+        if rows is None or labels is None or not len(rows):
+            return 0.0
+        e = np.array([np.asarray(r, dtype=float) for r in rows])
+        y = np.asarray(labels, dtype=int)[: len(e)]
+        a = e[0]
+        for row in e[1:]:
+            m = a[:, None] + transitions
+            top = m.max(axis=0)
+            a = top + np.log(np.exp(m - top).sum(axis=0)) + row
+        whole = a.max() + np.log(np.exp(a - a.max()).sum())
+        return float(whole - e[np.arange(len(y)), y].sum() - transitions[y[:-1], y[1:]].sum())
+
+    @F.pandas_udf(T.DoubleType())
+    def loss(emissions: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series([one(r, y) for r, y in zip(emissions, labels)], dtype=float)
+
+    return loss

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import assign, bio, metrics
+from docloom.functions import text as tx
+from docloom.operators import assign, bio, datasets, metrics
 from docloom.schemas import task_categories, task_categories_sql
 from docloom.session import read
 from docloom.sources import readers, sinks
@@ -208,6 +209,28 @@ def label_dimension(spark, sf_dir):
     return lab.select("task", F.posexplode(readers.labels_of(F.col("text"))).alias("label_id", "label"))
 
 
+def label_types(spark, sf_dir):
+    lab = tx.label_type(F.col("label"))
+    return tokens(spark, sf_dir).groupBy(lab.alias("kind")).agg(F.count("*").alias("tokens"), F.avg(F.length("token")).alias("mean_length"))
+
+
+def fuzzy_headers(spark, sf_dir):
+    """Values that share two characters with a header word."""
+    m = read(spark, sf_dir, "mentions").where("value is not null and category in ('Check_Part', 'Conclusion', 'dis_diag')")
+    n = tx.shared_characters(F.col("value"), F.lit("左侧骨折"))
+    return m.where(n >= 2).select("mention_id", n.alias("shared"))
+
+
+def mentions_of_responses(spark, sf_dir):
+    m = read(spark, sf_dir, "mentions").where("doc_id is not null and task = 'boardcards'")
+    back = assign.mentions_of_responses(assign.answers(assign.by_category(m, task_categories(spark))))
+    return back.groupBy("category", "value").agg(F.count("*").alias("n"))
+
+
+def shuffled_order(spark, sf_dir):
+    return datasets.shuffled(read(spark, sf_dir, "examples").select("example_id"), "example_id", seed=42)
+
+
 def latency_stats(spark, sf_dir):
     s = metrics.latency(read(spark, sf_dir, "events"), "event_type", "value")
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), "least", "most", "median")
@@ -218,7 +241,7 @@ QUERIES = {
     for f in (
         bio_decode, bio_typed_offsets, bio_id_merge, prf_by_category, prf_duplicates, prf_strict, prf_gated, token_accuracy, entity_exact, label_diff, error_class,
         mentions_by_category, unknown_categories, first_seen, containment_dedup, case_variant_dedup, train_values_out, answers_wide, response_json, packed_mentions,
-        value_positions, tagged_round_trip, predicted_lines, label_dimension, latency_stats,
+        value_positions, tagged_round_trip, predicted_lines, label_dimension, label_types, fuzzy_headers, mentions_of_responses, shuffled_order, latency_stats,
     )
 }
 
@@ -297,6 +320,11 @@ FROM tok WHERE length(trim(token)) > 0 AND NOT contains(token, ' ') GROUP BY doc
     "predicted_lines": f"""WITH {TOK}, {PRED} SELECT doc_id, count(*) AS lines, count(*) FILTER (label LIKE 'B-%') AS begins FROM ptok WHERE pos < 126 GROUP BY doc_id""",
     "label_dimension": """WITH l AS (SELECT task, label, row_number() OVER (PARTITION BY task ORDER BY label_id) - 1 AS i, max(CASE WHEN label = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY task) AS has FROM label_list)
 SELECT task, (i + 1 - has)::INTEGER AS label_id, label FROM l UNION ALL SELECT DISTINCT task, 0, 'O' FROM l WHERE has = 0""",
+    "label_types": f"WITH {TOK} SELECT regexp_replace(label, '^[BIOSE]-', '') AS kind, count(*) AS tokens, avg(length(token)) AS mean_length FROM tok GROUP BY ALL",
+    "fuzzy_headers": """SELECT mention_id, len(list_intersect(list_distinct(string_split(value, '')), ['左', '侧', '骨', '折']))::INTEGER AS shared FROM mentions
+WHERE category IN ('Check_Part', 'Conclusion', 'dis_diag') AND len(list_intersect(list_distinct(string_split(value, '')), ['左', '侧', '骨', '折'])) >= 2""",
+    "mentions_of_responses": """SELECT category, v AS value, count(*) AS n FROM (SELECT category, unnest(string_split(upper(value), ' ')) AS v FROM mentions WHERE doc_id IS NOT NULL AND task = 'boardcards') WHERE v <> '' GROUP BY ALL""",
+    "shuffled_order": "SELECT example_id, (((example_id + 42) % 1000003 * 2654435761) % 1000003)::INTEGER AS place FROM examples",
     "latency_stats": """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS median
 FROM events WHERE value IS NOT NULL GROUP BY event_type""",
 }

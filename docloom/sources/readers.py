@@ -65,6 +65,14 @@ def read_pairs(spark: SparkSession, path: str, with_source: bool = False) -> Dat
     return df.select(*[F.regexp_replace(n, "^ | $", "").alias(n) if n != "source" else F.col(n) for n in names])
 
 
+def read_id_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated ``path, spaced text``: ``(id, text)``, the id from the file
+    name without its suffix, the text without blanks."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
+    df = spark.read.csv(path, sep="\t", schema=schema, quote="")
+    return df.select(F.regexp_extract("path", r"([0-9a-z]+)\.txt\.ann", 1).alias("id"), F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+
+
 def labels_of(text: Column, with_outside: bool = True) -> Column:
     """Labels of a list text in order, ``O`` put first if it is missing."""
     found = F.filter(F.split(text, "\n"), lambda x: x != "")

@@ -243,3 +243,20 @@ def test_batches_and_medians_in_hot_groups(spark):
     m = {r.k: r.median for r in metrics.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v", bins=16).collect()}
     want = {k: float(np.median([v for x, v in rows if x == k])) for k in "abcd"}
     assert {k: round(v, 9) for k, v in m.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_sequence_loss_against_brute_force(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    e, t = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+    score = lambda p: sum(e[i, s] for i, s in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))
+    want = np.log(sum(np.exp(score(p)) for p in product(range(2), repeat=3))) - score((0, 1, 1))
+    df = spark.createDataFrame([(e.tolist(), [0, 1, 1]), ([], [])], "e array<array<double>>, y array<int>")
+    got = [r[0] for r in df.select(scoring.sequence_loss(t)("e", "y")).collect()]
+    assert abs(got[0] - want) < 1e-9 and got[1] == 0
+
+
+def test_inherited_settings():
+    files = {"a": {"inherit": {"path": "b"}, "int_x": {"n": "3"}}, "b": {"int_x": {"n": "1", "m": "2"}, "bool_x": {"on": "True"}, "str_x": {"s": "t"}}}
+    assert datasets.inherited(files, "a") == {"n": 3, "m": 2, "on": True, "s": "t"}

@@ -86,3 +86,8 @@ def test_repeated_deliveries_and_late_windows(spark, data, tmp_path):
     out = str(tmp_path / "once")
     pipeline.run(pipeline.once(stream, ["doc_id"]).select("raw_id", "doc_id"), out, out + "-log")
     assert spark.read.parquet(out).count() == like.select("doc_id").distinct().count()
+
+
+def test_id_texts(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("/a/b/12ab.txt.ann\tx y z\n")
+    assert tuple(readers.read_id_texts(spark, str(tmp_path / "x.tsv")).first()) == ("12ab", "xyz")
