@@ -37,10 +37,14 @@ from docloom.llm.textform import canon
 TRADITIONAL = (
     "醫院縣區婦專傷腫溝灣關島橋鷺鶴澤煥礪螢鐸鵑磯駿鷗驪灘葦埡鏡澗嶼鯤漣霧嵐蓮鰲鰻蟬鸞塢霽瀟錦鐘鍾燁閣燦鷹壩絳楓鈞巒澱"
     "衛總術藥療診門東華龍馬蘇陽陰鄉鎮廣慶寧濟協軍學體綜國漢鄭劉陳張趙號眾與長開滬濱遼韋內圓廈濰綿賓萬"
+    "嶺園莊圍窪漁鴻鳳蘆蘭楊樺灤瀝滄溫潤璣瓊綠綺蒼薊譚贛遠遙鈺銀雙雲靈飛騰驛魯鯉鱗鳥麗黃齊壟嶗嶠巖峽岡崗廬恆撫暉曉棟"
+    "棲樂樓欒涇淶淺滸潔煒瑤瑩羅臨荊萊葉蕭藍觀豐輝邊鐵隴順風"
 )
 SIMPLIFIED = (
     "医院县区妇专伤肿沟湾关岛桥鹭鹤泽焕砺萤铎鹃矶骏鸥骊滩苇垭镜涧屿鲲涟雾岚莲鳌鳗蝉鸾坞霁潇锦钟钟烨阁灿鹰坝绛枫钧峦淀"
     "卫总术药疗诊门东华龙马苏阳阴乡镇广庆宁济协军学体综国汉郑刘陈张赵号众与长开沪滨辽韦内圆厦潍绵宾万"
+    "岭园庄围洼渔鸿凤芦兰杨桦滦沥沧温润玑琼绿绮苍蓟谭赣远遥钰银双云灵飞腾驿鲁鲤鳞鸟丽黄齐垄崂峤岩峡冈岗庐恒抚晖晓栋"
+    "栖乐楼栾泾涞浅浒洁炜瑶莹罗临荆莱叶萧蓝观丰辉边铁陇顺风"
 )
 # Characters that readers of scans take for one another.
 LOOKALIKE = ("人入八", "民氏", "医匡臣区", "院完皖阮", "中申", "科料", "骨胃", "专传", "眼银", "肿肺", "瘤榴", "妇归", "幼幻", "保俣", "第弟", "市帀巿", "县具", "土士", "日曰", "己已巳", "未末")
