@@ -1,20 +1,18 @@
 """Problem 5: equal or nearly equal records across splits.
 
-Edit-distance segment join: evaluation texts are cut into segments, training
-texts are searched for equal substrings at allowed positions, and each
-candidate pair is verified with a bit-parallel edit distance that stops beyond
-the bound. Copies are folded first: the join runs over distinct texts, members
-are attached at the end.
-
-* Texts under ``SHORT`` characters: disjoint segments of three characters, of
-  which any k+1 hold an untouched one (pigeonhole, no pair is lost).
-* Longer texts: at a budget of a fifth, k+1 disjoint segments would be under
-  five characters and match everywhere, so segments of ``WIDTH`` characters are
-  cut at positions that their own content selects (the same on both sides, one
-  in ``PICK``). Of the segments that occur in training texts at all, the rarest
-  of a text are looked up, one for every ``share + PICK`` characters. Texts of ``LONG`` characters or more must
-  share segments in one stretch of twelve characters per ``STRETCH`` characters
-  (two at least): with a fifth of random errors five times as many are expected.
+Two exact ways to candidate pairs, each of which is verified with a bit-parallel
+edit distance that stops beyond the bound; neither can lose a pair. Copies are
+folded first: the join runs over distinct texts, members are attached at the end.
+
+* Evaluation texts under ``SHORT`` characters: edit-distance segment join.
+  Disjoint segments of three characters, of which any k+1 hold an untouched one
+  (pigeonhole); training texts are searched for the rarest at allowed positions.
+* Longer texts: at a budget of a fifth, k+1 disjoint segments are under five
+  characters and match everywhere, and fewer or sampled ones lose pairs. So
+  texts of lengths that can agree meet in blocks, and a pair is verified when it
+  has enough characters in common: each edit spares all but one character of
+  the longer text, so ``longer - k`` at least. The common characters of all pairs
+  of two blocks are one matrix product. Work grows with the product of both sides.
 
 Defined results: null or short texts (under ``least_words`` non-blank words)
 take no part; equal texts have distance 0; a pair is reported once, smaller id
@@ -36,7 +34,10 @@ from docloom.llm.splitting import BLANK
 from docloom.llm.textform import LINE_BREAK, canon
 from docloom.session import cut_lineage, spread
 
-SHORT, LONG, WIDTH, PICK, STRETCH = 48, 100, 6, 3, 60
+#: Evaluation texts under ``SHORT`` characters take the segment join. Longer ones
+#: meet in blocks of about ``BLOCK`` texts, whose lengths differ by a factor of
+#: ``CLASS`` at most; ``KEPT`` characters of two blocks are compared one by one.
+SHORT, BLOCK, CLASS, KEPT = 48, 2048, 1.12, 1024
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 2**63, size=32, dtype=np.uint64) | np.uint64(1)
 
@@ -104,22 +105,16 @@ def within(a: str, b: str, k: int) -> int:
     return score
 
 
-def _segments(evaluation: bool, share: int):
+def _segments(evaluation: bool):
     """Kernel that emits ``gram, rep, pos, len`` of the texts of one side."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
             for rep, text in zip(batch["rep"].to_numpy(), batch["text"]):
-                n = len(text)
-                if n < SHORT if evaluation else n * (share - 1) <= SHORT * share:
-                    h = rolling(text, 3)
-                    at = np.arange(0, len(h), 3 if evaluation else 1)
-                    parts.append((h[at] ^ np.int64(3), at, rep, n))
-                if n >= SHORT if evaluation else n * share >= SHORT * (share - 1):
-                    h = rolling(text, WIDTH)
-                    at = np.flatnonzero(h % PICK == 0)
-                    parts.append((h[at], at, rep, n))
+                h = rolling(text, 3)
+                at = np.arange(0, len(h), 3 if evaluation else 1)
+                parts.append((h[at], at, rep, len(text)))
             if parts:
                 size = [len(p[1]) for p in parts]
                 yield pd.DataFrame({
@@ -168,38 +163,124 @@ def labelled_texts(examples: DataFrame, least_words: int = 10) -> DataFrame:
     return spread(e).select("example_id", split_of(F.col("path"), F.col("guid")).alias("split"), "source", _comparable("words").alias("text")).where("split is not null and text <> ''")
 
 
-def near_texts(texts: DataFrame, share: int = 5) -> DataFrame:
-    """``(rep_eval, rep_train, distance, longer)`` of distinct texts, one of each
-    side, that need changes in at most one of ``share`` characters of the longer.
+def _marks(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, mark)`` of every character; a mark is a character and its how-manieth in the text."""
+    row = np.repeat(np.arange(len(texts)), texts.str.len().to_numpy(dtype=np.int64))
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    return row, code << 40 | nth
+
+
+def _alike(a: pd.Series, b: pd.Series, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` whose texts have enough characters in common.
+
+    The marks that most pairs may share are compared one by one; of the others,
+    as many count as common as the text with fewer of them holds."""
+    (row_a, mark_a), (row_b, mark_b) = _marks(a), _marks(b)
+    in_a, count_a = np.unique(mark_a, return_counts=True)
+    in_b, count_b = np.unique(mark_b, return_counts=True)
+    both, at_a, at_b = np.intersect1d(in_a, in_b, assume_unique=True, return_indices=True)
+    kept = np.sort(both[np.argsort(-count_a[at_a] * count_b[at_b], kind="stable")[:KEPT]])
+
+    def matrix(n: int, row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, shared = np.zeros((n, len(kept)), dtype=np.float32), np.isin(mark, kept)
+        out[row[shared], np.searchsorted(kept, mark[shared])] = 1
+        # marks that the other block has not at all are no character in common
+        return out, np.bincount(row[~shared & np.isin(mark, both)], minlength=n)
+
+    (x, rest_a), (y, rest_b) = matrix(len(a), row_a, mark_a), matrix(len(b), row_b, mark_b)
+    len_a, len_b = a.str.len().to_numpy(), b.str.len().to_numpy()
+    found = []
+    for at in range(0, len(a), 256):
+        part = slice(at, at + 256)
+        longer = np.maximum(len_a[part, None], len_b)
+        k = longer // share
+        common = x[part] @ y.T + np.minimum(rest_a[part, None], rest_b)
+        i, j = np.nonzero((common >= longer - k) & (np.abs(len_a[part, None] - len_b) <= k))
+        found.append((i + at, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+_NEAR = "rep_eval bigint, rep_train bigint, distance int, longer int"
+
+
+def _verify_blocks(share: int):
+    """Kernel that compares a block of evaluation texts with one of training texts."""
+
+    def run(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(e) and len(t):
+            for i, j in zip(*_alike(e["e_text"], t["t_text"], share)):
+                a, b = e["e_text"].iat[i], t["t_text"].iat[j]
+                longer = max(len(a), len(b))
+                if e["e_rep"].iat[i] != t["t_rep"].iat[j] and (d := within(a, b, longer // share)) <= longer // share:
+                    out.append((e["e_rep"].iat[i], t["t_rep"].iat[j], d, longer))
+        return pd.DataFrame(out, columns=["rep_eval", "rep_train", "distance", "longer"])
 
-    ``texts`` has ``rep`` (unique), ``text``, ``in_train``, ``in_eval``."""
-    of_eval = texts.where("in_eval").select("rep", "text").mapInPandas(_segments(True, share), _SEGMENT)
-    of_train = texts.where("in_train").select("rep", "text").mapInPandas(_segments(False, share), _SEGMENT)
+    return run
+
+
+def _near_long(of_eval: DataFrame, of_train: DataFrame, share: int) -> DataFrame:
+    """Pairs of texts of any length: every block of one side meets every block of
+    the other whose lengths come close enough."""
+
+    def classed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        texts = texts.withColumn("class", F.floor(F.log(F.length("text")) / float(np.log(CLASS))).cast("int"))
+        sizes = texts.groupBy("class").agg(F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        return texts, sizes
+
+    (e, of_e), (t, of_t) = classed(of_eval), classed(of_train)
+    names = ["class", "least", "most", "blocks"]
+    of_e, of_t = of_e.withColumnsRenamed({c: f"e_{c}" for c in names}), of_t.withColumnsRenamed({c: f"t_{c}" for c in names})
+    # one row for each pair of classes, some hundreds at most
+    meet = F.broadcast(of_e.join(of_t, (F.col("e_most") * share >= F.col("t_least") * (share - 1)) & (F.col("t_most") * share >= F.col("e_least") * (share - 1))))
+
+    def dealt(texts: DataFrame, own: str, other: str) -> DataFrame:
+        rows = texts.withColumnRenamed("class", f"{own}_class").join(meet, f"{own}_class")
+        rows = rows.withColumn(f"{own}_block", F.pmod(F.xxhash64("rep"), F.col(f"{own}_blocks")).cast("int"))
+        rows = rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        return rows.select(*(F.col(c).alias(f"{own}_{c}") for c in [*key, "rep", "text"]))
+
+    key = ["e_class", "e_block", "t_class", "t_block"]
+    left, right = (dealt(*a).groupBy(*(f"{a[1]}_{c}" for c in key)) for a in ((e, "e", "t"), (t, "t", "e")))
+    return left.cogroup(right).applyInPandas(_verify_blocks(share), _NEAR)
+
+
+def _near_short(texts: DataFrame, share: int) -> DataFrame:
+    """Pairs of evaluation texts under ``SHORT`` characters, by segments."""
+    size = F.length("text")
+    of_eval = texts.where(F.col("in_eval") & (size < SHORT)).select("rep", "text").mapInPandas(_segments(True), _SEGMENT)
+    of_train = texts.where(F.col("in_train") & (size * (share - 1) <= SHORT * share)).select("rep", "text").mapInPandas(_segments(False), _SEGMENT)
     commonness = of_train.groupBy("gram").agg(F.count("*").alias("often"))
     w = Window.partitionBy("rep").orderBy("often", "gram", "pos")
-    # a partner of a short text may be longer, up to len * share / (share - 1);
-    # of a long text, with a fifth of random errors, one segment in 3 * PICK or so
-    # survives, so that many of the rarest are enough
-    budget = F.floor(F.col("len") / F.when(F.col("len") < SHORT, F.lit(share - 1)).otherwise(F.lit(share + PICK))).cast("int")
+    # a partner may be longer, up to len * share / (share - 1)
+    budget = F.floor(F.col("len") / (share - 1)).cast("int")
     chosen = of_eval.join(commonness, "gram").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= budget + 1)
     e = chosen.select("gram", F.col("rep").alias("rep_eval"), F.col("pos").alias("pe"), F.col("len").alias("le"))
     t = of_train.select("gram", F.col("rep").alias("rep_train"), F.col("pos").alias("pt"), F.col("len").alias("lt"))
     longer = F.greatest("le", "lt")
     k = F.floor(longer / share).cast("int")
-    shift = F.col("pe") - F.col("pt")
-    hits = e.join(t, "gram").where((F.abs(F.col("le") - F.col("lt")) <= k) & (F.abs(shift) <= k) & (F.col("rep_eval") != F.col("rep_train")))
-    # distinct stretches of the evaluation text that hit, as a bit mask
-    stretch = F.bit_or(F.expr(f"shiftleft(1L, cast(floor(pe / {2 * WIDTH}) % 64 as int))"))
-    shared = hits.groupBy("rep_eval", "rep_train", "le", "lt").agg(F.bit_count(stretch).alias("stretches"))
-    need = F.least(F.greatest(F.floor(F.col("le") / STRETCH), F.lit(2)), F.lit(24))
-    enough = (F.col("le") < LONG) | (F.col("stretches") >= need)
-    pairs = shared.where(enough).select("rep_eval", "rep_train", longer.alias("longer"), k.alias("k"))
+    hits = e.join(t, "gram").where((F.abs(F.col("le") - F.col("lt")) <= k) & (F.abs(F.col("pe") - F.col("pt")) <= k) & (F.col("rep_eval") != F.col("rep_train")))
+    pairs = hits.select("rep_eval", "rep_train", longer.alias("longer"), k.alias("k")).distinct()
     body = texts.select("rep", "text")
     pairs = pairs.join(body.withColumnsRenamed({"rep": "rep_eval", "text": "text_eval"}), "rep_eval")
     pairs = pairs.join(body.withColumnsRenamed({"rep": "rep_train", "text": "text_train"}), "rep_train")
     return pairs.withColumn("distance", _distance("text_eval", "text_train", "k")).where("distance <= k").select("rep_eval", "rep_train", "distance", "longer")
 
 
+def near_texts(texts: DataFrame, share: int = 5) -> DataFrame:
+    """``(rep_eval, rep_train, distance, longer)`` of distinct texts, one of each
+    side, that need changes in at most one of ``share`` characters of the longer.
+
+    ``texts`` has ``rep`` (unique), ``text``, ``in_train``, ``in_eval``."""
+    long_eval = texts.where(F.col("in_eval") & (F.length("text") >= SHORT)).select("rep", "text")
+    long_train = texts.where(F.col("in_train") & (F.length("text") * share >= SHORT * (share - 1))).select("rep", "text")
+    return _near_short(texts, share).unionByName(_near_long(long_eval, long_train, share))
+
+
 def overlaps(examples: DataFrame, share: int = 5, least_words: int = 10) -> DataFrame:
     """``(example_train, example_eval, distance, longer, split, source_train, source_eval)``
     for every pair of a training and an evaluation example whose texts agree."""

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.llm import leakage, overlap, packing, spam
@@ -61,6 +62,41 @@ def test_noisy_copies_are_found(spark):
     assert {(r.example_train, r.example_eval) for r in overlap.overlaps(df).collect()} == want and len(want) > 40
 
 
+def test_copies_at_the_limit_are_found(spark):
+    """Copies of templated texts with a fifth of errors, spread evenly, are all found at any length."""
+    rng = random.Random(3)
+    alphabet = [chr(0x4E00 + i) for i in range(800)]
+    phrases = ["".join(rng.choices(alphabet, k=12)) for _ in range(30)]
+    rows, want = [], set()
+    for n in range(150):
+        text = ""
+        while len(text) < (30, 60, 110, 150, 190, 400)[n % 6]:
+            text += rng.choice(phrases) + "".join(rng.choices(alphabet, k=3))
+        copy, k = list(text), len(text) // 5 - n % 2
+        for i in rng.sample(range(len(text)), k):
+            copy[i] = "变"
+        rows += [(2 * n, "a/train.txt", list(text)), (2 * n + 1, "a/dev.txt", copy)]
+        want.add((2 * n, 2 * n + 1, k))
+    df = spark.createDataFrame(rows, "example_id long, path string, words array<string>").withColumns({"guid": F.lit(None).cast("string"), "source": F.lit("s")})
+    assert {(r.example_train, r.example_eval, r.distance) for r in overlap.overlaps(df).collect()} == want
+
+
+def test_common_characters_beyond_the_kept_ones(spark, monkeypatch):
+    """Blocks that are split, and characters that are not compared one by one, lose no pair."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=rng.randint(50, 70))) for _ in range(60)]
+    copies = [changed(t, 0.15, rng) for t in texts]
+    a, b = pd.Series(texts), pd.Series(copies)
+    near = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(copies) if levenshtein(x, y) * 5 <= max(len(x), len(y))}
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    for kept in (1024, 20, 1):
+        monkeypatch.setattr(overlap, "KEPT", kept)
+        assert near <= {*zip(*(x.tolist() for x in overlap._alike(a, b, 5)))} and len(near) > 40
+    rows = [(i, "a/train.txt", list(t)) for i, t in enumerate(texts)] + [(100 + i, "a/dev.txt", list(t)) for i, t in enumerate(copies)]
+    df = spark.createDataFrame(rows, "example_id long, path string, words array<string>").withColumns({"guid": F.lit(None).cast("string"), "source": F.lit("s")})
+    assert {(r.example_train, r.example_eval - 100) for r in overlap.overlaps(df).collect()} == near
+
+
 def test_overlap_edges(spark):
     w = list("一二三四五六七八九十")
     rows = [
