@@ -1,11 +1,16 @@
 """Problem 8: evaluation passages that stand in training texts.
 
-Pigeonhole edit matching: every passage is cut into pieces, the pieces of all
-passages go into one Aho-Corasick automaton, each document is scanned once, and
-where enough pieces of a passage hit on a common diagonal the stretch is
-extended and verified with Myers' bit-parallel distance. A document gives a
-passage away when at least half of it stands there, in order, in one piece or
-two, with single wrong characters let pass.
+Pigeonhole edit matching: every passage is cut into disjoint pieces, the pieces
+of all passages go into one Aho-Corasick automaton, each document is scanned
+once, and where enough pieces of a passage hit on near diagonals the stretches
+are extended and verified with Myers' bit-parallel distance. A document gives a
+passage away when at least half of it stands there, in order, in one stretch or
+two, each with at most one wrong character in eight (and one more) and at least
+one piece untouched.
+
+A wrong character spoils one piece at most, so the pieces of a passage are as
+long as leaves some untouched whatever the errors in half of it (``cut``); a
+document with fewer is not looked at further.
 
 Texts are compared by their letters, digits and ideographs only, in the one
 consistent form and in lower case, so spacing, punctuation, character forms
@@ -23,6 +28,7 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,9 +42,10 @@ from docloom.llm.overlap import within
 from docloom.llm.textform import canon
 from docloom.session import spread
 
-#: Length and distance of the pieces: ideographs, and letters of an alphabet,
-#: of which it takes more to say as much.
-HAN_PIECE, LATIN_PIECE = (8, 4), (24, 8)
+#: One character in so many may be wrong, and one more in each stretch.
+ERRORS = 8
+#: Characters by which neighbouring hits of a stretch may be displaced.
+DRIFT = 3
 _skip = re.compile(r"[\W_]+")
 
 
@@ -46,6 +53,21 @@ def letters(s: str) -> str:
     return _skip.sub("", canon(s)).lower()
 
 
+def cut(n: int, share: float) -> tuple[int, int]:
+    """``(width, least)``: length of the pieces of a passage of ``n`` letters, and
+    how many of them two stretches of ``share`` of it leave untouched at least.
+
+    A stretch of m letters holds (m - 2 (width - 1)) / width whole pieces or more,
+    and m / ERRORS + 1 errors at most. Longer pieces hit less by chance, more of
+    them tell more. Under about 22 letters nothing is certain at a half."""
+    kept = math.ceil(share * n)
+    for width in range(ERRORS - 1, 1, -1):
+        least = math.ceil((kept - 4 * (width - 1)) / width - kept / ERRORS - 2)
+        if least >= 5:
+            return width, least
+    return 2, 1
+
+
 class Passages:
     """Automaton over the pieces of a block of passages."""
 
@@ -59,12 +81,9 @@ class Passages:
         self.ids = [by_text[k] for k in self.keys]
         self.share = share
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.cut = []
-        for n, k in enumerate(self.keys):
-            latin = sum(c < "ɏ" and c.isalpha() for c in k) * 2 > len(k) and len(k) >= 4 * LATIN_PIECE[0]
-            width, step = LATIN_PIECE if latin else HAN_PIECE
-            self.cut.append((width, step))
-            for at in range(0, len(k) - width + 1, step):
+        self.cut = [cut(len(k), share) for k in self.keys]
+        for n, (k, (width, _)) in enumerate(zip(self.keys, self.cut)):
+            for at in range(0, len(k) - width + 1, width):
                 pieces[k[at : at + width]].append((n, at))
         self.automaton = ahocorasick.Automaton()
         for p, where in pieces.items():
@@ -73,53 +92,52 @@ class Passages:
             self.automaton.make_automaton()
         self.empty = not pieces
 
-        self.least = [self._least_hits(len(k), *c) for k, c in zip(self.keys, self.cut)]
-
-    def _least_hits(self, n: int, width: int, step: int) -> int:
-        """Pieces that half of ``n`` letters, in two stretches, keeps whole when
-        one letter in two piece lengths is wrong: the error budget."""
-        kept = self.share * n * 0.9
-        whole = (kept - 2 * (width + step)) / step
-        return max(2, int(whole - (kept / (2 * width)) * (width / step)))
-
     def promising(self, n: int, hits: list[tuple[int, int]]) -> bool:
-        """Whether the two best bands of diagonals hold enough pieces."""
-        least = self.least[n]
+        """Whether two windows of diagonals hold enough hits; a stretch drifts by
+        its errors at most, so its hits stand in one window."""
+        least, size = self.cut[n][1], len(self.keys[n]) // ERRORS + 1
         if len(hits) < least:
             return False
-        band: dict[int, int] = {}
-        for d, c in hits:
-            k = (d - c) >> 4
-            band[k] = band.get(k, 0) + 1
-        both = sorted((v + band.get(k + 1, 0) for k, v in band.items()), reverse=True)
-        return sum(both[:2]) >= least
+        diagonals = sorted([d - c for d, c in hits])
+        best, first = [0], 0  # most hits in one window that ends before each hit
+        for i, g in enumerate(diagonals):
+            while diagonals[first] < g - size:
+                first += 1
+            if i + 1 - first + best[first] >= least:
+                return True
+            best.append(max(best[-1], i + 1 - first))
+        return False
 
     def coverage(self, doc: str, n: int, hits: list[tuple[int, int]]) -> float:
-        """Share of passage ``n`` that stands in ``doc`` in at most two stretches."""
+        """Share of passage ``n`` that stands in ``doc`` in at most two stretches;
+        0 where that is less than ``share``."""
         key = self.keys[n]
-        width, _ = self.cut[n]
-        runs: list[list[int]] = []  # passage from, to, document from, to, hits
+        width = self.cut[n][0]
+        open_runs: dict[int, list[tuple[int, int]]] = {}  # by the diagonal of the last hit
+        runs = []
         for d, c in sorted(hits):
             best = None
-            for r in reversed(runs[-12:]):
-                gap_c, gap_d = c - r[1], d - r[3]
-                if -width <= gap_c <= 4 * width and -width <= gap_d <= 4 * width and abs(gap_c - gap_d) <= 3:
-                    best = r
-                    break
+            for g in range(d - c - DRIFT, d - c + DRIFT + 1):
+                if g in open_runs:
+                    x, y = open_runs[g][-1]
+                    if x + width <= d and y + width <= c and (best is None or (x, -abs(g - d + c)) > best[0]):
+                        best = (x, -abs(g - d + c)), g
             if best is None:
-                runs.append([c, c + width, d, d + width, 1])
+                runs.append(run := [])
             else:
-                best[1], best[3], best[4] = max(best[1], c + width), max(best[3], d + width), best[4] + 1
-        solid = []
-        for r in runs:
-            if r[4] < 2 and len(runs) > 6:
-                continue
-            a, b, x, y = _extend(key, doc, *r[:4])
-            if within(key[a:b], doc[x:y], (b - a) // 8 + 1) <= (b - a) // 8 + 1:
-                solid.append((a, b, x, y))
+                run = open_runs.pop(best[1])
+            run.append((d, c))
+            open_runs[d - c] = run
+        solid, longest, needed = [], 0, self.share * len(key)
+        for bound, run in sorted(((_longest(run, width), run) for run in runs), reverse=True):
+            if max(longest, bound) + bound < needed:
+                break
+            for s in _stretches(key, doc, run, width, int(bound / ERRORS) + 1):
+                solid.append(s)
+                longest = max(longest, s[1] - s[0])
         if not solid:
             return 0.0
-        most = max(b - a for a, b, _, _ in solid)
+        most = longest
         for i, (a, b, x, y) in enumerate(solid):
             for a2, b2, x2, y2 in solid[:i] + solid[i + 1 :]:
                 # the second stretch begins after the first, in both texts
@@ -146,6 +164,46 @@ class Passages:
         return out
 
 
+def _allowed(n: int) -> int:
+    return n // ERRORS + 1
+
+
+def _longest(run: list[tuple[int, int]], width: int) -> float:
+    """No stretch over hits of a run is longer than this, errors included."""
+
+    def bound(hits: int) -> float:
+        return (hits + 1 + 2 * (width - 1) / width) / (1 / width - 1 / ERRORS)
+
+    most = 1
+    for i in range(len(run) - 1):
+        for j in range(i + most, len(run)):
+            # the pieces between that did not hit are an error each
+            if (run[j][1] - run[i][1]) // width - (j - i) <= bound(j - i + 1) / ERRORS + 1:
+                most = j - i + 1
+    return bound(most)
+
+
+def _stretches(key: str, doc: str, run: list[tuple[int, int]], width: int, errors: int) -> list[tuple[int, int, int, int]]:
+    """``(passage from, to, document from, to)`` of the longest stretches between
+    hits of a run that keep to the errors allowed, none within another; none has
+    more than ``errors``."""
+    cost = [0]  # errors up to each hit
+    for (d, c), (d2, c2) in zip(run, run[1:]):
+        sure = max((c2 - c) // width - 1, abs(d2 - c2 - d + c))  # pieces that did not hit, displacement
+        wrong = within(key[c + width : c2], doc[d + width : d2], errors) if sure <= errors else errors + 1
+        cost.append(cost[-1] + (wrong if wrong <= errors else len(key)))
+    out, last = [], -1
+    for i, (d, c) in enumerate(run):
+        j = next(j for j in range(len(run) - 1, i - 1, -1) if cost[j] - cost[i] <= _allowed(run[j][1] + width - c))
+        if j <= last:
+            continue
+        last = j
+        bare = (c, run[j][1] + width, d, run[j][0] + width)
+        a, b, x, y = _extend(key, doc, *bare)
+        out.append((a, b, x, y) if within(key[a:b], doc[x:y], _allowed(b - a)) <= _allowed(b - a) else bare)
+    return out
+
+
 def _extend(key: str, doc: str, a: int, b: int, x: int, y: int) -> tuple[int, int, int, int]:
     """Stretch both ends over equal letters, letting single wrong ones pass."""
     while b < len(key) and y < len(doc):

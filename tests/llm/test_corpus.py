@@ -164,6 +164,23 @@ def test_leaks(spark):
     assert leaks(spark, texts) == {(i, 0) for i in range(5)}
 
 
+def test_noisy_half_copies_leak(spark):
+    """Half copies with wrong letters up to the budget are found, in English as well."""
+    rng = random.Random(6)
+    words = "insured scar landing itinerary desk amended reviewing shortly healed surgical person forwarded delayed branch office fog connection because dense note translated".split()
+    english = [" ".join(rng.choices(words, k=70)) for _ in range(20)]
+    chinese = ["".join(chr(0x4E00 + rng.randrange(600)) for _ in range(120)) for _ in range(20)]
+    passages, texts = english + chinese, []
+    for p in map(leakage.letters, passages):
+        copy = list(p[: int(len(p) * 0.6)])
+        for i in rng.sample(range(8, len(copy) - 8), len(copy) * 9 // 100):
+            copy[i] = "q"
+        texts.append("开头。" + "".join(copy) + "。结尾")
+    assert {(i, i) for i in range(40)} <= leaks(spark, texts, passages)
+    others = [" ".join(rng.choices(words, k=70)) for _ in range(20)]
+    assert leaks(spark, others, passages) == set()
+
+
 def test_leak_edges(spark):
     long = "啊" * 30_000 + PASSAGE
     assert leaks(spark, [long, PASSAGE, PASSAGE], (PASSAGE, None, "", "短", PASSAGE)) == {(d, i) for d in range(3) for i in (0, 4)}
