@@ -436,16 +436,19 @@ def items_of_value(value: str, is_name: bool = False) -> list[tuple[int, int, st
 ITEM = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
-#: Most place names that are sent to the workers; a longer list is not used.
+#: Most place names that are sent to the workers; a longer list is an error.
 MOST_PLACES = 100_000
 
 
 def known_places(places: DataFrame | None, column: str = "value") -> frozenset[str]:
-    """The place names of a table in capitals, if there are at most ``MOST_PLACES``."""
+    """The place names of a table in capitals; more than ``MOST_PLACES``
+    raise an error, as without them names in bare capitals would get lost."""
     if places is None:
         return frozenset()
     rows = places.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_PLACES + 1).collect()
-    return with_slips(frozenset(r[0].upper() for r in rows)) if len(rows) <= MOST_PLACES else frozenset()
+    if len(rows) > MOST_PLACES:
+        raise ValueError(f"more than {MOST_PLACES} place names")
+    return with_slips(frozenset(r[0].upper() for r in rows))
 
 
 def _word_items(places: frozenset[str]):

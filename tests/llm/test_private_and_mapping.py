@@ -1,5 +1,6 @@
 """Problems 2 and 3."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import mapping, privacy
@@ -106,3 +107,11 @@ def test_prefix_filter_loses_nothing(spark):
         s = mapping.normalize_han(v)
         want = sorted(i for c, i in full.candidates(s) if c >= 0.2) if s else []
         assert sorted(i for _, i in ix.candidates(s)) == want
+
+
+def test_too_many_places_raise(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "MOST_PLACES", 2)
+    places = spark.createDataFrame([("Paris",), ("Rome",), ("Rome",), (None,)], "value string")
+    assert {"PARIS", "ROME"} <= privacy.known_places(places) and privacy.known_places(None) == frozenset()
+    with pytest.raises(ValueError, match="more than 2 place names"):
+        privacy.known_places(places.union(spark.createDataFrame([("Oslo",)], "value string")))
