@@ -181,6 +181,16 @@ def test_noisy_half_copies_leak(spark):
     assert leaks(spark, others, passages) == set()
 
 
+def test_leak_of_a_repetitive_passage():
+    """Chance runs of repeated pieces do not push the true run out."""
+    rng = random.Random(0)
+    key = "".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(16)) + "甲乙丙丁戊己庚辛" for _ in range(24))
+    copy = list(key[:384])
+    for i in range(8, 384, 24):
+        copy[i : i + 2] = "口口"
+    assert dict(leakage.Passages([(0, key)]).found("开头" + "".join(copy) + "完全不同的结尾"))[0] >= 0.6
+
+
 def test_leak_edges(spark):
     long = "啊" * 30_000 + PASSAGE
     assert leaks(spark, [long, PASSAGE, PASSAGE], (PASSAGE, None, "", "短", PASSAGE)) == {(d, i) for d in range(3) for i in (0, 4)}
