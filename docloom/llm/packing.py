@@ -1,12 +1,12 @@
 """Problem 7: filling fixed-capacity containers with items.
 
-Harmonic packing. A document of more than the capacity is cut into full pieces
-and a rest; no other document is cut. Lengths fall into reciprocal-capacity
-classes: class j holds lengths in (C/(j+1), C/j], of which j fill a bin. Workers
-pack independent shards of bounded size. Within a shard the classes are taken
-from the largest lengths down: an item first tops up the tightest bin with room
-for it, and only where none has room a bin of its class is opened, which then
-takes the class's fixed number of items.
+Best-fit decreasing in shards, in place of harmonic packing. A document of more
+than the capacity is cut into full pieces and a rest; no other document is cut.
+Workers pack independent shards of bounded size. Within a shard an item, largest
+first, goes to the tightest bin with room for it, and only where none has room a
+new bin is opened. ``size_class`` j (lengths in (C/(j+1), C/j], of which j fill a
+bin) is told of each item but decides nothing: bins of one class each leave more
+room over.
 
 Only ids and lengths are shuffled, never texts.
 
