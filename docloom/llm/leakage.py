@@ -1,16 +1,19 @@
 """Problem 8: evaluation passages that stand in training texts.
 
-Pigeonhole edit matching: every passage is cut into disjoint pieces, the pieces
-of all passages go into one Aho-Corasick automaton, each document is scanned
-once, and where enough pieces of a passage hit on near diagonals the stretches
-are extended and verified with Myers' bit-parallel distance. A document gives a
+Pigeonhole edit matching: every passage is cut into disjoint pieces of at most
+four letters, all documents are searched for the pieces of all passages, and
+where enough pieces of a passage hit close by on near diagonals the stretches are
+extended and verified with Myers' bit-parallel distance. A document gives a
 passage away when at least half of it stands there, in order, in one stretch or
 two, each with at most one wrong character in eight (and one more) and at least
 one piece untouched.
 
-A wrong character spoils one piece at most, so the pieces of a passage are as
-long as leaves some untouched whatever the errors in half of it (``cut``); a
-document with fewer is not looked at further.
+A wrong character spoils one piece at most, so some pieces stay untouched whatever
+the errors in half of the passage (``cut``). Pairs are sorted out by two bounds,
+neither of which can lose one: the least number of pieces that the longer stretch
+keeps in a window of diagonals and a part of the passage (``dense``), then the
+score of a banded alignment in that window (``aligned``). Both work on arrays of
+many documents at once; what is left is verified pair by pair.
 
 Texts are compared by their letters, digits and ideographs only, in the one
 consistent form and in lower case, so spacing, punctuation, character forms
@@ -33,7 +36,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +49,15 @@ from docloom.session import spread
 ERRORS = 8
 #: Characters by which neighbouring hits of a stretch may be displaced.
 DRIFT = 3
+#: Most letters of a piece.
+WIDEST = 4
+#: Documents looked at together hold about so many letters; so many alignments
+#: advance together.
+LETTERS, TOGETHER = 400_000, 2048
+#: A stretch drifts over so many bands of diagonals at most. Bits of a place in a passage.
+BANDS, PLACE = 5, 24
+#: Scores start here and are set back after so many letters, so that they fit a byte.
+FLOOR, REBASE = 8, 64
 _skip = re.compile(r"[\W_]+")
 
 
@@ -58,18 +70,80 @@ def cut(n: int, share: float) -> tuple[int, int]:
     how many of them two stretches of ``share`` of it leave untouched at least.
 
     A stretch of m letters holds (m - 2 (width - 1)) / width whole pieces or more,
-    and m / ERRORS + 1 errors at most. Longer pieces hit less by chance, more of
-    them tell more. Under about 22 letters nothing is certain at a half."""
+    and m / ERRORS + 1 errors at most. Pieces of four letters at most: longer ones
+    hit less, but so few of them are sure to be left that common phrases have as many.
+    Under about 22 letters nothing is certain at a half."""
     kept = math.ceil(share * n)
-    for width in range(ERRORS - 1, 1, -1):
+    for width in range(WIDEST, 1, -1):
         least = math.ceil((kept - 4 * (width - 1)) / width - kept / ERRORS - 2)
         if least >= 5:
             return width, least
     return 2, 1
 
 
+def gram_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A mixed 64-bit hash of every run of ``width`` code points."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(width):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[j : j + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+class Pieces:
+    """Exact look-up of the pieces of one width: where each stands in which passage."""
+
+    def __init__(self, width: int, where: dict[str, list[tuple[int, int]]]):
+        self.width = width
+        texts = sorted(where)
+        self.grams = np.array([gram_hashes(_codes(t).astype(np.uint64), width)[0] for t in texts], dtype=np.uint64)
+        self.count = np.array([len(where[t]) for t in texts], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.passage = np.array([n for t in texts for n, _ in where[t]], dtype=np.int64)
+        self.at = np.array([at for t in texts for _, at in where[t]], dtype=np.int64)
+        bits = max(16, int(len(texts)).bit_length() + 4)
+        self.mask = np.uint64((1 << bits) - 1)
+        # pieces whose slot is taken go to a further table, until none is left
+        self.tables, left = [], np.arange(len(texts), dtype=np.int32)
+        while len(left):
+            table = np.zeros(1 << bits, dtype=np.int32)
+            slot = self._slot(self.grams[left], len(self.tables))
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+
+    def _slot(self, h: np.ndarray, level: int) -> np.ndarray:
+        return ((h >> np.uint64(level * 11 % 40)) * np.uint64(2 * level + 1) & self.mask).astype(np.int64)
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(position, passage, position in the passage)`` of every hit."""
+        h = gram_hashes(codes, self.width)
+        found = []
+        for level, table in enumerate(self.tables):
+            piece = table[self._slot(h, level)]
+            pos = np.flatnonzero(self.grams[piece] == h)
+            piece = piece[pos]
+            if level:  # unused slots hold piece 0, which stands in the first table
+                pos, piece = pos[piece > 0], piece[piece > 0]
+            found.append((pos, piece))
+        pos, piece = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        count = self.count[piece]
+        which = np.repeat(self.first[piece] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(pos, count), self.passage[which], self.at[which]
+
+
 class Passages:
-    """Automaton over the pieces of a block of passages."""
+    """The pieces of a block of passages and what is needed to verify their hits."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = 0.5, least: int = 16):
         by_text: dict[str, list[int]] = defaultdict(list)
@@ -80,33 +154,149 @@ class Passages:
         self.keys = sorted(by_text)
         self.ids = [by_text[k] for k in self.keys]
         self.share = share
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.cut = [cut(len(k), share) for k in self.keys]
+        pieces: dict[int, dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for n, (k, (width, _)) in enumerate(zip(self.keys, self.cut)):
             for at in range(0, len(k) - width + 1, width):
-                pieces[k[at : at + width]].append((n, at))
-        self.automaton = ahocorasick.Automaton()
-        for p, where in pieces.items():
-            self.automaton.add_word(p, where)
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
-
-    def promising(self, n: int, hits: list[tuple[int, int]]) -> bool:
-        """Whether two windows of diagonals hold enough hits; a stretch drifts by
-        its errors at most, so its hits stand in one window."""
-        least, size = self.cut[n][1], len(self.keys[n]) // ERRORS + 1
-        if len(hits) < least:
-            return False
-        diagonals = sorted([d - c for d, c in hits])
-        best, first = [0], 0  # most hits in one window that ends before each hit
-        for i, g in enumerate(diagonals):
-            while diagonals[first] < g - size:
-                first += 1
-            if i + 1 - first + best[first] >= least:
-                return True
-            best.append(max(best[-1], i + 1 - first))
-        return False
+                pieces[width][k[at : at + width]].append((n, at))
+        self.pieces = [Pieces(width, where) for width, where in sorted(pieces.items())]
+        self.codes = [_codes(k) for k in self.keys]
+        self.size = np.array([len(k) for k in self.keys], dtype=np.int64)
+        # Halving a stretch leaves one half its share of errors at most, so there is
+        # a stretch of m letters, kept / 2 <= m < kept, with m / ERRORS + 1 errors.
+        # It drifts by no more, so its hits stand in ``BANDS`` neighbouring bands of
+        # diagonals at most; in the more of them, the longer it is.
+        kept = np.ceil(share * self.size)
+        self.width = width = np.array([c[0] for c in self.cut], dtype=np.int64)
+        self.band = -(-(kept // ERRORS + 1).astype(np.int64) // (BANDS - 1))
+
+        def hits_of(m: np.ndarray) -> np.ndarray:
+            return np.ceil((m - 2 * (width - 1)) / width - m / ERRORS - 1)
+
+        half = np.ceil(np.array([c[1] for c in self.cut]) / 2)
+        fewest = np.maximum(1, np.maximum(hits_of(kept / 2), half))
+        #: Least hits in a window of so many bands.
+        self.least = {k: np.maximum(fewest, hits_of((k - 2) * self.band * ERRORS)).astype(np.int64) for k in range(3, BANDS + 1)}
+        # h hits of a stretch stand within span[h] letters
+        self.most = int(max(1, hits_of(kept).max(initial=1)))
+        h = np.arange(self.most + 1)
+        self.span = np.maximum(width[:, None], (h + 1 + (2 * (width - 1) / width)[:, None]) / (1 / width - 1 / ERRORS)[:, None])
+        self.score = np.maximum(1, np.ceil((1 - 2 / ERRORS) * kept / 2 - 2)).astype(np.int64)
+        # letters by their number in the passages, others have none
+        # (the rare ones beyond U+FFFE share one: a bound may err to the larger side)
+        self.number = np.ones(0x10000, dtype=np.uint16)
+        alphabet = np.unique(np.minimum(np.concatenate([np.zeros(0, dtype=np.uint32), *self.codes]), 0xFFFF))
+        self.number[alphabet] = np.arange(2, len(alphabet) + 2) % 0x10000
+
+    def candidates(self, docs: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """``(document, passage, hits)`` of the pairs that two bounds leave: hits of
+        the longer stretch close by on near diagonals, and its banded alignment."""
+        size = np.array([len(d) for d in docs], dtype=np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        codes = _codes("\0".join(docs) + "\0")
+        doc_of = np.repeat(np.arange(len(docs)), size + 1)
+        wide = codes.astype(np.uint64)
+        parts = [p.hits(wide) for p in self.pieces]
+        pos, passage, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if not len(pos):
+            return []
+        doc = doc_of[pos]
+        pos -= start[doc]
+        pair = doc * len(self.keys) + passage
+        rooms = ((size[:, None] + self.size) // self.band + BANDS + 1).ravel()
+        base = np.cumsum(rooms) - rooms
+        cell = base[pair] + (pos - at + self.size[passage]) // self.band[passage]
+        number = self.number[np.minimum(codes, 0xFFFF)]
+        hits = np.sort(cell << PLACE | at)
+        of = hits >> PLACE
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        cells = of[first]
+        pair_of = np.searchsorted(base, cells, side="right") - 1
+        kept = []
+        for bands in self.least:
+            at_cell = self.dense(hits, first, cells, pair_of % len(self.keys), bands)
+            n_pair = pair_of[at_cell]
+            n_doc, n = n_pair // len(self.keys), n_pair % len(self.keys)
+            diagonal = (cells[at_cell] - base[n_pair]) * self.band[n] - self.size[n]
+            kept.append(n_pair[self.aligned(number, start[n_doc], n, diagonal, bands)])
+        kept = np.unique(np.concatenate(kept))
+        mine = np.isin(pair, kept)
+        order = np.lexsort((at[mine], pos[mine], pair[mine]))
+        pair, pos, at = pair[mine][order], pos[mine][order], at[mine][order]
+        ends = np.searchsorted(pair, kept, side="right")
+        return [(int(p) // len(self.keys), int(p) % len(self.keys), list(zip(pos[a:b].tolist(), at[a:b].tolist()))) for p, a, b in zip(kept, np.r_[0, ends[:-1]], ends)]
+
+    def dense(self, hits: np.ndarray, first: np.ndarray, cells: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
+        """Which of the ``cells`` begin a window of so many ``bands`` that holds as many
+        distinct pieces, in as short a part of the passage, as a stretch must.
+
+        ``hits`` are sorted cells with the place in the passage in the last bits,
+        ``first`` the first hit of each cell, ``n`` its passage."""
+        ends = np.r_[first[1:], len(hits)]
+        last = ends.copy()  # end of the hits in the window of each
+        for step in range(1, min(bands, len(cells))):
+            near = np.flatnonzero(cells[step:] < cells[: len(cells) - step] + bands)
+            last[near] = ends[near + step]
+        count = last - first
+        good = np.flatnonzero(count >= self.least[bands][n])
+        n, first, count = n[good], first[good], count[good]
+        window = np.repeat(np.arange(len(good)), count)
+        which = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        keys = np.sort(window << PLACE | hits[which] & ((1 << PLACE) - 1))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+        window, at = keys >> PLACE, keys & ((1 << PLACE) - 1)
+        fits = np.zeros(len(good), dtype=bool)
+        for h in range(int(self.least[bands][n].min(initial=self.most)), self.most + 1):
+            if len(window) < h:
+                break
+            i = np.flatnonzero(window[: len(window) - h + 1] == window[h - 1 :])
+            m = n[window[i]]
+            near = (h >= self.least[bands][m]) & (at[i + h - 1] - at[i] + self.width[m] <= self.span[m, h])
+            fits[window[i[near]]] = True
+        return good[fits]
+
+    def aligned(self, number: np.ndarray, start: np.ndarray, n: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
+        """Whether a local alignment (+1 a letter, -2 an error) of each passage within
+        a window of diagonals from ``first`` on reaches the score that a stretch
+        of m letters has at least, m - 2 (m / ERRORS + 1).
+
+        The alignments of many pairs advance together, letter by letter. Kept is
+        half of the score plus the letters read: a letter gives 1, a wrong or missing
+        one 0, one put in -1, more put in -2; rounding errs to the larger side."""
+        reached = np.zeros(len(n), dtype=bool)
+        order = np.argsort(self.size[n], kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            rows = order[at : at + TOGETHER]
+            passages, which = np.unique(n[rows], return_inverse=True)
+            longest, wide = int(self.size[passages].max()), int(bands * self.band[passages].max())
+            goal = (self.score[n[rows]] + 1) // 2 + FLOOR
+            kind = np.uint8 if goal.max() + 2 * REBASE < 256 else np.int32
+            keys = np.zeros((longest, len(passages)), dtype=np.uint16)
+            for i, m in enumerate(passages.tolist()):
+                keys[: self.size[m], i] = self.number[np.minimum(self.codes[m], 0xFFFF)]
+            # beyond its ends a document's neighbours are read, which may only raise a score
+            there = (start[rows] + first[rows]).astype(np.int32) + np.arange(longest + wide, dtype=np.int32)[:, None]
+            text = np.take(number, there, mode="clip")
+            score = np.full((wide, len(rows)), FLOOR, dtype=kind)
+            spare, key = np.empty_like(score[1:]), np.empty(len(rows), dtype=np.uint16)
+            hit, reach = np.zeros((wide, len(rows)), dtype=bool), np.empty((wide, len(rows)), dtype=bool)
+            for c in range(longest):
+                np.take(keys[c], which, out=key)
+                step = score + (text[c : c + wide] == key).view(np.uint8)
+                np.maximum(step[:-1], score[1:], out=step[:-1])  # a letter of the passage left out
+                np.maximum(step, np.maximum(kind(FLOOR + c % REBASE // 2 + 1), step.max(axis=0) - kind(2)), out=step)
+                np.subtract(step[:-1], kind(1), out=spare)
+                np.maximum(step[1:], spare, out=step[1:])
+                score = step
+                if c % 2 or c == longest - 1:
+                    enough = (goal + c % REBASE // 2).astype(kind)
+                    np.greater_equal(score, enough, out=reach)
+                    hit |= reach
+                if c % REBASE == REBASE - 1:
+                    np.minimum(score, enough, out=score)
+                    score -= kind(REBASE // 2)
+            reached[rows] = hit.any(axis=0)
+        return reached
 
     def coverage(self, doc: str, n: int, hits: list[tuple[int, int]]) -> float:
         """Share of passage ``n`` that stands in ``doc`` in at most two stretches;
@@ -145,25 +335,32 @@ class Passages:
                     most = max(most, b - a + b2 - max(a2, b))
         return most / len(key)
 
-    def found(self, text: str) -> list[tuple[int, float]]:
-        """``(item_id, share)`` of the passages that ``text`` gives away."""
-        doc = letters(text)
-        if self.empty:
-            return []
-        by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, where in self.automaton.iter(doc):
-            for n, at in where:
-                by[n].append((end + 1 - self.cut[n][0], at))
-        out = []
-        for n, hits in by.items():
-            if not self.promising(n, hits):
-                continue
-            share = self.coverage(doc, n, hits)
-            if share >= self.share:
-                out += [(i, share) for i in self.ids[n]]
+    def found(self, texts: list[str]) -> list[tuple[int, int, float]]:
+        """``(place in texts, item_id, share)`` of the passages that texts give away."""
+        out: list[tuple[int, int, float]] = []
+        if not self.keys:
+            return out
+        docs = [letters(t) for t in texts]
+        for first, last in _batches([len(d) for d in docs]):
+            for d, n, hits in self.candidates(docs[first:last]):
+                share = self.coverage(docs[first + d], n, hits)
+                if share >= self.share:
+                    out += [(first + d, i, share) for i in self.ids[n]]
         return out
 
 
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about ``LETTERS`` letters together."""
+    first, letters_so_far = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and letters_so_far + n > LETTERS:
+            yield first, i
+            first, letters_so_far = i, 0
+        letters_so_far += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def _allowed(n: int) -> int:
     return n // ERRORS + 1
 
@@ -241,7 +438,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block
         def scan(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
             passages = Passages(rows, share)
             for batch in batches:
-                hits = [(d, i, s) for d, t in zip(batch["doc_id"], batch["text"]) for i, s in passages.found(t)]
+                ids = batch["doc_id"].tolist()
+                hits = [(ids[d], i, s) for d, i, s in passages.found(batch["text"].tolist())]
                 if hits:
                     yield pd.DataFrame(hits, columns=["doc_id", "item_id", "share"])
 

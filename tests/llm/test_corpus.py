@@ -188,7 +188,33 @@ def test_leak_of_a_repetitive_passage():
     copy = list(key[:384])
     for i in range(8, 384, 24):
         copy[i : i + 2] = "口口"
-    assert dict(leakage.Passages([(0, key)]).found("开头" + "".join(copy) + "完全不同的结尾"))[0] >= 0.6
+    found = leakage.Passages([(0, key)]).found(["", "开头" + "".join(copy) + "完全不同的结尾"])
+    assert [f[:2] for f in found] == [(1, 0)] and found[0][2] >= 0.6
+
+
+def test_hits_equal_a_plain_search():
+    rng = random.Random(7)
+    items = [(n, "".join(rng.choices("甲乙丙丁戊己", k=rng.randint(20, 60)))) for n in range(12)]
+    passages = leakage.Passages(items)
+    doc = "".join(rng.choices("甲乙丙丁戊己庚", k=400))
+    codes = leakage._codes(doc).astype("uint64")
+    got = {(p.width, *h) for p in passages.pieces for h in zip(*(x.tolist() for x in p.hits(codes)))}
+    want = set()
+    for n, (k, (w, _)) in enumerate(zip(passages.keys, passages.cut)):
+        for at in range(0, len(k) - w + 1, w):
+            want |= {(w, d, n, at) for d in range(len(doc) - w + 1) if doc[d : d + w] == k[at : at + w]}
+    assert got == want and len(want) > 100
+
+
+def test_evenly_spread_errors_leak():
+    """One wrong letter in ten or eight, evenly, over all or 60 % of a passage."""
+    rng = random.Random(8)
+    keys = ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(n)) for n in (40, 100, 300) for _ in range(10)]
+    passages = leakage.Passages(list(enumerate(keys)))
+    for part in (1, 0.6):
+        for step in (10, 8):
+            texts = ["前文" + "".join("q" if i % step == step // 2 else c for i, c in enumerate(k[: int(len(k) * part)])) + "后文完全不同" for k in keys]
+            assert {f[:2] for f in passages.found(texts)} == {(i, i) for i in range(30)}
 
 
 def test_leak_edges(spark):
