@@ -53,9 +53,9 @@ DRIFT = 3
 WIDEST = 4
 #: Documents looked at together hold about so many letters; so many alignments
 #: advance together.
-LETTERS, TOGETHER = 400_000, 2048
+LETTERS, TOGETHER = 600_000, 4096
 #: A stretch drifts over so many bands of diagonals at most. Bits of a place in a passage.
-BANDS, PLACE = 5, 24
+BANDS, PLACE = 3, 24
 #: Scores start here and are set back after so many letters, so that they fit a byte.
 FLOOR, REBASE = 8, 64
 _skip = re.compile(r"[\W_]+")
@@ -109,8 +109,8 @@ class Pieces:
         self.grams = np.array([gram_hashes(_codes(t).astype(np.uint64), width)[0] for t in texts], dtype=np.uint64)
         self.count = np.array([len(where[t]) for t in texts], dtype=np.int64)
         self.first = np.cumsum(self.count) - self.count
-        self.passage = np.array([n for t in texts for n, _ in where[t]], dtype=np.int64)
-        self.at = np.array([at for t in texts for _, at in where[t]], dtype=np.int64)
+        self.passage = np.array([n for t in texts for n, _ in where[t]], dtype=np.int32)
+        self.at = np.array([at for t in texts for _, at in where[t]], dtype=np.int32)
         bits = max(16, int(len(texts)).bit_length() + 4)
         self.mask = np.uint64((1 << bits) - 1)
         # pieces whose slot is taken go to a further table, until none is left
@@ -173,8 +173,8 @@ class Passages:
         def hits_of(m: np.ndarray) -> np.ndarray:
             return np.ceil((m - 2 * (width - 1)) / width - m / ERRORS - 1)
 
-        half = np.ceil(np.array([c[1] for c in self.cut]) / 2)
-        fewest = np.maximum(1, np.maximum(hits_of(kept / 2), half))
+        self.fewest = np.array([c[1] for c in self.cut], dtype=np.int64)
+        fewest = np.maximum(1, np.maximum(hits_of(kept / 2), np.ceil(self.fewest / 2)))
         #: Least hits in a window of so many bands.
         self.least = {k: np.maximum(fewest, hits_of((k - 2) * self.band * ERRORS)).astype(np.int64) for k in range(3, BANDS + 1)}
         # h hits of a stretch stand within span[h] letters
@@ -200,9 +200,14 @@ class Passages:
         pos, passage, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
         if not len(pos):
             return []
-        doc = doc_of[pos]
-        pos -= start[doc]
-        pair = doc * len(self.keys) + passage
+        pair = doc_of[pos] * len(self.keys) + passage
+        # fewer hits than two stretches keep in all need no second look
+        enough = np.bincount(pair, minlength=len(docs) * len(self.keys)).reshape(len(docs), -1) >= self.fewest
+        some = np.flatnonzero(enough.ravel()[pair])
+        pos, passage, at, pair = pos[some], passage[some], at[some], pair[some]
+        if not len(pos):
+            return []
+        pos -= start[doc_of[pos]]
         rooms = ((size[:, None] + self.size) // self.band + BANDS + 1).ravel()
         base = np.cumsum(rooms) - rooms
         cell = base[pair] + (pos - at + self.size[passage]) // self.band[passage]
@@ -220,7 +225,9 @@ class Passages:
             diagonal = (cells[at_cell] - base[n_pair]) * self.band[n] - self.size[n]
             kept.append(n_pair[self.aligned(number, start[n_doc], n, diagonal, bands)])
         kept = np.unique(np.concatenate(kept))
-        mine = np.isin(pair, kept)
+        wanted = np.zeros(len(docs) * len(self.keys), dtype=bool)
+        wanted[kept] = True
+        mine = np.flatnonzero(wanted[pair])
         order = np.lexsort((at[mine], pos[mine], pair[mine]))
         pair, pos, at = pair[mine][order], pos[mine][order], at[mine][order]
         ends = np.searchsorted(pair, kept, side="right")
