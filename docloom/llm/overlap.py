@@ -1,18 +1,17 @@
 """Problem 5: equal or nearly equal records across splits.
 
-Two exact ways to candidate pairs, each of which is verified with a bit-parallel
-edit distance that stops beyond the bound; neither can lose a pair. Copies are
-folded first: the join runs over distinct texts, members are attached at the end.
-
-* Evaluation texts under ``SHORT`` characters: edit-distance segment join.
-  Disjoint segments of three characters, of which any k+1 hold an untouched one
-  (pigeonhole); training texts are searched for the rarest at allowed positions.
-* Longer texts: at a budget of a fifth, k+1 disjoint segments are under five
-  characters and match everywhere, and fewer or sampled ones lose pairs. So
-  texts of lengths that can agree meet in blocks, and a pair is verified when it
-  has enough characters in common: each edit spares all but one character of
-  the longer text, so ``longer - k`` at least. The common characters of all pairs
-  of two blocks are one matrix product. Work grows with the product of both sides.
+Edit-distance segment join. Copies are folded first: the join runs over distinct
+texts, members are attached at the end. Texts of lengths that can agree meet in
+blocks. A pair with at most k changes leaves one of k + 1 disjoint segments of the
+evaluation text untouched, with no more changes before it than segments and no
+more after it (pigeonhole), so the segments of all evaluation texts are looked up
+among the substrings of the training texts of the block, at the positions that
+this allows. Every hit is kept: no segment, text or pair is left out. What the
+counts of characters do not rule out is verified with the dynamic programme of
+the edit distance, bit-parallel and stopped beyond the bound.
+
+Only blocks of texts are shuffled; hits and pairs never leave their task, and
+neither texts nor hits are broadcast.
 
 Defined results: null or short texts (under ``least_words`` non-blank words)
 take no part; equal texts have distance 0; a pair is reported once, smaller id
@@ -21,25 +20,22 @@ first; an empty side gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from docloom.llm.splitting import BLANK
 from docloom.llm.textform import LINE_BREAK, canon
 from docloom.session import cut_lineage, spread
 
-#: Evaluation texts under ``SHORT`` characters take the segment join. Longer ones
-#: meet in blocks of about ``BLOCK`` texts, whose lengths differ by a factor of
-#: ``CLASS`` at most; ``KEPT`` characters of two blocks are compared one by one.
-SHORT, BLOCK, CLASS, KEPT = 48, 2048, 1.12, 1024
-_rng = np.random.default_rng(20240229)
-_FACTORS = _rng.integers(1, 2**63, size=32, dtype=np.uint64) | np.uint64(1)
+#: Texts whose lengths differ by a factor of ``CLASS`` at most share a class, whose
+#: blocks hold about so many texts (of each side) and characters.
+CLASS, EVAL_BLOCK, TRAIN_BLOCK, CHARACTERS = 1.12, 4096, 8192, 2_000_000
+#: Bits of a position in a segment's key; pairs looked at together.
+PLACE, TOGETHER = 24, 16_384
+_FACTORS = np.random.default_rng(20240229).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
 
 
 def comparable(words) -> str:
@@ -48,22 +44,6 @@ def comparable(words) -> str:
     return "".join(s.split()).lower()
 
 
-def rolling(text: str, width: int) -> np.ndarray:
-    """A 64-bit hash of every substring of ``width`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            h += codes[j : j + n] * _FACTORS[j]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
 def within(a: str, b: str, k: int) -> int:
     """Edit distance of ``a`` and ``b``, or k+1 if it is more (Myers' bit vectors)."""
     if a == b:
@@ -105,50 +85,11 @@ def within(a: str, b: str, k: int) -> int:
     return score
 
 
-def _segments(evaluation: bool):
-    """Kernel that emits ``gram, rep, pos, len`` of the texts of one side."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for rep, text in zip(batch["rep"].to_numpy(), batch["text"]):
-                h = rolling(text, 3)
-                at = np.arange(0, len(h), 3 if evaluation else 1)
-                parts.append((h[at], at, rep, len(text)))
-            if parts:
-                size = [len(p[1]) for p in parts]
-                yield pd.DataFrame({
-                    "gram": np.concatenate([p[0] for p in parts]), "rep": np.repeat(np.array([p[2] for p in parts], dtype=np.int64), size),
-                    "pos": np.concatenate([p[1] for p in parts]).astype(np.int32), "len": np.repeat(np.array([p[3] for p in parts], dtype=np.int32), size),
-                })
-
-    return run
-
-
-_SEGMENT = "gram bigint, rep bigint, pos int, len int"
-
-
 @F.pandas_udf(T.StringType())
 def _comparable(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else comparable(w))
 
 
-def _histograms(texts: pd.Series) -> np.ndarray:
-    """Counts of characters by the last seven bits of their code point."""
-    out = np.empty((len(texts), 128), dtype=np.int32)
-    for i, t in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) & 127, minlength=128)
-    return out
-
-
-@F.pandas_udf(T.IntegerType())
-def _distance(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-    """Bounded distance. An edit changes at most two counts of characters by one,
-    so half the difference of the counts is a lower bound that spares most work."""
-    far = np.abs(_histograms(a) - _histograms(b)).sum(axis=1) > 2 * k.to_numpy()
-    return pd.Series([int(z) + 1 if f else within(x, y, int(z)) for x, y, z, f in zip(a, b, k, far)], dtype="int32")
-
-
 def split_of(path, guid):
     """``train``, ``dev`` or ``test`` from ``<task>/<split>.txt``, else from the guid."""
     from_path = F.regexp_extract(F.coalesce(path, F.lit("")), r"(train|dev|test)\.txt$", 1)
@@ -163,83 +104,148 @@ def labelled_texts(examples: DataFrame, least_words: int = 10) -> DataFrame:
     return spread(e).select("example_id", split_of(F.col("path"), F.col("guid")).alias("split"), "source", _comparable("words").alias("text")).where("split is not null and text <> ''")
 
 
-def _marks(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, mark)`` of every character; a mark is a character and its how-manieth in the text."""
-    row = np.repeat(np.arange(len(texts)), texts.str.len().to_numpy(dtype=np.int64))
-    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    order = np.lexsort((code, row))
-    row, code = row[order], code[order]
-    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
-    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-    return row, code << 40 | nth
-
-
-def _alike(a: pd.Series, b: pd.Series, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and ``b`` whose texts have enough characters in common.
-
-    The marks that most pairs may share are compared one by one; of the others,
-    as many count as common as the text with fewer of them holds."""
-    (row_a, mark_a), (row_b, mark_b) = _marks(a), _marks(b)
-    in_a, count_a = np.unique(mark_a, return_counts=True)
-    in_b, count_b = np.unique(mark_b, return_counts=True)
-    both, at_a, at_b = np.intersect1d(in_a, in_b, assume_unique=True, return_indices=True)
-    kept = np.sort(both[np.argsort(-count_a[at_a] * count_b[at_b], kind="stable")[:KEPT]])
-
-    def matrix(n: int, row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, shared = np.zeros((n, len(kept)), dtype=np.float32), np.isin(mark, kept)
-        out[row[shared], np.searchsorted(kept, mark[shared])] = 1
-        # marks that the other block has not at all are no character in common
-        return out, np.bincount(row[~shared & np.isin(mark, both)], minlength=n)
-
-    (x, rest_a), (y, rest_b) = matrix(len(a), row_a, mark_a), matrix(len(b), row_b, mark_b)
-    len_a, len_b = a.str.len().to_numpy(), b.str.len().to_numpy()
-    found = []
-    for at in range(0, len(a), 256):
-        part = slice(at, at + 256)
-        longer = np.maximum(len_a[part, None], len_b)
-        k = longer // share
-        common = x[part] @ y.T + np.minimum(rest_a[part, None], rest_b)
-        i, j = np.nonzero((common >= longer - k) & (np.abs(len_a[part, None] - len_b) <= k))
-        found.append((i + at, j))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h >> np.uint64(PLACE) << np.uint64(PLACE)
+
+
+class Block:
+    """The texts of one side of a block as one array of characters."""
+
+    def __init__(self, texts: pd.Series):
+        self.texts = texts.to_numpy()
+        self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.of = np.repeat(np.arange(len(self.size)), self.size)
+
+    def counts(self, bins: int) -> np.ndarray:
+        """How often characters of each residue occur in each text."""
+        flat = np.bincount(self.of * bins + (self.codes % np.uint64(bins)).astype(np.int64), minlength=len(self.size) * bins)
+        return np.minimum(flat, 30_000).astype(np.int16).reshape(-1, bins)
+
+    def substrings(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(key, text)`` of all substrings, sorted; a key is the hash of the
+        substring and its position."""
+        n = max(0, len(self.codes) - width + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(width):
+            h += self.codes[j : j + n] * _FACTORS[j % 64]
+        of = self.of[:n]
+        at = np.arange(n) - self.start[of]
+        whole = at + width <= self.size[of]
+        key = (_mixed(h) | at.astype(np.uint64))[whole]
+        order = np.argsort(key)
+        return key[order], of[whole][order]
+
+    def segments(self, share: int, least: int, most: int) -> dict[int, list[np.ndarray]]:
+        """``width: (hash, first position, last position, text)`` of the k + 1 segments
+        of every text, where partners are ``least`` to ``most`` characters long.
+
+        Segment i (of 0 to k) that is untouched while those before it all are touched
+        has i changes before it at least, and k - i at most after it."""
+        out: dict[int, list[list[np.ndarray]]] = {}
+        for n in np.unique(self.size).tolist():
+            longest = min(most, n * share // (share - 1))
+            k = max(n, longest) // share
+            shortest = max(least, n - k)
+            if longest < shortest:
+                continue
+            rows = np.flatnonzero(self.size == n)
+            cut = np.arange(k + 2) * n // (k + 1)
+            order = np.arange(k + 1)
+            first = np.maximum(np.maximum(cut[:-1] - order, cut[:-1] + shortest - n - (k - order)), 0)
+            last = np.minimum(cut[:-1] + order, cut[:-1] + longest - n + (k - order))
+            for width in np.unique(np.diff(cut)).tolist():
+                which = np.flatnonzero((np.diff(cut) == width) & (first <= last))
+                h = np.zeros((len(rows), len(which)), dtype=np.uint64)
+                at = self.start[rows][:, None] + cut[which]
+                for j in range(width):
+                    h += self.codes[at + j] * _FACTORS[j % 64]
+                wide = [np.tile(x[which].astype(np.uint64), len(rows)) for x in (first, last)]
+                out.setdefault(width, []).append([_mixed(h).ravel(), *wide, np.repeat(rows, len(which))])
+        return {w: [np.concatenate(c) for c in zip(*parts)] for w, parts in out.items()}
+
+
+def candidates(e: Block, t: Block, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of two blocks with a segment in common where it may stand."""
+    if not len(e.size) or not len(t.size):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    pairs = []
+    for width, (h, first, last, text) in e.segments(share, int(t.size.min()), int(t.size.max())).items():
+        key, of = t.substrings(width)
+        a = np.searchsorted(key, h | first)
+        count = np.searchsorted(key, h | last, side="right") - a
+        some = count > 0
+        a, count, text = a[some], count[some], text[some]
+        which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+        pairs.append(np.repeat(text, count) * len(t.size) + of[which])
+    both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+    i, j = both // len(t.size), both % len(t.size)
+    good = np.abs(e.size[i] - t.size[j]) <= np.maximum(e.size[i], t.size[j]) // share
+    return i[good], j[good]
+
+
+def unlike(e: Block, t: Block, i: np.ndarray, j: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that counts of characters do not rule out: a change alters two
+    counts by one at most."""
+    for bins in (64, 512):
+        x, y, kept = e.counts(bins), t.counts(bins), []
+        for at in range(0, len(i), TOGETHER):
+            a, b = i[at : at + TOGETHER], j[at : at + TOGETHER]
+            differ = np.abs(x[a] - y[b]).sum(axis=1, dtype=np.int32)
+            kept.append(np.flatnonzero(differ <= 2 * (np.maximum(e.size[a], t.size[b]) // share)) + at)
+        good = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
+        i, j = i[good], j[good]
+    return i, j
 
 
 _NEAR = "rep_eval bigint, rep_train bigint, distance int, longer int"
 
 
 def _verify_blocks(share: int):
-    """Kernel that compares a block of evaluation texts with one of training texts."""
+    """Kernel that joins a block of evaluation texts with one of training texts."""
 
     def run(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(e) and len(t):
-            for i, j in zip(*_alike(e["e_text"], t["t_text"], share)):
-                a, b = e["e_text"].iat[i], t["t_text"].iat[j]
-                longer = max(len(a), len(b))
-                if e["e_rep"].iat[i] != t["t_rep"].iat[j] and (d := within(a, b, longer // share)) <= longer // share:
-                    out.append((e["e_rep"].iat[i], t["t_rep"].iat[j], d, longer))
+        left, right = Block(e["e_text"]), Block(t["t_text"])
+        rep_e, rep_t = e["e_rep"].to_numpy(), t["t_rep"].to_numpy()
+        for i, j in zip(*unlike(left, right, *candidates(left, right, share), share)):
+            a, b = left.texts[i], right.texts[j]
+            k = max(len(a), len(b)) // share
+            if rep_e[i] != rep_t[j] and (d := within(a, b, k)) <= k:
+                out.append((rep_e[i], rep_t[j], d, max(len(a), len(b))))
         return pd.DataFrame(out, columns=["rep_eval", "rep_train", "distance", "longer"])
 
     return run
 
 
-def _near_long(of_eval: DataFrame, of_train: DataFrame, share: int) -> DataFrame:
-    """Pairs of texts of any length: every block of one side meets every block of
-    the other whose lengths come close enough."""
+def near_texts(texts: DataFrame, share: int = 5) -> DataFrame:
+    """``(rep_eval, rep_train, distance, longer)`` of distinct texts, one of each
+    side, that need changes in at most one of ``share`` characters of the longer.
+
+    ``texts`` has ``rep`` (unique), ``text``, ``in_train``, ``in_eval``. Every block of
+    one side meets every block of the other whose lengths come close enough."""
+    size = F.length("text")
+    texts = texts.withColumn("class", F.floor(F.log(size) / float(np.log(CLASS))).cast("int"))
 
-    def classed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        texts = texts.withColumn("class", F.floor(F.log(F.length("text")) / float(np.log(CLASS))).cast("int"))
-        sizes = texts.groupBy("class").agg(F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        return texts, sizes
+    def classed(side: str, block: int) -> tuple[DataFrame, DataFrame]:
+        own = texts.where(f"in_{side}").select("rep", "text", "class")
+        blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(size) / CHARACTERS)).cast("int")
+        return own, own.groupBy("class").agg(F.min(size).alias("least"), F.max(size).alias("most"), blocks.alias("blocks"))
 
-    (e, of_e), (t, of_t) = classed(of_eval), classed(of_train)
+    (e, of_e), (t, of_t) = classed("eval", EVAL_BLOCK), classed("train", TRAIN_BLOCK)
     names = ["class", "least", "most", "blocks"]
     of_e, of_t = of_e.withColumnsRenamed({c: f"e_{c}" for c in names}), of_t.withColumnsRenamed({c: f"t_{c}" for c in names})
-    # one row for each pair of classes, some hundreds at most
-    meet = F.broadcast(of_e.join(of_t, (F.col("e_most") * share >= F.col("t_least") * (share - 1)) & (F.col("t_most") * share >= F.col("e_least") * (share - 1))))
+    # one row for each pair of length classes: the classes of lengths up to 2^31 are
+    # under 200, so there are some thousands of rows at most whatever the input
+    close = (F.col("e_most") * share >= F.col("t_least") * (share - 1)) & (F.col("t_most") * share >= F.col("e_least") * (share - 1))
+    meet = F.broadcast(of_e.join(of_t, close))
 
-    def dealt(texts: DataFrame, own: str, other: str) -> DataFrame:
-        rows = texts.withColumnRenamed("class", f"{own}_class").join(meet, f"{own}_class")
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.withColumnRenamed("class", f"{own}_class").join(meet, f"{own}_class")
         rows = rows.withColumn(f"{own}_block", F.pmod(F.xxhash64("rep"), F.col(f"{own}_blocks")).cast("int"))
         rows = rows.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
         return rows.select(*(F.col(c).alias(f"{own}_{c}") for c in [*key, "rep", "text"]))
@@ -249,52 +255,25 @@ def _near_long(of_eval: DataFrame, of_train: DataFrame, share: int) -> DataFrame
     return left.cogroup(right).applyInPandas(_verify_blocks(share), _NEAR)
 
 
-def _near_short(texts: DataFrame, share: int) -> DataFrame:
-    """Pairs of evaluation texts under ``SHORT`` characters, by segments."""
-    size = F.length("text")
-    of_eval = texts.where(F.col("in_eval") & (size < SHORT)).select("rep", "text").mapInPandas(_segments(True), _SEGMENT)
-    of_train = texts.where(F.col("in_train") & (size * (share - 1) <= SHORT * share)).select("rep", "text").mapInPandas(_segments(False), _SEGMENT)
-    commonness = of_train.groupBy("gram").agg(F.count("*").alias("often"))
-    w = Window.partitionBy("rep").orderBy("often", "gram", "pos")
-    # a partner may be longer, up to len * share / (share - 1)
-    budget = F.floor(F.col("len") / (share - 1)).cast("int")
-    chosen = of_eval.join(commonness, "gram").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= budget + 1)
-    e = chosen.select("gram", F.col("rep").alias("rep_eval"), F.col("pos").alias("pe"), F.col("len").alias("le"))
-    t = of_train.select("gram", F.col("rep").alias("rep_train"), F.col("pos").alias("pt"), F.col("len").alias("lt"))
-    longer = F.greatest("le", "lt")
-    k = F.floor(longer / share).cast("int")
-    hits = e.join(t, "gram").where((F.abs(F.col("le") - F.col("lt")) <= k) & (F.abs(F.col("pe") - F.col("pt")) <= k) & (F.col("rep_eval") != F.col("rep_train")))
-    pairs = hits.select("rep_eval", "rep_train", longer.alias("longer"), k.alias("k")).distinct()
-    body = texts.select("rep", "text")
-    pairs = pairs.join(body.withColumnsRenamed({"rep": "rep_eval", "text": "text_eval"}), "rep_eval")
-    pairs = pairs.join(body.withColumnsRenamed({"rep": "rep_train", "text": "text_train"}), "rep_train")
-    return pairs.withColumn("distance", _distance("text_eval", "text_train", "k")).where("distance <= k").select("rep_eval", "rep_train", "distance", "longer")
-
-
-def near_texts(texts: DataFrame, share: int = 5) -> DataFrame:
-    """``(rep_eval, rep_train, distance, longer)`` of distinct texts, one of each
-    side, that need changes in at most one of ``share`` characters of the longer.
-
-    ``texts`` has ``rep`` (unique), ``text``, ``in_train``, ``in_eval``."""
-    long_eval = texts.where(F.col("in_eval") & (F.length("text") >= SHORT)).select("rep", "text")
-    long_train = texts.where(F.col("in_train") & (F.length("text") * share >= SHORT * (share - 1))).select("rep", "text")
-    return _near_short(texts, share).unionByName(_near_long(long_eval, long_train, share))
-
-
 def overlaps(examples: DataFrame, share: int = 5, least_words: int = 10) -> DataFrame:
     """``(example_train, example_eval, distance, longer, split, source_train, source_eval)``
-    for every pair of a training and an evaluation example whose texts agree."""
+    for every pair of a training and an evaluation example whose texts agree.
+
+    Copies are told by a 256-bit digest, so that ids are joined without their texts;
+    the joins are merge joins, whatever their size is taken for."""
     # read and normalised once: the branches below start from the written rows
-    labelled = cut_lineage(labelled_texts(examples, least_words).withColumn("in_train", F.col("split") == "train"))
-    texts = labelled.groupBy("text").agg(
-        F.min("example_id").alias("rep"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")
+    labelled = labelled_texts(examples, least_words).withColumns({"in_train": F.col("split") == "train", "digest": F.sha2("text", 256)})
+    labelled = cut_lineage(labelled)
+    texts = labelled.groupBy("digest").agg(
+        F.min("example_id").alias("rep"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"), F.any_value("text").alias("text")
     )
     texts = cut_lineage(texts)
-    members = labelled.join(texts.select("text", "rep"), "text").select("rep", "example_id", "split", "source", "in_train")
+    members = labelled.select("digest", "example_id", "split", "source", "in_train").hint("merge").join(texts.select("digest", "rep").hint("merge"), "digest").drop("digest")
     both = texts.where("in_train and in_eval")
     pairs = near_texts(texts, share).unionByName(
         both.select(F.col("rep").alias("rep_eval"), F.col("rep").alias("rep_train"), F.lit(0).alias("distance"), F.length("text").alias("longer"))
     )
     of_eval = members.where("not in_train").select(F.col("rep").alias("rep_eval"), F.col("example_id").alias("example_eval"), "split", F.col("source").alias("source_eval"))
     of_train = members.where("in_train").select(F.col("rep").alias("rep_train"), F.col("example_id").alias("example_train"), F.col("source").alias("source_train"))
-    return pairs.join(of_eval, "rep_eval").join(of_train, "rep_train").drop("rep_eval", "rep_train")
+    found = pairs.hint("merge").join(of_eval.hint("merge"), "rep_eval")
+    return found.hint("merge").join(of_train.hint("merge"), "rep_train").drop("rep_eval", "rep_train")

@@ -81,20 +81,39 @@ def test_copies_at_the_limit_are_found(spark):
     assert {(r.example_train, r.example_eval, r.distance) for r in overlap.overlaps(df).collect()} == want
 
 
-def test_common_characters_beyond_the_kept_ones(spark, monkeypatch):
-    """Blocks that are split, and characters that are not compared one by one, lose no pair."""
+def test_segments_and_counts_lose_no_pair(spark, monkeypatch):
+    """Every pair within a fifth has a segment in common where it may stand, and
+    passes the counts; blocks that are split lose none."""
     rng = random.Random(4)
-    texts = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=rng.randint(50, 70))) for _ in range(60)]
-    copies = [changed(t, 0.15, rng) for t in texts]
-    a, b = pd.Series(texts), pd.Series(copies)
-    near = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(copies) if levenshtein(x, y) * 5 <= max(len(x), len(y))}
-    monkeypatch.setattr(overlap, "BLOCK", 7)
-    for kept in (1024, 20, 1):
-        monkeypatch.setattr(overlap, "KEPT", kept)
-        assert near <= {*zip(*(x.tolist() for x in overlap._alike(a, b, 5)))} and len(near) > 40
+    texts = ["".join(rng.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=rng.randint(12, 90))) for _ in range(80)]
+    copies = [changed(t, 0.16, rng) for t in texts]
+    a, b = overlap.Block(pd.Series(copies)), overlap.Block(pd.Series(texts))
+    near = {(i, j) for i, x in enumerate(copies) for j, y in enumerate(texts) if levenshtein(x, y) * 5 <= max(len(x), len(y))}
+    i, j = overlap.candidates(a, b, 5)
+    assert near <= set(zip(i.tolist(), j.tolist())) and len(near) > 50 and len(i) < 80 * 80
+    i, j = overlap.unlike(a, b, i, j, 5)
+    assert near <= set(zip(i.tolist(), j.tolist()))
+    monkeypatch.setattr(overlap, "EVAL_BLOCK", 7)
+    monkeypatch.setattr(overlap, "TRAIN_BLOCK", 5)
     rows = [(i, "a/train.txt", list(t)) for i, t in enumerate(texts)] + [(100 + i, "a/dev.txt", list(t)) for i, t in enumerate(copies)]
     df = spark.createDataFrame(rows, "example_id long, path string, words array<string>").withColumns({"guid": F.lit(None).cast("string"), "source": F.lit("s")})
-    assert {(r.example_train, r.example_eval - 100) for r in overlap.overlaps(df).collect()} == near
+    assert {(r.example_eval - 100, r.example_train) for r in overlap.overlaps(df).collect()} == near
+
+
+def test_evenly_spread_changes_are_found():
+    """19 % of changes, evenly, at 60 to 600 characters."""
+    rng = random.Random(9)
+    texts = ["".join(chr(0x4E00 + rng.randrange(400)) for _ in range(n)) for n in (60, 90, 150, 300, 600) for _ in range(20)]
+    copies = ["".join("变" if i * 19 % 100 >= 81 else c for i, c in enumerate(t)) for t in texts]
+    a, b = overlap.Block(pd.Series(copies)), overlap.Block(pd.Series(texts))
+    i, j = overlap.unlike(a, b, *overlap.candidates(a, b, 5), 5)
+    assert {(k, k) for k in range(100)} <= set(zip(i.tolist(), j.tolist()))
+
+
+def test_no_broadcast_of_texts(spark, data):
+    """Only the pairs of length classes are broadcast."""
+    plan = overlap.overlaps(spark.read.parquet(f"{data}/examples.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2 and "e_rep" not in "".join(x for x in plan.split("\n") if "BroadcastExchange" in x)
 
 
 def test_overlap_edges(spark):
@@ -109,16 +128,40 @@ def test_overlap_edges(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def bins_of(lengths, placed):
+    bins = {}
+    for n, (b, slot, c) in zip(lengths, placed):
+        bins.setdefault(b, []).append((n, slot, c))
+    return bins
+
+
 def test_packing_bins():
     rng = random.Random(2)
     lengths = [min(2048, int(rng.paretovariate(0.8) * 60)) for _ in range(5000)]
     placed = packing.pack_lengths(lengths, 2048)
-    total = {}
-    for n, (b, _) in zip(lengths, placed):
-        total[b] = total.get(b, 0) + n
-    assert max(total.values()) <= 2048 and len(set(placed)) == len(lengths)
-    assert len(total) <= 1.02 * sum(lengths) / 2048 + 1
-    assert packing.pack_lengths([], 10) == [] and packing.pack_lengths([10, 10], 10) == [(0, 0), (1, 0)]
+    bins = bins_of(lengths, placed)
+    assert max(sum(n for n, _, _ in b) for b in bins.values()) <= 2048 and len(set(placed)) == len(lengths)
+    assert len(bins) <= 1.02 * sum(lengths) / 2048 + 1
+    assert packing.pack_lengths([], 10) == [] and packing.pack_lengths([10, 10], 10) == [(0, 0, 1), (1, 0, 1)]
+    assert packing.pack_lengths([1] * 25, 10, classes=4) == [(b, s, 4) for b in (0, 1) for s in range(10)] + [(2, s, 4) for s in range(5)]
+
+
+def test_packing_by_class():
+    """Bins hold their class's fixed number of its items; pure ones nothing else."""
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 1000) for _ in range(3000)]
+    for top_up in (False, True):
+        last = {}
+        for k, b in sorted(bins_of(lengths, packing.pack_lengths(lengths, 1000, 20, top_up)).items()):
+            (c,) = {x for _, _, x in b}
+            own = [n for n, _, _ in b if packing.size_class(n, 1000, 20) == c]
+            assert top_up or len(own) == len(b)
+            assert all(packing.size_class(n, 1000, 20) >= c for n, _, _ in b) and sum(n for n, _, _ in b) <= 1000
+            assert sorted(s for _, s, _ in b) == list(range(len(b)))
+            if c < 20:
+                assert last.get(c, c) == c  # only the last bin of a class may hold fewer
+                last[c] = len(own)
+                assert len(own) <= c
 
 
 def test_packing_keeps_every_document(spark):
