@@ -1,18 +1,25 @@
 """Problem 7: filling fixed-capacity containers with items.
 
-Best-fit decreasing in shards, in place of harmonic packing. A document of more
-than the capacity is cut into full pieces and a rest; no other document is cut.
-Workers pack independent shards of bounded size. Within a shard an item, largest
-first, goes to the tightest bin with room for it, and only where none has room a
-new bin is opened. ``size_class`` j (lengths in (C/(j+1), C/j], of which j fill a
-bin) is told of each item but decides nothing: bins of one class each leave more
-room over.
+Harmonic packing. A document of more than the capacity is cut into full pieces and
+a rest; no other document is cut. Lengths are partitioned into reciprocal-capacity
+classes: class j holds the lengths in (C/(j+1), C/j], of which exactly j fit a bin
+whatever they are; all below C/``classes`` are one last class of small items. Workers
+fill independent shards of bounded size. In a shard the classes are taken from the
+largest lengths down, and every bin of class j gets exactly j items of the class, the
+last one of a class what is left of it.
+
+Bins of one class each leave room over (a sixth on the given documents). With
+``top_up`` (the default, as the room left over shall be as small as possible) a bin that has
+its class's items is filled up at once with items of smaller classes, each time the
+longest one that still fits; these are taken out of their class before its own bins
+are filled. Without it bins are pure in class.
 
 Only ids and lengths are shuffled, never texts.
 
 Defined results: every document comes out; null and empty texts have no tokens
-and stand in no bin (``bin_id`` null); the result depends on ids and lengths
-only, not on partitioning; repeated rows keep their own ids.
+and stand in no bin (``bin_id`` null); ``size_class`` is the class of the item,
+``bin_class`` the one whose items the bin was opened for; the result depends on ids and
+lengths only, not on partitioning; repeated rows keep their own ids.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_ITEMS = 20_000
+#: Lengths under a capacity's share of this number are one class.
+CLASSES = 64
 
 
 @lru_cache(maxsize=2)
@@ -55,37 +64,56 @@ def count_tokens(documents: DataFrame, id_column: str = "doc_id", text: str = "t
     return spread(docs).mapInPandas(scan, "doc_id bigint, n_tokens bigint")
 
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
-    """``(bin, slot)`` of each length (all between 1 and the capacity).
-
-    Rooms are kept in a bit mask, so the tightest bin is found at once."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask, bins, placed = 0, 0, [(0, 0)] * len(lengths)
-    filled: list[int] = []
-    for i in order:
-        n = lengths[i]
-        fit = mask >> n
-        if fit:
-            room = n + (fit & -fit).bit_length() - 1
-            b = rooms[room].pop()
-            if not rooms[room]:
-                mask &= ~(1 << room)
-        else:
-            b, room = bins, capacity
+def size_class(n: int, capacity: int, classes: int) -> int:
+    """j for lengths in (C/(j+1), C/j], at most ``classes``."""
+    return min(capacity // n, classes)
+
+
+def pack_lengths(lengths: list[int], capacity: int, classes: int = CLASSES, top_up: bool = True) -> list[tuple[int, int, int]]:
+    """``(bin, slot, class of the bin)`` of each length (all between 1 and the capacity)."""
+    by_class: dict[int, list[int]] = {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i), reverse=True):
+        by_class.setdefault(size_class(lengths[i], capacity, classes), []).append(i)  # longest last
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]  # items by length
+    mask = 0  # lengths of which an item waits
+    for j, items in by_class.items():
+        for i in items:
+            waiting[lengths[i]].append(i)
+            mask |= 1 << lengths[i]
+
+    def longest(most: int) -> int:
+        """The first item of the longest length up to ``most`` that waits, taken out; -1 if none."""
+        nonlocal mask
+        n = (mask & ((2 << most) - 1)).bit_length() - 1
+        if n <= 0:
+            return -1
+        i = waiting[n].pop()
+        if not waiting[n]:
+            mask &= ~(1 << n)
+        return i
+
+    placed, bins = [(0, 0, 0)] * len(lengths), 0
+    for j in sorted(by_class):
+        least = capacity // (j + 1) + 1 if j < classes else 1
+        left = sum(len(waiting[n]) for n in range(least, capacity // j + 1))
+        while left:
+            room, filled = capacity, 0
+            # the last class is filled by length, the others by their fixed number
+            while left and (filled < j or j == classes):
+                i = longest(min(room, capacity // j))
+                if i < 0 or lengths[i] < least:
+                    break
+                placed[i] = (bins, filled, j)
+                room, filled, left = room - lengths[i], filled + 1, left - 1
+            while top_up and room and (i := longest(min(room, least - 1))) >= 0:
+                placed[i] = (bins, filled, j)
+                room, filled = room - lengths[i], filled + 1
             bins += 1
-            filled.append(0)
-        placed[i] = (b, filled[b])
-        filled[b] += 1
-        left = room - n
-        if left:
-            rooms[left].append(b)
-            mask |= 1 << left
     return placed
 
 
-def pack(counted: DataFrame, capacity: int = 2048, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """``(bin_id, slot, doc_id, piece, start_token, n_tokens, size_class)``.
+def pack(counted: DataFrame, capacity: int = 2048, shard_items: int = SHARD_ITEMS, classes: int = CLASSES, top_up: bool = True) -> DataFrame:
+    """``(bin_id, slot, doc_id, piece, start_token, n_tokens, size_class, bin_class)``.
 
     ``counted`` has ``doc_id`` and ``n_tokens``. A piece of full capacity is a
     bin of its own; all others are packed shard by shard."""
@@ -97,19 +125,21 @@ def pack(counted: DataFrame, capacity: int = 2048, shard_items: int = SHARD_ITEM
     pieces = counted.select("doc_id", "n_tokens", F.posexplode(starts).alias("piece", "start_token"))
     pieces = pieces.withColumn("n_tokens", F.least(n - F.col("start_token"), F.lit(capacity).cast("bigint")))
     shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("bigint")
-    pieces = pieces.withColumn("shard", shard).withColumn("size_class", F.when(n > 0, F.floor(F.lit(capacity) / n)))
+    pieces = pieces.withColumn("shard", shard).withColumn("size_class", F.when(n > 0, F.least(F.floor(F.lit(capacity) / n), F.lit(classes).cast("bigint"))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
-        placed = pack_lengths(pdf["n_tokens"].tolist(), capacity)
+        placed = pack_lengths(pdf["n_tokens"].tolist(), capacity, classes, top_up)
         first = int(pdf["shard"].iloc[0]) << 32
-        return pdf.assign(bin_id=[first + b for b, _ in placed], slot=[s for _, s in placed])[["bin_id", "slot", "doc_id", "piece", "start_token", "n_tokens", "size_class"]]
+        pdf = pdf.assign(bin_id=[first + b for b, _, _ in placed], slot=[s for _, s, _ in placed], bin_class=[c for _, _, c in placed])
+        return pdf[["bin_id", "slot", "doc_id", "piece", "start_token", "n_tokens", "size_class", "bin_class"]]
 
-    schema = "bin_id bigint, slot int, doc_id bigint, piece int, start_token bigint, n_tokens bigint, size_class bigint"
+    schema = "bin_id bigint, slot int, doc_id bigint, piece int, start_token bigint, n_tokens bigint, size_class bigint, bin_class bigint"
     packed = pieces.where(n > 0).groupBy("shard").applyInPandas(one, schema)
     empty = pieces.where(n == 0).select(
-        F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("int").alias("slot"), "doc_id", "piece", "start_token", "n_tokens", "size_class"
-    )
+        F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("int").alias("slot"), "doc_id", "piece", "start_token", "n_tokens", "size_class",
+        F.lit(None).cast("bigint").alias("bin_class"),
+    )
     return packed.unionByName(empty)
 
 
