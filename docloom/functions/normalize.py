@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import HAN, confusions
+from docloom.functions.text import confusions
 
 # --- fixed values -------------------------------------------------------------
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DIGIT_CONFUSIONS = [("O", "0"), ("I", "1"), ("T", "1"), ("Q", "0")]
 MONTH_CONFUSIONS = [("0C1", "OCT"), ("N0V", "NOV"), ("0CT", "OCT")]
+# Carriers as they are named on papers and the code before their flight numbers.
+CARRIERS = [("东航", "MU"), ("南航", "CZ"), ("厦航", "MF"), ("海航", "HU")]
+# Letters of which no two follow one another in a spelt name, ends that belong to
+# the name after, and titles.
+NEVER_TWO = ("L", "T", "F", "H")
+PULLED_BACK = ("ZHA", "ZH")
+TITLES = ("MS", "MR")
 # ------------------------------------------------------------------------------
 
 
@@ -24,12 +33,12 @@ def first_run(value: Column, pattern: str) -> Column:
 
 def date_run(value: Column) -> Column:
     """First run of date characters; values of up to two characters are emptied."""
-    v = first_run(value, "[0-9年月日./:-]+")
+    v = first_run(value, r"[\p{Nd}./:：,^年月日时分秒点-]+")
     return F.when(F.length(v) <= 2, F.lit("")).otherwise(v)
 
 
 def admission_number(value: Column) -> Column:
-    return first_run(value, "[0-9A-Za-z+-]+")
+    return first_run(value, r"[\p{Nd}A-Za-z+-]+")
 
 
 def two_digits(s: Column) -> Column:
@@ -64,21 +73,28 @@ def flight_date(value: Column) -> Column:
 
 
 def flight_date_iso(value: Column) -> Column:
-    """``12OCT19`` to ``19-10-12``, ``12OCT`` to ``10-12``; the first month in
-    calendar order counts."""
+    """``12OCT2019`` to ``2019-10-12``, ``12OCT`` to ``10-12``: what follows the month,
+    the month, what precedes it; blanks, colons and points are dashes. The month
+    that comes first in the calendar counts, where it first stands."""
     v = F.regexp_replace(value, "[ :：.]", "-")
     out = v
     for i in reversed(range(12)):
-        p = f"([0-9]{{1,2}})-?{MONTHS[i]}-?([0-9]{{2}})?"
-        day, year = F.regexp_extract(v, p, 1), F.regexp_extract(v, p, 2)
-        iso = F.concat_ws("-", F.when(year != "", year), F.lit(f"{i + 1:02d}"), two_digits(day))
-        out = F.when(v.contains(MONTHS[i]) & (day != ""), iso).otherwise(out)
+        at = F.instr(v, F.lit(MONTHS[i]))
+        year = F.substr(v, at + 3)
+        iso = F.concat_ws("-", F.when(year != "", year), F.lit(f"{i + 1:02d}"), F.substr(v, F.lit(1), at - 1))
+        out = F.when(at > 0, iso).otherwise(out)
     return out
 
 
-def flight_number(value: Column) -> Column:
-    """Digits only; values with ideographs are none."""
-    return F.when(value.rlike(f"[{HAN}]"), F.lit(None)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+def flight_number(value: Column, text: Column, carriers: list[tuple[str, str]] = CARRIERS) -> Column:
+    """The code of the first carrier whose name stands in ``text``, as does its code
+    with the digits of the value; else the value. With ideographs it is none."""
+    digits = F.regexp_replace(value, r"[^\p{Nd}]", "")
+    out = value
+    for name, code in reversed(carriers):
+        full = F.concat(F.lit(code), digits)
+        out = F.when(F.contains(text, F.lit(name)) & F.contains(text, full), full).otherwise(out)
+    return F.when(value.rlike("[一-龥]"), F.lit(None)).otherwise(out)
 
 
 def flight_number_cut(value: Column) -> Column:
@@ -92,18 +108,19 @@ def without_letters(value: Column) -> Column:
 
 
 def is_amount_text(text: Column) -> Column:
-    """Text that looks like an amount: a zero beside the point, no ideograph, no exponent."""
-    return text.rlike("\\.0|0\\.|(?i)\\.o|(?i)o\\.") & ~text.rlike(f"[{HAN}]") & ~text.contains("e-")
+    """Text that looks like an amount: a zero (or o) beside the point, no ideograph, no exponent."""
+    low = F.lower(text)
+    return low.rlike("\\.[0o]|[0o]\\.") & ~text.rlike("[一-龥]") & ~low.contains("e-")
 
 
-def department(value: Column, text: Column) -> Column:
-    """Closes a bracket or adds the ward word that follows in the text, and
-    corrects a common misreading."""
-    at = F.instr(text, value)
+def department(value: Column, text: Column, place: Column | None = None) -> Column:
+    """Adds the bracket and then the ward word that follow the value in the text, and
+    corrects a common misreading. ``place`` (from 1) is where the value stands."""
+    at = F.instr(text, value) if place is None else place
     tail = F.when(at > 0, F.substr(text, at + F.length(value), F.lit(3)))
-    v = F.when(tail.startswith(")"), F.concat(value, F.lit(")")))
-    v = v.when(tail.startswith("住院") & ~tail.startswith("住院号"), F.concat(value, F.lit("住院"))).otherwise(value)
-    return F.replace(v, F.lit("料"), F.lit("科"))
+    bracket = F.when(F.substring(tail, 1, 1).isin(")", "）"), F.lit(")")).otherwise(F.lit(""))
+    ward = F.when(tail.startswith("住院") & (tail != "住院号"), F.lit("住院")).otherwise(F.lit(""))
+    return F.replace(F.concat(value, bracket, ward), F.lit("料"), F.lit("科"))
 
 
 def name_near(value: Column, text: Column, cue: str = "姓名", reach: int = 50) -> Column:
@@ -119,26 +136,30 @@ def bracketless(value: Column) -> Column:
     return F.when(F.length(value) == 1, F.lit("")).otherwise(F.regexp_replace(value, "\\(.+\\)", ""))
 
 
-def syllables(known: list[str]):
-    """A column function: leading known syllables, longest first, until none fits.
-
-    One-letter syllables count only as the last letter."""
-    by_length: dict[int, set[str]] = {}
-    for s in known:
-        by_length.setdefault(len(s), set()).add(s.lower())
+def syllables_of(known: list[str]):
+    """A function: leading known syllables of a word, longest first, until none fits.
+    A syllable has two letters at least and is looked for up to one letter beyond
+    six, or beyond the letters left."""
+    listed = {k.lower() for k in known}
 
     def one(text: str) -> list[str]:
-        t, at, out = text.lower(), 0, []
-        while at < len(t):
-            n = next((n for n in range(7, 1, -1) if t[at : at + n] in by_length.get(n, ())), 0)
-            if not n and at == len(t) - 1 and t[at] in by_length.get(1, ()):
-                n = 1
+        rest, out = text.lower(), []
+        while rest:
+            most = min(6, len(rest)) + 1
+            n = next((n for n in range(most, 1, -1) if rest[:n] in listed), 0)
             if not n:
                 break
-            out.append(text[at : at + n])
-            at += n
+            out.append(rest[:n])
+            rest = rest[n:]
         return out
 
+    return one
+
+
+def syllables(known: list[str]):
+    """:func:`syllables_of` as a column function."""
+    one = syllables_of(known)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(value: pd.Series) -> pd.Series:
         return value.map(lambda v: None if v is None else one(v))
@@ -146,9 +167,61 @@ def syllables(known: list[str]):
     return split
 
 
-def latin_name(value: Column) -> Column:
-    """A Latin passenger name: without the field word and plus signs, cut after a
-    title and before ideographs; one letter is no name."""
-    v = F.regexp_replace(F.regexp_replace(F.upper(value), f"[{HAN}].*$", ""), "NAME|\\+", "")
-    v = F.regexp_replace(v, "(MR|MS)[^A-Z].*$", "$1")
-    return F.when(F.length(F.trim(v)) <= 1, F.lit(None)).otherwise(F.trim(v))
+def passenger_name(known: list[str]):
+    """A column function of a value and the text it stands in: the passenger's name.
+
+    The value is found again in the text, takes back letters that were cut off before
+    it, takes in the title or the letter after it, is cut at letters that never follow
+    one another, after a title and before ideographs, and loses the field word. Without
+    a title, a given name (after the slash) that spells no known syllables to its end
+    is cut to its first syllable, one of more than two syllables to two. One letter is
+    no name (null); a value that the text does not hold, and null, stay."""
+    cut_up = syllables_of(known)
+    apart = re.compile("|".join(a + b for a in NEVER_TWO for b in NEVER_TWO))
+    title = re.compile("|".join(TITLES))
+    han = re.compile("[一-龥]")
+
+    def one(value, text):
+        if value is None or not value:
+            return value
+        text = (text or "").upper().replace("^", "")
+        at = text.find(value)
+        name = value
+        if at >= 0:
+            end = at + len(value)
+            for lost in PULLED_BACK:
+                if at >= len(lost) and text.endswith(lost, 0, at):
+                    at -= len(lost)
+            near = title.search(text[end : end + 4])
+            if near:
+                end += near.end()
+            name = text[at:end]
+            if name[-1] == "M" and end < len(text):
+                name = text[at : end + 1]
+            if name[0] == "U" and at:
+                name = text[at - 1 : end]
+        clash = apart.search(name)
+        if clash:
+            name = name[2:] if clash.start() == 0 else name[: clash.start()]
+        name = name.replace("NAME", "")
+        called = title.search(name)
+        if called:
+            name = name[: called.end()]
+        name = han.split(name, maxsplit=1)[0]
+        if len(name) == 1:
+            return None
+        parts = name.split("/")
+        if len(parts) > 1 and parts[1] and not title.search(name):
+            spelt = cut_up(parts[1])
+            if "".join(spelt) != parts[1].lower():
+                if spelt and spelt[0][0] == parts[1][0].lower():
+                    name = parts[0] + "/" + spelt[0].upper()
+            elif len(spelt) > 2:
+                name = parts[0] + "/" + "".join(spelt[:2]).upper()
+        return name.replace("+", "")
+
+    @F.pandas_udf(T.StringType())
+    def names(value: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([one(v, t) for v, t in zip(value, text)], dtype=object)
+
+    return names

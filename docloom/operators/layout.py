@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.normalize import is_amount_text, without_letters
+from docloom.functions.text import shared_characters
+
 
 def _doc():
     return Window.partitionBy("doc_id")
@@ -112,29 +115,61 @@ def paragraphs_by_edge(rows: DataFrame, keep_tail: bool = False) -> DataFrame:
 
 def to_text(boxes: DataFrame, few: int = 3) -> DataFrame:
     """``(doc_id, text)``: the whole chain; documents of fewer than ``few`` boxes
-    are strung together in input order, each box with a newline."""
-    sized = boxes.withColumn("__n", F.count("*").over(_doc()))
-    small = sized.where(F.col("__n") < few)
-    plain = F.array_sort(F.collect_list(F.struct("box_idx", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("t"))))
-    short = small.groupBy("doc_id").agg(F.array_join(F.transform(plain, lambda x: x["t"]), "").alias("text"))
-    laid = row_texts(gaps(ordered(rows_by_previous(geometry(sized.where(F.col("__n") >= few))))))
-    return short.unionByName(document_text(laid))
+    are strung together in input order, each box with a newline.
+
+    One plan for both: in a small document every box is a row of its own without blanks."""
+    small = F.count("*").over(_doc()) < few
+    g = rows_by_previous(geometry(boxes.withColumn("__small", small)))
+    g = g.withColumn("row_id", F.when(F.col("__small"), F.row_number().over(_input()).cast("bigint")).otherwise(F.col("row_id")))
+    return document_text(row_texts(gaps(ordered(g))))
+
+
+def column_at(x: Column, left: Column, mid: Column, right: Column, names: tuple[str, ...]) -> Column:
+    """The column of a value at ``x`` under headers at ``left``, ``mid`` and ``right``.
 
+    ``names`` are those of the columns before, between and beyond the headers: left of
+    the first header, strictly between it and the middle one, ..., right of the last.
+    What is in no such interval belongs to the one of the middle and the last header
+    that is nearer, to the one before the last if neither is."""
+    before, between, at_mid, rest, beyond = (F.lit(n) for n in names)
+    near = F.when(x - mid < right - x, at_mid).otherwise(rest)
+    return F.when((left < x) & (x < mid), between).when(x < left, before).when(x > right, beyond).otherwise(near)
 
-def columns_by_header(boxes: DataFrame, headers: DataFrame) -> DataFrame:
-    """Values to the column whose header they stand under.
 
-    ``headers`` has three positions ``left_x < mid_x < right_x`` per document;
-    a value between two of them belongs to the nearer, a tie to ``other``."""
+def columns_by_header(boxes: DataFrame, headers: DataFrame, names: tuple[str, ...] = ("before", "between", "at_mid", "rest", "beyond")) -> DataFrame:
+    """Values to the column they stand in; ``headers`` has ``left_x``, ``mid_x`` and
+    ``right_x`` per document (see :func:`column_at`)."""
     j = boxes.join(headers, "doc_id")
-    x = F.col("x_center")
-    dist = {n: F.abs(x - F.col(f"{n}_x")) for n in ("left", "mid", "right")}
-    best = F.least(*dist.values())
-    ties = sum(F.when(d == best, 1).otherwise(0) for d in dist.values())
-    pick = F.when(ties > 1, F.lit("other"))
-    for n, d in dist.items():
-        pick = pick.when(d == best, F.lit(n))
-    return j.select("doc_id", "box_idx", "text", pick.alias("column_name"))
+    return j.select("doc_id", "box_idx", "text", column_at(F.col("ax"), F.col("left_x"), F.col("mid_x"), F.col("right_x"), names).alias("column_name"))
+
+
+#: The columns of an itinerary's amounts from left to right, and its header words
+#: (the letters that two must share with a box): fixed values.
+FEES = ("Ticket_Fee", "Develop_Fee", "Oil_Fee", "Other_Fee", "Total_Fee")
+FEE_HEADERS = (("民航发展基金", 2), ("燃油附加费", 2), ("合计", 2))
+
+
+def fees(boxes: DataFrame, names: tuple[str, ...] = FEES, headers: tuple[tuple[str, int], ...] = FEE_HEADERS) -> DataFrame:
+    """``(doc_id, box_idx, category, value)``: the amounts of a page by their place.
+
+    A header is the last box that shares so many characters with its words. Pages
+    without all three headers give nothing. On a page with as many amounts as there
+    are names they are told by their order from left to right, else by the headers'
+    places. Places are those of the first corner; values lose letters and blanks.
+
+    Only headers and amounts are shuffled."""
+    text = F.col("text")
+    amount = F.coalesce(is_amount_text(text), F.lit(False))
+    heads = [F.coalesce(shared_characters(F.lit(words), text) >= least, F.lit(False)) for words, least in headers]
+    b = boxes.select("doc_id", "box_idx", "text", "ax", amount.alias("__fee"), *(h.alias(f"__h{i}") for i, h in enumerate(heads)))
+    b = b.where(F.col("__fee") | F.col("__h0") | F.col("__h1") | F.col("__h2"))
+    last = [F.max(F.when(F.col(f"__h{i}"), F.struct("box_idx", "ax"))).over(_doc())["ax"].alias(f"__x{i}") for i in range(3)]
+    b = b.select("doc_id", "box_idx", "text", "ax", "__fee", *last, F.count(F.when(F.col("__fee"), 1)).over(_doc()).alias("__n"))
+    b = b.where("__fee and __x0 is not null and __x1 is not null and __x2 is not null")
+    rank = F.row_number().over(_doc().orderBy("ax", "box_idx"))
+    by_place = column_at(F.col("ax"), F.col("__x0"), F.col("__x1"), F.col("__x2"), names)
+    b = b.withColumn("__r", rank).withColumn("category", F.when(F.col("__n") == len(names), F.get(F.array(*map(F.lit, names)), F.col("__r") - 1)).otherwise(by_place))
+    return b.select("doc_id", "box_idx", "category", without_letters(text).alias("value"))
 
 
 def columns_by_rank(boxes: DataFrame, names: tuple[str, ...]) -> DataFrame:

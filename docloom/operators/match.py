@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-def containment_ratio(values: DataFrame, entries: DataFrame, inside: float = 0.6, around: float = 0.5) -> DataFrame:
-    """``(value, list_pos, entry)``: the list entry meant by each distinct value.
+from docloom.operators.blocks import meet
+
+
+def containment_ratio(
+    values: DataFrame, entries: DataFrame, key: str, inside: float = 0.6, around: float = 0.5, never: tuple[str, ...] = ("GATE", "PLEASE")
+) -> DataFrame:
+    """``(key, value, list_pos, entry)``: the list entry meant by the ``value`` of each
+    row, given the ``text`` it comes from.
 
     An equal entry wins; else the first entry in list order that is contained in
     the value with a length ratio of ``inside``, or contains the value with a
-    ratio of ``around`` (an entry contained with too small a ratio is not tried
-    the other way). Values of up to three characters mean nothing."""
-    v = values.select("value").where("value is not null and length(value) > 3").distinct()
+    ratio of ``around`` and stands in the text itself (an entry contained with too
+    small a ratio is not tried the other way). Values of up to three characters and
+    those with a word of ``never`` mean nothing."""
+    some = F.col("value").isNotNull() & (F.length("value") > 3)
+    for word in never:
+        some &= ~F.contains("value", F.lit(word))
+    rows = values.select(key, "value", "text").where(some)
+    v = rows.select("value").distinct()
     e = entries.select(F.col("list_pos"), F.col("value").alias("entry")).where("length(entry) >= 3")
     # the shorter text's first three characters stand in the longer one, so the
     # candidates come from an equi-join and nothing is compared with everything
@@ -28,61 +37,76 @@ def containment_ratio(values: DataFrame, entries: DataFrame, inside: float = 0.6
     n, m = F.length("value"), F.length("entry")
     holds = F.contains("value", F.col("entry"))
     fits = (holds & (m / n >= inside)) | (~holds & F.contains(F.col("entry"), F.col("value")) & (n / m >= around))
-    first = F.struct((F.col("entry") != F.col("value")).cast("int"), F.col("list_pos"))
-    return pairs.where(fits).groupBy("value").agg(F.min_by("list_pos", first).alias("list_pos"), F.min_by("entry", first).alias("entry"))
+    # the entries of a value in the order in which they are tried: at most the list
+    tried = F.struct((F.col("entry") != F.col("value")).cast("int").alias("other"), "list_pos", "entry", (~holds).alias("in_text"))
+    lists = pairs.where(fits).groupBy("value").agg(F.array_sort(F.collect_set(tried)).alias("__tried"))
+    found = F.filter("__tried", lambda x: ~x["in_text"] | F.contains(F.coalesce("text", F.lit("")), x["entry"]))
+    return rows.join(lists, "value").select(key, "value", F.get(found, F.lit(0)).alias("__e")).where("__e is not null").select(key, "value", "__e.list_pos", "__e.entry")
 
 
 def overlap_top(queries: DataFrame, dictionary: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, entry_pos, overlap, rank)``: the ``k`` entries that share most
     distinct tokens with each query; of equal overlap later entries come first.
 
-    Both sides are ``(id, tokens)``; an inverted index on the token finds the
-    candidates, so entries that share nothing are never paired."""
-    q = queries.select(F.col("query_id"), F.explode(F.array_distinct("tokens")).alias("token"))
-    d = dictionary.select(F.col("entry_pos"), F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = q.join(d, "token").groupBy("query_id", "entry_pos").agg(F.count("*").alias("overlap"))
+    Both sides are ``(id, tokens)``. Blocks of them meet in tasks, where the postings
+    of a query's tokens are counted; a token that stands everywhere costs no more than
+    its postings, and only ``k`` entries a query and block are shuffled."""
+
+    def count(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(d):
+            entries = d["entry_pos"].to_numpy()
+            where: dict[str, list[int]] = {}
+            for i, tokens in enumerate(d["tokens"]):
+                for t in set(tokens):
+                    where.setdefault(t, []).append(i)
+            postings = {t: np.array(p) for t, p in where.items()}
+            for query, tokens in zip(q["query_id"], q["tokens"]):
+                hit = [postings[t] for t in set(tokens) if t in postings]
+                if not hit:
+                    continue
+                shared = np.bincount(np.concatenate(hit), minlength=len(entries))
+                some = np.flatnonzero(shared)
+                best = some[np.lexsort((-entries[some], -shared[some]))[:k]]
+                found.append(pd.DataFrame({"query_id": query, "entry_pos": entries[best], "overlap": shared[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "entry_pos": [], "overlap": []})
+
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, entry_pos {dictionary.schema['entry_pos'].dataType.simpleString()}, overlap bigint"
+    q = queries.select("query_id", "tokens").where("tokens is not null")
+    d = dictionary.select("entry_pos", "tokens").where("tokens is not null")
+    best = meet(q, d, "query_id", "entry_pos", count, ids)
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("entry_pos"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, rows: int = 65_536) -> DataFrame:
     """``(query_id, vec_id, similarity, rank)``: the ``k`` nearest vectors of each
     query, itself left out, ties by id.
 
-    The stated queries are taken in blocks of at most ``block`` vectors, which
-    bounds what is sent to the workers; every partition of ``vectors`` keeps its
-    own best ``k`` per query, so only those are shuffled."""
-    q = queries.select("vec_id", "embedding").where("embedding is not null")
-    size = q.count()
-    blocks = max(1, -(-size // block))
-    best = None
-    for b in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
-        ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
-        m = np.array([r["embedding"] for r in rows], dtype=np.float64)
-
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            if not len(ids):
-                return
-            unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                batch = batch[batch["embedding"].notna()]
-                if not len(batch):
-                    continue
-                x = np.array(batch["embedding"].tolist(), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                vec = batch["vec_id"].to_numpy()
-                sims = unit @ x.T
-                sims[ids[:, None] == vec[None, :]] = -np.inf
-                n = min(k, sims.shape[1])
-                part = np.argpartition(-sims, n - 1, axis=1)[:, :n] if n < sims.shape[1] else np.tile(np.arange(n), (len(ids), 1))
-                # ties at the border are kept, the global rank decides
-                least = np.take_along_axis(sims, part, 1).min(axis=1, keepdims=True)
-                i, j = np.nonzero((sims >= least) & np.isfinite(sims))
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": vec[j], "similarity": sims[i, j]})
-
-        one = vectors.select("vec_id", "embedding").mapInPandas(scan, "query_id bigint, vec_id bigint, similarity double")
-        best = one if best is None else best.unionByName(one)
+    Blocks of queries and of vectors meet in tasks as one matrix product; only the
+    best ``k`` of each query and block are shuffled."""
+
+    def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        unit = [np.array(list(c), dtype=np.float64) for c in (q["query"], v["embedding"])]
+        unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in unit]
+        ids, vec = q["query_id"].to_numpy(), v["vec_id"].to_numpy()
+        found = []
+        for at in range(0, len(ids), 256):
+            own = ids[at : at + 256]
+            sims = unit[0][at : at + 256] @ unit[1].T
+            sims[own[:, None] == vec[None, :]] = -np.inf
+            n = min(k, len(vec))
+            # ties at the border are kept, the global rank decides
+            least = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
+            i, j = np.nonzero((sims >= least) & np.isfinite(sims))
+            found.append(pd.DataFrame({"query_id": own[i], "vec_id": vec[j], "similarity": sims[i, j]}))
+        return pd.concat(found)
+
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).where("query is not null")
+    v = vectors.select("vec_id", "embedding").where("embedding is not null")
+    best = meet(q, v, "query_id", "vec_id", nearest, "query_id bigint, vec_id bigint, similarity double", block, rows)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -108,14 +108,21 @@ def responses(df: DataFrame, key: str = "raw_id", payload: str = "payload", miss
     return _parsed(df, key, payload).select(F.col("__key").alias(key), F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
+def _flat_boxes(depth: int) -> Column:
+    """The boxes of all pages of ``__pages`` in order, each after the one around it."""
+    pages = F.transform("__pages", lambda p, i: _boxes(_listed(result_of(p), "$.info"), i, F.lit(None).cast("string"), depth))
+    return F.flatten(F.filter(pages, lambda x: x.isNotNull()))
+
+
 def _all_boxes(df: DataFrame, key: str, payload: str, depth: int) -> DataFrame:
-    rows = F.flatten(
-        F.filter(
-            F.transform("__pages", lambda p, i: _boxes(_listed(result_of(p), "$.info"), i, F.lit(None).cast("string"), depth)),
-            lambda x: x.isNotNull(),
-        )
-    )
-    return _parsed(df, key, payload).select(F.col("__key").alias(key), F.inline(rows))
+    return _parsed(df, key, payload).select(F.col("__key").alias(key), F.inline(_flat_boxes(depth)))
+
+
+def payload_texts(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:
+    """``(key, text)`` of the payloads with boxes: the texts of all boxes in order, a
+    newline between two; boxes without text are left out. No shuffle."""
+    flat = _parsed(df, key, payload).select(F.col("__key").alias(key), _flat_boxes(depth).alias("__b")).where(F.size("__b") > 0)
+    return flat.select(key, F.array_join(F.transform("__b", lambda b: _get(b["box"], "$.text", "string")), "\n").alias("text"))
 
 
 def boxes(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:
@@ -143,11 +150,15 @@ def points(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth:
 
 def box_corners(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:
     """As :func:`boxes` with the four corners as columns ``ax ay bx by cx cy dx dy``,
-    read in the same pass; null where a corner is missing."""
+    read in the same pass (null where a corner is missing), and with ``box_no``, the
+    place of the box among all of its payload."""
     b = F.col("box")
     corner = [
         F.coalesce(_get(b, f"$.coord[{i}].{k}", "double"), _get(b, f"$.coord[{i}][{j}]", "double")).alias(f"{n}{k}")
         for i, n in enumerate("abcd")
         for j, k in enumerate("xy")
     ]
-    return _all_boxes(df, key, payload, depth).select(key, "page", "box_path", "level", "box_index", _get(b, "$.text", "string").alias("text"), *corner)
+    rows = _parsed(df, key, payload).select(F.col("__key").alias(key), F.posexplode(_flat_boxes(depth)).alias("box_no", "__b")).select(key, "box_no", "__b.*")
+    return rows.select(
+        key, "page", "box_no", "box_path", "level", "box_index", _get(b, "$.text", "string").alias("text"), _get(b, "$.score", "double").alias("score"), *corner
+    )

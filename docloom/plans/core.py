@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.operators import nested
 from docloom.plans import spans, tags, texts
+from docloom.plans.payloads import BOXES, listed
 from docloom.session import read
 
 
@@ -24,24 +25,11 @@ def p4_points(spark, sf_dir):
     return nested.points(read(spark, sf_dir, "ocr_raw"))
 
 
-def _listed(value: str, path: str) -> str:
-    return f"""CASE json_type({value}, '{path}') WHEN 'ARRAY' THEN from_json({value} -> '{path}', '["json"]') WHEN 'OBJECT' THEN [{value} -> '{path}'] END"""
-
-
-_BOXES = f"""WITH RECURSIVE parsed AS (SELECT raw_id, payload::JSON AS p FROM ocr_raw WHERE json_valid(payload)),
-lists AS (SELECT raw_id, CASE json_type(p) WHEN 'ARRAY' THEN from_json(p, '["json"]') WHEN 'OBJECT' THEN coalesce({_listed('p', '$.r_ls')}, [p]) END AS l FROM parsed),
-pages AS (SELECT raw_id, i::INTEGER AS page, l[i + 1] AS x FROM (SELECT raw_id, l, unnest(range(len(l))) AS i FROM lists)),
-res AS (SELECT raw_id, page, x, CASE json_type(x, '$.result') WHEN 'VARCHAR' THEN CASE WHEN json_valid(x ->> '$.result') THEN (x ->> '$.result')::JSON END ELSE x -> '$.result' END AS r FROM pages WHERE json_type(x) = 'OBJECT'),
-boxes(raw_id, page, box_path, parent_path, level, box_index, b) AS (
-  SELECT raw_id, page, page || '.' || i, NULL::VARCHAR, 0, i::INTEGER, l[i + 1] FROM (SELECT raw_id, page, l, unnest(range(len(l))) AS i FROM (SELECT raw_id, page, {_listed('r', '$.info')} AS l FROM res)) WHERE json_type(l[i + 1]) = 'OBJECT'
-  UNION ALL
-  SELECT raw_id, page, box_path || '.' || i, box_path, level + 1, i::INTEGER, l[i + 1] FROM (SELECT raw_id, page, box_path, level, l, unnest(range(len(l))) AS i FROM (SELECT raw_id, page, box_path, level, {_listed('b', '$.info')} AS l FROM boxes)) WHERE json_type(l[i + 1]) = 'OBJECT')"""
-
 SQL = {
-    "p4_found": f"{_BOXES} SELECT DISTINCT raw_id, box_path FROM boxes",
-    "p4_boxes": f"{_BOXES} SELECT raw_id, page, box_path, parent_path, level, box_index, b ->> '$.text' AS text, try_cast(b ->> '$.score' AS DOUBLE) AS score FROM boxes",
-    "p4_responses": f"""{_BOXES} SELECT raw_id, page, x ->> '$.error' AS error, r ->> '$.message' AS message, coalesce(len({_listed('r', '$.info')}), 0)::INTEGER AS n_elements FROM res""",
-    "p4_points": f"""{_BOXES}, pts AS (SELECT raw_id, box_path, i::INTEGER AS point_index, l[i + 1] AS p FROM (SELECT raw_id, box_path, l, unnest(range(len(l))) AS i FROM (SELECT raw_id, box_path, CASE WHEN json_type(b, '$.coord') = 'ARRAY' THEN from_json(b -> '$.coord', '["json"]') END AS l FROM boxes))),
+    "p4_found": f"WITH RECURSIVE {BOXES} SELECT DISTINCT raw_id, box_path FROM boxes",
+    "p4_boxes": f"WITH RECURSIVE {BOXES} SELECT raw_id, page, box_path, parent_path, level, box_index, b ->> '$.text' AS text, try_cast(b ->> '$.score' AS DOUBLE) AS score FROM boxes",
+    "p4_responses": f"""WITH RECURSIVE {BOXES} SELECT raw_id, page, x ->> '$.error' AS error, r ->> '$.message' AS message, coalesce(len({listed('r', '$.info')}), 0)::INTEGER AS n_elements FROM res""",
+    "p4_points": f"""WITH RECURSIVE {BOXES}, pts AS (SELECT raw_id, box_path, i::INTEGER AS point_index, l[i + 1] AS p FROM (SELECT raw_id, box_path, l, unnest(range(len(l))) AS i FROM (SELECT raw_id, box_path, CASE WHEN json_type(b, '$.coord') = 'ARRAY' THEN from_json(b -> '$.coord', '["json"]') END AS l FROM boxes))),
 xy AS (SELECT raw_id, box_path, point_index, coalesce(try_cast(p ->> '$.x' AS DOUBLE), try_cast(p ->> '$[0]' AS DOUBLE)) AS x, coalesce(try_cast(p ->> '$.y' AS DOUBLE), try_cast(p ->> '$[1]' AS DOUBLE)) AS y FROM pts)
 SELECT * FROM xy WHERE x IS NOT NULL OR y IS NOT NULL""",
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import normalize as nz
 from docloom.functions import text as tx
-from docloom.operators import envelope, layout, match, nested
-from docloom.schemas import LINE_BREAK
+from docloom.operators import envelope, layout, match, nested, values
+from docloom.plans.payloads import BOXES as PAYLOAD, CORNERS, TEXTS
+from docloom.schemas import LINE_BREAK, TASK_CATEGORIES
 from docloom.session import read
 from docloom.sources import readers
 
@@ -21,26 +23,26 @@ FIELDS = {
 }
 
 
-# ---- boxes laid over the held-out passages, six characters each ---------------
-def demo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.ceil(F.length("context") / 6).cast("int")
-    b = read(spark, sf_dir, "eval_items").where("context is not null and context <> ''")
-    b = b.select(F.col("item_id").alias("doc_id"), "context", F.explode(F.sequence(F.lit(0), n - 1)).alias("box_idx"))
-    i = F.col("box_idx")
-    x = ((i % 4) * 100 + (i * 37) % 20).cast("double")
-    y = (F.floor(i / 4) * 30 + (i * 13) % 9).cast("double")
-    w, h = (60 + (i * 7) % 30).cast("double"), (20 + i % 3).cast("double")
-    return b.select(
-        "doc_id", "box_idx", F.expr("substring(context, 6 * box_idx + 1, 6)").alias("text"), x.alias("ax"), y.alias("ay"), (x + w).alias("bx"), y.alias("by"),
-        (x + w).alias("cx"), (y + h).alias("cy"), x.alias("dx"), (y + h).alias("dy"),
-    )
-
-
-BOXES = """
-b0 AS (SELECT item_id AS doc_id, context, unnest(range(CAST(ceil(length(context) / 6.0) AS BIGINT)))::INTEGER AS i FROM eval_items WHERE context <> ''),
-b1 AS (SELECT doc_id, i AS box_idx, substring(context, 6 * i + 1, 6) AS text, ((i % 4) * 100 + (i * 37) % 20)::DOUBLE AS x, ((i // 4) * 30 + (i * 13) % 9)::DOUBLE AS y,
-  (60 + (i * 7) % 30)::DOUBLE AS w, (20 + i % 3)::DOUBLE AS h FROM b0),
-geo AS (SELECT doc_id, box_idx, text, y AS min_y, y + h / 2 AS avg_y, x AS x_start, x + w AS x_end, x + w / 2 AS x_center, h AS height FROM b1)"""
+# ---- the boxes of all recognised pages ---------------------------------------
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of any depth that have all four corners; a document is one page."""
+    b = nested.box_corners(read(spark, sf_dir, "ocr_raw")).dropna(subset=[n + k for n in "abcd" for k in "xy"])
+    return b.withColumns({"doc_id": F.concat_ws(".", "raw_id", "page"), "box_idx": F.col("box_no")}).drop("raw_id", "page", "box_no")
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: the recognised text of each document, of its first delivery."""
+    raw = read(spark, sf_dir, "ocr_raw")
+    texts = nested.payload_texts(raw).join(raw.select("raw_id", "doc_id"), "raw_id")
+    return texts.groupBy("doc_id").agg(F.min_by("text", "raw_id").alias("text"))
+
+
+def _with_texts(spark, sf_dir, *cats):
+    """Values of some categories with the text of their document, empty where there is none."""
+    m = _values(spark, sf_dir, *cats).select("mention_id", "doc_id", "task", "category", "value", "pred_type")
+    return m.join(document_texts(spark, sf_dir), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 ROWS = """
 r1 AS (SELECT *, lag(avg_y) OVER (PARTITION BY doc_id ORDER BY box_idx) AS prev FROM geo),
 rws AS (SELECT *, sum(CASE WHEN min_y >= prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY box_idx)::BIGINT AS row_id FROM r1)"""
@@ -48,11 +50,11 @@ ORDERED = """
 ord AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, row_id ORDER BY x_center, box_idx) - 1)::INTEGER AS row_pos FROM rws),
 gap AS (SELECT *, lead(x_start) OVER (PARTITION BY doc_id, row_id ORDER BY row_pos) AS nxt, avg(height) OVER (PARTITION BY doc_id, row_id) AS font FROM ord),
 spc AS (SELECT *, (2 * coalesce(greatest(trunc((nxt - x_end) / font + 2), 0), 0))::INTEGER AS n_blanks FROM gap),
-txt AS (SELECT doc_id, row_id, string_agg(text || repeat(' ', n_blanks), '' ORDER BY row_pos) AS text, max(x_end) AS x_end, avg(height) AS font FROM spc GROUP BY doc_id, row_id)"""
+txt AS (SELECT doc_id, row_id, string_agg(coalesce(text, '') || repeat(' ', n_blanks), '' ORDER BY row_pos) AS text, max(x_end) AS x_end, avg(height) AS font FROM spc GROUP BY doc_id, row_id)"""
 
 
 def _geo(spark, sf_dir):
-    return layout.geometry(demo_boxes(spark, sf_dir))
+    return layout.geometry(page_boxes(spark, sf_dir))
 
 
 def box_geometry(spark, sf_dir):
@@ -80,7 +82,7 @@ def _rows(spark, sf_dir):
 
 
 def layout_text(spark, sf_dir):
-    return layout.to_text(demo_boxes(spark, sf_dir))
+    return layout.to_text(page_boxes(spark, sf_dir))
 
 
 def layout_paragraphs(spark, sf_dir):
@@ -93,24 +95,27 @@ def layout_by_edge(spark, sf_dir):
 
 
 def font_size(spark, sf_dir):
-    return layout.font_size(_geo(spark, sf_dir), "doc_id")
+    return layout.font_size(_geo(spark, sf_dir), "doc_id").withColumn("font_size", F.round("font_size", 6))
 
 
 def header_columns(spark, sf_dir):
-    geo = _geo(spark, sf_dir)
-    heads = geo.where("box_idx < 3").groupBy("doc_id").agg(F.min("x_center").alias("left_x"), F.percentile("x_center", F.lit(0.5)).alias("mid_x"), F.max("x_center").alias("right_x"))
-    return layout.columns_by_header(geo.where("box_idx >= 3"), heads)
+    """The other boxes of a page under the first three as headers."""
+    geo = _geo(spark, sf_dir).withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("box_idx")))
+    at = [F.max(F.when(F.col("__r") == i + 1, F.col("ax"))).alias(n) for i, n in enumerate(("left_x", "mid_x", "right_x"))]
+    return layout.columns_by_header(geo.where("__r > 3"), geo.groupBy("doc_id").agg(*at))
 
 
 def rank_columns(spark, sf_dir):
-    geo = _geo(spark, sf_dir).where("box_idx < 5 and doc_id % 2 = 0 or box_idx < 4")
-    return layout.columns_by_rank(geo, ("first", "second", "third", "fourth", "fifth"))
+    return layout.columns_by_rank(_geo(spark, sf_dir), ("first", "second", "third", "fourth", "fifth"))
 
 
-def layout_of_responses(spark, sf_dir):
-    """Reading-order texts of the recognised pages themselves."""
-    b = nested.box_corners(read(spark, sf_dir, "ocr_raw")).where("level = 0").dropna(subset=[n + k for n in "abcd" for k in "xy"])
-    return layout.to_text(b.withColumns({"doc_id": F.col("raw_id") * 1000 + F.col("page"), "box_idx": F.col("box_index")}))
+#: Words on the given papers that stand for the headers of an itinerary.
+HEADS = (("检查部位", 2), ("出院日期", 2), ("合计", 2))
+
+
+def fees(spark, sf_dir):
+    """Amounts on recognised pages by the place of three header words."""
+    return layout.fees(page_boxes(spark, sf_dir), headers=HEADS)
 
 
 def ocr_codes(spark, sf_dir):
@@ -118,7 +123,7 @@ def ocr_codes(spark, sf_dir):
 
 
 def response_plain_text(spark, sf_dir):
-    b = nested.boxes(read(spark, sf_dir, "ocr_raw")).where("level = 0")
+    b = nested.box_corners(read(spark, sf_dir, "ocr_raw")).withColumn("box_index", F.col("box_no"))
     return envelope.plain_text(b, ["raw_id", "page"])
 
 
@@ -133,7 +138,7 @@ def restored_text(spark, sf_dir):
 
 
 def filtered_words(spark, sf_dir):
-    return read(spark, sf_dir, "eval_items").select("item_id", tx.without(F.col("context")).alias("text"))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(tx.without(F.col("text"))).alias("digest"))
 
 
 def char_tokens(spark, sf_dir):
@@ -142,20 +147,20 @@ def char_tokens(spark, sf_dir):
 
 
 def basic_tokens(spark, sf_dir):
-    t = tx.basic_tokens(F.col("context"))
-    return read(spark, sf_dir, "eval_items").select("item_id", F.size(t).alias("tokens"), F.array_join(t, " ").alias("text"))
+    t = tx.basic_tokens(F.col("text"))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(t).alias("tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 def word_pieces(spark, sf_dir):
     """Word pieces over a vocabulary of two-letter pieces (no SQL: greedy)."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     vocab = {a + b for a in letters for b in letters} | {"##" + a + b for a in letters for b in letters} | {"##" + a for a in letters} | set(letters)
-    t = tx.pieces(vocab)(tx.basic_tokens(F.col("context")))
-    return read(spark, sf_dir, "eval_items").select("item_id", F.size(t).alias("pieces"), F.array_join(t, " ").alias("text"))
+    t = tx.pieces(vocab)(tx.basic_tokens(F.col("text")))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(t).alias("pieces"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 def char_classes(spark, sf_dir):
-    c = read(spark, sf_dir, "eval_items").select(F.explode(F.split("context", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    c = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     c = c.where("c <> ''")
     return c.select("c", "n", tx.is_punctuation(F.col("c")).alias("punctuation"), tx.is_space(F.col("c")).alias("space"), tx.is_han(F.col("c")).alias("han"))
 
@@ -166,8 +171,8 @@ def regex_fields(spark, sf_dir):
 
 
 def pattern_first_match(spark, sf_dir):
-    t = read(spark, sf_dir, "eval_items").select("item_id", "context")
-    return tx.first_pattern(t, "item_id", "context", FLIGHT_PATTERNS)
+    t = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tx.first_pattern(t, "doc_id", "text", FLIGHT_PATTERNS)
 
 
 def digit_confusions(spark, sf_dir):
@@ -192,7 +197,19 @@ def flight_date_fix(spark, sf_dir):
 
 def number_fix(spark, sf_dir):
     v, c = _values(spark, sf_dir, "Flight_Number", "Admission_Number", "Ticket_Fee", "Total_Fee"), F.col("value")
-    return v.select("mention_id", nz.flight_number(c).alias("digits"), nz.flight_number_cut(c).alias("cut"), nz.admission_number(c).alias("run"), nz.without_letters(c).alias("amount"), nz.is_amount_text(c).alias("is_amount"))
+    return v.select("mention_id", nz.flight_number_cut(c).alias("cut"), nz.admission_number(c).alias("run"), nz.without_letters(c).alias("amount"), nz.is_amount_text(c).alias("is_amount"))
+
+
+#: Words of the given papers that stand in for carrier names, with codes of theirs.
+NAMED = [("航班", "UQ"), ("登机", "QY"), ("FLIGHT", "VJ"), ("改签", "ZX")]
+
+
+def flight_numbers(spark, sf_dir):
+    """Flight numbers completed by a carrier that the document names."""
+    v = _with_texts(spark, sf_dir, "Flight_Number")
+    value, text = F.replace("value", F.lit(" "), F.lit("")), F.upper("text")
+    cut = nz.flight_number_cut(value)
+    return v.select("mention_id", nz.flight_number(cut, text).alias("number"), nz.flight_number(F.regexp_replace(cut, "[A-Z]", ""), text, NAMED).alias("completed"))
 
 
 def names_cut(spark, sf_dir):
@@ -200,28 +217,42 @@ def names_cut(spark, sf_dir):
     return v.select("mention_id", nz.bracketless(c).alias("bracketless"))
 
 
+def _syllables(spark, sf_dir) -> list[str]:
+    """The syllables in which the place names of the list are spelt: endings after a
+    vowel and consonants before one; a list of some hundreds at most."""
+    places = read(spark, sf_dir, "gazetteer").where("list_name = 'place_py'").select(F.lower("value").alias("v"))
+    found = places.select(F.explode(F.regexp_extract_all("v", F.lit(r"(?:[zcs]h|[bpmfdtnlgkhjqxrzcsyw])?(?:[aeiouv]+)(?:ng|n|r)?(?![aeiouv])"), F.lit(0))).alias("s"))
+    return sorted(r["s"] for r in found.where("length(s) <= 6").distinct().collect())
+
+
 def latin_names(spark, sf_dir):
-    """Latin passenger names cut to the name (no SQL: Unicode case)."""
-    return _values(spark, sf_dir, "Name_PY").select("mention_id", nz.latin_name(F.col("value")).alias("name"))
+    """Latin passenger names, found again in their document (no SQL: sequential rules)."""
+    v = _with_texts(spark, sf_dir, "Name_PY")
+    return v.select("mention_id", nz.passenger_name(_syllables(spark, sf_dir))("value", "text").alias("name"))
 
 
 def name_syllables(spark, sf_dir):
     """Leading syllables of Latin place names, from the syllables of the list (no SQL: greedy)."""
-    known = ["zhang", "wang", "li", "zhao", "chen", "yang", "huang", "zhou", "wu", "xu", "sun", "hu", "zhu", "gao", "lin", "he", "guo", "ma", "luo", "liang", "song", "xie", "a", "e", "o", "xian", "jiang", "shan"]
-    s = nz.syllables(known)(F.lower("value"))
+    s = nz.syllables(_syllables(spark, sf_dir))(F.lower("value"))
     return _values(spark, sf_dir, "Origin_PY", "Destination_PY").select("mention_id", F.array_join(s, "-").alias("syllables"))
 
 
+def final_values(spark, sf_dir):
+    """Every value as its task hands it out (no SQL: it takes in the names' rules)."""
+    m = _with_texts(spark, sf_dir, *(c for cs in TASK_CATEGORIES.values() for c in cs))
+    places = read(spark, sf_dir, "gazetteer").where("list_name = 'place_py'")
+    return values.final_values(m, places, _syllables(spark, sf_dir)).select("mention_id", "final")
+
+
 def name_context(spark, sf_dir):
-    e = read(spark, sf_dir, "examples").where("words is not null").select("example_id", F.array_join("words", "").alias("text"))
-    v = F.substring("text", 201, 3)
-    return e.where("length(text) > 260").select("example_id", nz.name_near(v, F.col("text")).alias("name"))
+    """Names far from the cue word are emptied."""
+    v = _with_texts(spark, sf_dir, "Name")
+    return v.select("mention_id", nz.name_near(F.col("value"), F.col("text"), cue="日期").alias("name"))
 
 
 def departments(spark, sf_dir):
-    v = _values(spark, sf_dir, "Department").where("length(value) > 1")
-    text = F.concat(F.lit("入住"), "value", F.when(F.col("mention_id") % 3 == 0, ")").when(F.col("mention_id") % 3 == 1, "住院号").otherwise("住院中"))
-    return v.select("mention_id", nz.department(F.col("value"), text).alias("department"))
+    v = _with_texts(spark, sf_dir, "Department")
+    return v.select("mention_id", nz.department(F.col("value"), F.col("text")).alias("department"))
 
 
 def key_values(spark, sf_dir):
@@ -233,7 +264,7 @@ def key_values(spark, sf_dir):
 
 def gazetteer_ratio(spark, sf_dir):
     g = read(spark, sf_dir, "gazetteer").where("list_name = 'place_py'")
-    return match.containment_ratio(_values(spark, sf_dir, "Origin_PY", "Destination_PY"), g)
+    return match.containment_ratio(_with_texts(spark, sf_dir, "Origin_PY", "Destination_PY"), g, "mention_id")
 
 
 def absent_documents(spark, sf_dir):
@@ -245,8 +276,11 @@ def present_documents(spark, sf_dir):
 
 
 def low_scored_values(spark, sf_dir):
-    b = demo_boxes(spark, sf_dir).withColumn("score", (F.col("box_idx") % 10) / F.lit(10.0))
-    m = read(spark, sf_dir, "eval_items").select(F.col("item_id").alias("mention_id"), F.col("item_id").alias("doc_id"), F.concat(F.lit("x-"), F.substring("context", 26, 3)).alias("value"))
+    """Mentions whose value stands in a badly recognised box of their document."""
+    raw = read(spark, sf_dir, "ocr_raw")
+    b = nested.box_corners(raw).join(raw.select("raw_id", "doc_id"), "raw_id")
+    b = b.withColumn("box_idx", F.col("raw_id") * 1_048_576 + F.col("box_no"))
+    m = read(spark, sf_dir, "mentions").where("length(value) >= 4")
     return match.low_scored(m, b, 0.5)
 
 
@@ -254,8 +288,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         box_geometry, row_group, row_group_font, row_order, row_spacing, layout_text, layout_paragraphs, layout_by_edge, font_size, header_columns, rank_columns,
-        layout_of_responses, ocr_codes, response_plain_text, canonical_text, restored_text, filtered_words, char_tokens, basic_tokens, word_pieces, char_classes,
-        regex_fields, pattern_first_match, digit_confusions, date_normalize, flight_date_fix, number_fix, names_cut, latin_names, name_syllables, name_context, departments, key_values,
+        fees, ocr_codes, response_plain_text, canonical_text, restored_text, filtered_words, char_tokens, basic_tokens, word_pieces, char_classes,
+        regex_fields, pattern_first_match, digit_confusions, date_normalize, flight_date_fix, number_fix, flight_numbers, names_cut, latin_names, name_syllables, final_values, name_context, departments, key_values,
         gazetteer_ratio, absent_documents, present_documents, low_scored_values,
     )
 }
@@ -279,83 +313,114 @@ def _chain(v: str, pairs) -> str:
 def _flight_iso_sql(v: str) -> str:
     whens = ""
     for i, m in enumerate(_months):
-        p = f"'([0-9]{{1,2}})-?{m}-?([0-9]{{2}})?'"
-        day, year = f"regexp_extract({v}, {p}, 1)", f"regexp_extract({v}, {p}, 2)"
-        whens += f" WHEN contains({v}, '{m}') AND {day} <> '' THEN CASE WHEN {year} <> '' THEN {year} || '-' ELSE '' END || '{i + 1:02d}-' || {_z.format(day)}"
+        after, before = f"substring({v}, instr({v}, '{m}') + 3)", f"substring({v}, 1, instr({v}, '{m}') - 1)"
+        whens += f" WHEN contains({v}, '{m}') THEN CASE WHEN {after} <> '' THEN {after} || '-' ELSE '' END || '{i + 1:02d}-' || {before}"
     return f"CASE{whens} ELSE {v} END"
 
 
+def _column_sql(x: str, left: str, mid: str, right: str, names) -> str:
+    before, between, at_mid, rest, beyond = names
+    return f"CASE WHEN {left} < {x} AND {x} < {mid} THEN '{between}' WHEN {x} < {left} THEN '{before}' WHEN {x} > {right} THEN '{beyond}' WHEN {x} - {mid} < {right} - {x} THEN '{at_mid}' ELSE '{rest}' END"
+
+
+def _amount_sql(t: str) -> str:
+    shapes = " OR ".join(f"contains(lower({t}), '{x}')" for x in (".0", "0.", ".o", "o."))
+    return f"(({shapes}) AND NOT regexp_matches({t}, '[一-龥]') AND NOT contains(lower({t}), 'e-'))"
+
+
+def _shared_sql(words: str) -> str:
+    return " + ".join(f"contains(text, '{c}')::INTEGER" for c in dict.fromkeys(words)).join("()")
+
+
+def _flight_number_sql(v: str, carriers) -> str:
+    whens = " ".join(f"WHEN contains(t, '{n}') AND contains(t, '{c}' || d) THEN '{c}' || d" for n, c in carriers)
+    return f"(SELECT CASE WHEN regexp_matches({v}, '[一-龥]') THEN NULL {whens} ELSE {v} END FROM (SELECT regexp_replace({v}, '[^\\p{{Nd}}]', '', 'g') AS d))"
+
+
 _mention_values = "SELECT mention_id, value FROM mentions WHERE value IS NOT NULL AND category IN ({0})"
-_pattern_whens = " ".join(f"WHEN regexp_matches(context, '{p}') THEN {i}" for i, p in enumerate(FLIGHT_PATTERNS))
-_match_whens = " ".join(f"WHEN regexp_matches(context, '{p}') THEN regexp_extract(context, '{p}', 0)" for i, p in enumerate(FLIGHT_PATTERNS))
+_pattern_whens = " ".join(f"WHEN regexp_matches(text, '{p}') THEN {i}" for i, p in enumerate(FLIGHT_PATTERNS))
+_match_whens = " ".join(f"WHEN regexp_matches(text, '{p}') THEN regexp_extract(text, '{p}', 0)" for i, p in enumerate(FLIGHT_PATTERNS))
 _canon = f"regexp_replace(replace(text, chr(10), '{LINE_BREAK}'), '{SPACE_CLASS}', '', 'g')"
 
 SQL = {
-    "box_geometry": f"WITH {BOXES} SELECT doc_id, box_idx, min_y, avg_y, x_start, x_end, x_center, height FROM geo",
-    "row_group": f"WITH {BOXES}, {ROWS} SELECT doc_id, box_idx, row_id FROM rws",
-    "row_group_font": f"""WITH {BOXES}, f1 AS (SELECT *, avg(height) OVER (PARTITION BY doc_id ORDER BY box_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f,
+    "box_geometry": f"WITH RECURSIVE {CORNERS} SELECT doc_id, box_idx, min_y, avg_y, x_start, x_end, x_center, height FROM geo",
+    "row_group": f"WITH RECURSIVE {CORNERS}, {ROWS} SELECT doc_id, box_idx, row_id FROM rws",
+    "row_group_font": f"""WITH RECURSIVE {CORNERS}, f1 AS (SELECT *, avg(height) OVER (PARTITION BY doc_id ORDER BY box_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS f,
   lead(box_idx) OVER (PARTITION BY doc_id ORDER BY box_idx) IS NULL AS last FROM geo),
 f2 AS (SELECT *, CASE WHEN last THEN coalesce(lag(f) OVER (PARTITION BY doc_id ORDER BY box_idx), f) ELSE f END AS font, lag(avg_y) OVER (PARTITION BY doc_id ORDER BY box_idx) AS prev FROM f1)
 SELECT doc_id, box_idx, sum(CASE WHEN avg_y >= prev + font THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY box_idx)::BIGINT AS row_id FROM f2""",
-    "row_order": f"WITH {BOXES}, {ROWS}, {ORDERED} SELECT doc_id, box_idx, row_id, row_pos FROM ord",
-    "row_spacing": f"WITH {BOXES}, {ROWS}, {ORDERED} SELECT doc_id, box_idx, n_blanks FROM spc",
-    "layout_text": f"""WITH {BOXES}, {ROWS}, {ORDERED}, n AS (SELECT doc_id, count(*) AS n FROM geo GROUP BY doc_id)
+    "row_order": f"WITH RECURSIVE {CORNERS}, {ROWS}, {ORDERED} SELECT doc_id, box_idx, row_id, row_pos FROM ord",
+    "row_spacing": f"WITH RECURSIVE {CORNERS}, {ROWS}, {ORDERED} SELECT doc_id, box_idx, n_blanks FROM spc",
+    "layout_text": f"""WITH RECURSIVE {CORNERS}, {ROWS}, {ORDERED}, n AS (SELECT doc_id, count(*) AS n FROM geo GROUP BY doc_id)
 SELECT doc_id, string_agg(text || chr(10), '' ORDER BY row_id) AS text FROM txt JOIN n USING (doc_id) WHERE n >= 3 GROUP BY doc_id
-UNION ALL SELECT doc_id, string_agg(text || chr(10), '' ORDER BY box_idx) FROM geo JOIN n USING (doc_id) WHERE n < 3 GROUP BY doc_id""",
-    "layout_paragraphs": f"""WITH {BOXES}, {ROWS}, {ORDERED}, e AS (SELECT *, max(x_end) OVER (PARTITION BY doc_id) - x_end >= 2 * font AS ends FROM txt)
+UNION ALL SELECT doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY box_idx) FROM geo JOIN n USING (doc_id) WHERE n < 3 GROUP BY doc_id""",
+    "layout_paragraphs": f"""WITH RECURSIVE {CORNERS}, {ROWS}, {ORDERED}, e AS (SELECT *, max(x_end) OVER (PARTITION BY doc_id) - x_end >= 2 * font AS ends FROM txt)
 SELECT doc_id, string_agg(text || CASE WHEN ends THEN chr(10) ELSE '' END, '' ORDER BY row_id) AS text FROM e GROUP BY doc_id""",
-    "layout_by_edge": f"""WITH {BOXES}, {ROWS}, {ORDERED}, e AS (SELECT *, max(x_end) OVER (PARTITION BY doc_id) - x_end >= 2 * font AS ends FROM txt),
+    "layout_by_edge": f"""WITH RECURSIVE {CORNERS}, {ROWS}, {ORDERED}, e AS (SELECT *, max(x_end) OVER (PARTITION BY doc_id) - x_end >= 2 * font AS ends FROM txt),
 p AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS para FROM e)
 SELECT doc_id, row_id, para, (row_number() OVER (PARTITION BY doc_id, para ORDER BY x_end, row_id) - 1)::INTEGER AS para_pos FROM p QUALIFY max(ends::INTEGER) OVER (PARTITION BY doc_id, para) = 1""",
-    "font_size": f"WITH {BOXES} SELECT doc_id, avg(height) AS font_size FROM geo GROUP BY doc_id",
-    "header_columns": f"""WITH {BOXES}, h AS (SELECT doc_id, min(x_center) AS l, quantile_cont(x_center, 0.5) AS m, max(x_center) AS r FROM geo WHERE box_idx < 3 GROUP BY doc_id),
-d AS (SELECT doc_id, box_idx, text, abs(x_center - l) AS dl, abs(x_center - m) AS dm, abs(x_center - r) AS dr FROM geo JOIN h USING (doc_id) WHERE box_idx >= 3)
-SELECT doc_id, box_idx, text, CASE WHEN (dl = least(dl, dm, dr))::INTEGER + (dm = least(dl, dm, dr))::INTEGER + (dr = least(dl, dm, dr))::INTEGER > 1 THEN 'other'
-  WHEN dl = least(dl, dm, dr) THEN 'left' WHEN dm = least(dl, dm, dr) THEN 'mid' ELSE 'right' END AS column_name FROM d""",
-    "rank_columns": f"""WITH {BOXES}, s AS (SELECT * FROM geo WHERE (box_idx < 5 AND doc_id % 2 = 0) OR box_idx < 4)
-SELECT doc_id, box_idx, text, ['first', 'second', 'third', 'fourth', 'fifth'][row_number() OVER (PARTITION BY doc_id ORDER BY x_center, box_idx)] AS column_name FROM s QUALIFY count(*) OVER (PARTITION BY doc_id) = 5""",
+    "font_size": f"WITH RECURSIVE {CORNERS} SELECT doc_id, round(avg(height), 6) AS font_size FROM geo GROUP BY doc_id",
+    "header_columns": f"""WITH RECURSIVE {CORNERS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY box_idx) AS r FROM geo),
+h AS (SELECT doc_id, max(ax) FILTER (WHERE r = 1) AS l, max(ax) FILTER (WHERE r = 2) AS m, max(ax) FILTER (WHERE r = 3) AS e FROM o GROUP BY doc_id)
+SELECT doc_id, box_idx, text, {_column_sql('ax', 'l', 'm', 'e', ('before', 'between', 'at_mid', 'rest', 'beyond'))} AS column_name FROM o JOIN h USING (doc_id) WHERE r > 3""",
+    "rank_columns": f"""WITH RECURSIVE {CORNERS}
+SELECT doc_id, box_idx, text, ['first', 'second', 'third', 'fourth', 'fifth'][row_number() OVER (PARTITION BY doc_id ORDER BY x_center, box_idx)] AS column_name FROM geo QUALIFY count(*) OVER (PARTITION BY doc_id) = 5""",
+    "fees": f"""WITH RECURSIVE {CORNERS}, k AS (SELECT *, {_amount_sql('text')} AS fee, {', '.join(f"{_shared_sql(w)} >= {n} AS h{i}" for i, (w, n) in enumerate(HEADS))} FROM geo WHERE text IS NOT NULL),
+w AS (SELECT *, {', '.join(f"arg_max(ax, box_idx) FILTER (WHERE h{i}) OVER (PARTITION BY doc_id) AS a{i}" for i in range(3))}, count(*) FILTER (WHERE fee) OVER (PARTITION BY doc_id) AS n FROM k),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ax, box_idx) AS r FROM w WHERE fee AND a0 IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL)
+SELECT doc_id, box_idx, CASE WHEN n = 5 THEN {list(layout.FEES)}[r] ELSE {_column_sql('ax', 'a0', 'a1', 'a2', layout.FEES)} END AS category, regexp_replace(text, '[A-Za-z ]', '', 'g') AS value FROM f""",
+    "response_plain_text": f"""WITH RECURSIVE {CORNERS} SELECT raw_id, page, string_agg(coalesce(text, '') || chr(10), '' ORDER BY box_idx) AS text FROM crn GROUP BY raw_id, page""",
+    "ocr_codes": f"""WITH RECURSIVE {PAYLOAD}, r AS (SELECT o.raw_id, coalesce(x ->> '$.error', '') AS error, coalesce(r ->> '$.message', '') AS message, x ->> '$.error' IS NULL AND r ->> '$.message' IS NULL AS missing
+  FROM (SELECT raw_id, page, l[page + 1] AS x, CASE WHEN json_type(l[page + 1]) = 'OBJECT' THEN CASE json_type(l[page + 1], '$.result') WHEN 'VARCHAR' THEN CASE WHEN json_valid(l[page + 1] ->> '$.result') THEN (l[page + 1] ->> '$.result')::JSON END ELSE l[page + 1] -> '$.result' END END AS r
+    FROM (SELECT raw_id, l, unnest(range(len(l))) AS page FROM lists)) q RIGHT JOIN ocr_raw o USING (raw_id) WHERE q.raw_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM lists l WHERE l.raw_id = o.raw_id AND len(l.l) = 0)),
+c AS (SELECT CASE WHEN missing THEN '10002' WHEN message <> 'success' OR error <> '' THEN '10006' ELSE '200' END AS code FROM r)
+SELECT code, count(*) AS responses FROM c WHERE code <> '200' GROUP BY code""",
     "canonical_text": f"SELECT doc_id, length({_canon})::INTEGER AS n, md5({_canon}) AS digest FROM documents WHERE text IS NOT NULL",
     "restored_text": f"SELECT doc_id, md5(replace({_canon}, '{LINE_BREAK}', chr(10))) AS digest FROM documents WHERE text IS NOT NULL",
-    "filtered_words": "SELECT item_id, translate(context, '。【】', '') AS text FROM eval_items",
+    "filtered_words": "SELECT doc_id, md5(translate(text, '。【】', '')) AS digest FROM documents WHERE text IS NOT NULL",
     "char_tokens": f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b\\x{{0085}}\\x1c-\\x1f]', '', 'g'), '(?i){LINE_BREAK}|\\S') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(t)::INTEGER AS tokens, len(list_distinct(t))::INTEGER AS distinct_tokens FROM t""",
-    "basic_tokens": """WITH t AS (SELECT item_id, regexp_extract_all(lower(context), '[一-鿿]|[^\\s\\pP\\pS一-鿿]+|[\\pP\\pS]') AS t FROM eval_items)
-SELECT item_id, len(t)::INTEGER AS tokens, array_to_string(t, ' ') AS text FROM t""",
-    "char_classes": r"""WITH c AS (SELECT unnest(string_split(context, '')) AS c FROM eval_items), g AS (SELECT c, count(*) AS n FROM c WHERE c <> '' GROUP BY c)
+    "basic_tokens": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[一-鿿]|[^\\s\\pP\\pS一-鿿]+|[\\pP\\pS]') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(t)::INTEGER AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
+    "char_classes": r"""WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents), g AS (SELECT c, count(*) AS n FROM c WHERE c <> '' GROUP BY c)
 SELECT c, n, regexp_matches(c, '^[\pP!-/:-@\[-`{-~]$') AS punctuation, c IN (' ', chr(9), chr(10), chr(13)) OR regexp_matches(c, '^\p{Zs}$') AS space, regexp_matches(c, '^[一-鿿㐀-䶿豈-﫿]$') AS han FROM g""",
     "regex_fields": " UNION ALL ".join(
         f"SELECT category, regexp_replace(m, '{label}', '', 'g') AS value, sum(n)::BIGINT AS n FROM (SELECT '{c}' AS category, m, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS m FROM documents) GROUP BY m) GROUP BY ALL"
         for c, (p, label) in FIELDS.items()
     ),
-    "pattern_first_match": f"""WITH t AS (SELECT item_id, context, CASE {_pattern_whens} END AS pattern_pos, CASE {_match_whens} END AS match FROM eval_items)
-SELECT item_id, pattern_pos, match, replace(context, match, ' ') AS rest FROM t WHERE pattern_pos IS NOT NULL""",
+    "pattern_first_match": f"""WITH t AS (SELECT doc_id, text, CASE {_pattern_whens} END AS pattern_pos, CASE {_match_whens} END AS match FROM documents)
+SELECT doc_id, pattern_pos, match, replace(text, match, ' ') AS rest FROM t WHERE pattern_pos IS NOT NULL""",
     "digit_confusions": f"SELECT mention_id, {_chain('value', [('O', '0'), ('I', '1'), ('l', '1'), ('NAR', 'MAR'), ('NAY', 'MAY'), ('0CT', 'OCT'), ('N0V', 'NOV')])} AS fixed FROM mentions WHERE category = 'Flight_Date' AND value IS NOT NULL",
     "date_normalize": f"""WITH v AS ({_mention_values.format("'Admission_Date', 'Discharge_Date', 'Check_Date', 'Report_Date'")}),
-w AS (SELECT *, CASE WHEN regexp_extract(value, '[0-9年月日./:-]+') <> '' THEN regexp_extract(value, '[0-9年月日./:-]+') ELSE value END AS r, replace(value, '.', '-') AS d, replace(regexp_replace(value, '[年月]', '-', 'g'), '.', '-') AS f,
+w AS (SELECT *, CASE WHEN regexp_extract(value, '[\\p{{Nd}}./:：,^年月日时分秒点-]+') <> '' THEN regexp_extract(value, '[\\p{{Nd}}./:：,^年月日时分秒点-]+') ELSE value END AS r, replace(value, '.', '-') AS d, replace(regexp_replace(value, '[年月]', '-', 'g'), '.', '-') AS f,
   regexp_replace(regexp_replace(value, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}', '', 'g'), '[年月日./]', '-', 'g') AS i FROM v)
 SELECT mention_id, CASE WHEN length(r) <= 2 THEN '' ELSE r END AS run, {_iso_sql('d', 'value')} AS discharge, {_iso_sql('f', 'value')} AS fixed, {_iso_sql('i', 'i')} AS imaging FROM w""",
     "flight_date_fix": f"""WITH v AS ({_mention_values.format("'Flight_Date'")}), c AS (SELECT mention_id, {_chain("replace(value, ' ', '')", [('O', '0'), ('I', '1'), ('T', '1'), ('Q', '0'), ('0C1', 'OCT'), ('N0V', 'NOV'), ('0CT', 'OCT')])} AS c FROM v),
 f AS (SELECT mention_id, CASE WHEN regexp_matches(c, '[A-Za-z]') AND NOT regexp_matches(c, '{'|'.join(_months)}') THEN '' ELSE c END AS fixed FROM c), g AS (SELECT *, regexp_replace(fixed, '[ :：.]', '-', 'g') AS v FROM f)
 SELECT mention_id, fixed, {_flight_iso_sql('v')} AS iso FROM g""",
     "number_fix": f"""WITH v AS ({_mention_values.format("'Flight_Number', 'Admission_Number', 'Ticket_Fee', 'Total_Fee'")})
-SELECT mention_id, CASE WHEN NOT regexp_matches(value, '[一-鿿]') THEN regexp_replace(value, '[^0-9]', '', 'g') END AS digits, substring(replace(value, ' ', ''), 1, 6) AS cut,
-  CASE WHEN regexp_extract(value, '[0-9A-Za-z+-]+') <> '' THEN regexp_extract(value, '[0-9A-Za-z+-]+') ELSE value END AS run, regexp_replace(value, '[A-Za-z ]', '', 'g') AS amount,
-  regexp_matches(value, '\\.0|0\\.|\\.[oO]|[oO]\\.') AND NOT regexp_matches(value, '[一-鿿]') AND NOT contains(value, 'e-') AS is_amount FROM v""",
+SELECT mention_id, substring(replace(value, ' ', ''), 1, 6) AS cut,
+  CASE WHEN regexp_extract(value, '[\\p{{Nd}}A-Za-z+-]+') <> '' THEN regexp_extract(value, '[\\p{{Nd}}A-Za-z+-]+') ELSE value END AS run, regexp_replace(value, '[A-Za-z ]', '', 'g') AS amount, {_amount_sql('value')} AS is_amount FROM v""",
+    "flight_numbers": f"""WITH RECURSIVE {TEXTS}, v AS (SELECT mention_id, substring(replace(value, ' ', ''), 1, 6) AS v, upper(coalesce(text, '')) AS t FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category = 'Flight_Number' AND value IS NOT NULL),
+w AS (SELECT *, regexp_replace(v, '[A-Z]', '', 'g') AS u FROM v)
+SELECT mention_id, {_flight_number_sql('v', nz.CARRIERS)} AS number, {_flight_number_sql('u', NAMED)} AS completed FROM w""",
     "names_cut": f"""WITH v AS ({_mention_values.format("'Name', 'Name_PY'")}) SELECT mention_id, CASE WHEN length(value) = 1 THEN '' ELSE regexp_replace(value, '\\(.+\\)', '', 'g') END AS bracketless FROM v""",
-    "name_context": """WITH e AS (SELECT example_id, array_to_string(words, '') AS text FROM examples WHERE words IS NOT NULL), f AS (SELECT *, substring(text, 201, 3) AS v FROM e WHERE length(text) > 260),
+    "name_context": f"""WITH RECURSIVE {TEXTS}, f AS (SELECT mention_id, value AS v, coalesce(text, '') AS text FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category = 'Name' AND value IS NOT NULL),
 g AS (SELECT *, greatest(instr(text, v) - 1 - 50, 0) AS s FROM f)
-SELECT example_id, CASE WHEN contains(text, '姓名') AND NOT contains(substring(text, (s + 1)::BIGINT, length(v) + 100), '姓名') THEN '' ELSE v END AS name FROM g""",
-    "departments": """WITH v AS (SELECT mention_id, value, mention_id % 3 AS k FROM mentions WHERE category = 'Department' AND length(value) > 1)
-SELECT mention_id, replace(CASE k WHEN 0 THEN value || ')' WHEN 1 THEN value ELSE value || '住院' END, '料', '科') AS department FROM v""",
+SELECT mention_id, CASE WHEN contains(text, '日期') AND NOT contains(substring(text, (s + 1)::BIGINT, length(v) + 100), '日期') THEN '' ELSE v END AS name FROM g""",
+    "departments": f"""WITH RECURSIVE {TEXTS}, f AS (SELECT mention_id, value, CASE WHEN instr(text, value) > 0 THEN substring(text, instr(text, value) + length(value), 3) ELSE '' END AS tail FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category = 'Department' AND value IS NOT NULL)
+SELECT mention_id, replace(value || CASE WHEN left(tail, 1) IN (')', '）') THEN ')' ELSE '' END || CASE WHEN left(tail, 2) = '住院' AND tail <> '住院号' THEN '住院' ELSE '' END, '料', '科') AS department FROM f""",
     "key_values": r"""WITH m AS (SELECT category, unnest(CASE WHEN category = 'Flight_Number' THEN string_split(upper(replace(value, ' ', '')), ',') ELSE [upper(replace(value, ' ', ''))] END) AS value
 FROM mentions WHERE category IN ('Flight_Number', 'Flight_Date') AND regexp_matches(value, '^[A-Za-z0-9,. -]+$') AND doc_id IS NOT NULL)
 SELECT category, value, count(*) AS n FROM m WHERE value <> '' GROUP BY ALL""",
-    "gazetteer_ratio": f"""WITH v AS (SELECT DISTINCT value FROM mentions WHERE category IN ('Origin_PY', 'Destination_PY') AND length(value) > 3), g AS (SELECT list_pos, value AS entry FROM gazetteer WHERE list_name = 'place_py')
-SELECT value, list_pos, entry FROM v JOIN g ON (contains(value, entry) AND length(entry)::DOUBLE / length(value) >= 0.6) OR (NOT contains(value, entry) AND contains(entry, value) AND length(value)::DOUBLE / length(entry) >= 0.5)
-QUALIFY row_number() OVER (PARTITION BY value ORDER BY (entry <> value)::INTEGER, list_pos) = 1""",
+    "gazetteer_ratio": f"""WITH RECURSIVE {TEXTS}, v AS (SELECT mention_id, value, coalesce(text, '') AS text FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category IN ('Origin_PY', 'Destination_PY') AND length(value) > 3 AND NOT contains(value, 'GATE') AND NOT contains(value, 'PLEASE')),
+g AS (SELECT list_pos, value AS entry FROM gazetteer WHERE list_name = 'place_py')
+SELECT mention_id, value, list_pos, entry FROM v JOIN g ON (contains(value, entry) AND length(entry)::DOUBLE / length(value) >= 0.6) OR (NOT contains(value, entry) AND contains(entry, value) AND length(value)::DOUBLE / length(entry) >= 0.5 AND contains(text, entry))
+QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY (entry <> value)::INTEGER, list_pos) = 1""",
     "absent_documents": "SELECT mention_id FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM ocr_raw o WHERE o.doc_id = m.doc_id)",
     "present_documents": "SELECT category, count(*) AS n FROM mentions m WHERE EXISTS (SELECT 1 FROM ocr_raw o WHERE o.doc_id = m.doc_id) GROUP BY category",
-    "low_scored_values": f"""WITH {BOXES}, m AS (SELECT item_id AS doc_id, substring(context, 26, 3) AS part FROM eval_items),
-j AS (SELECT doc_id AS mention_id, box_idx, (box_idx % 10) / 10.0::DOUBLE AS score FROM m JOIN geo USING (doc_id) WHERE part <> '' AND contains(text, string_split(part, '-')[-1]) AND string_split(part, '-')[-1] <> '')
-SELECT mention_id, arg_min(score, box_idx) AS score, min(box_idx) AS box_idx FROM j GROUP BY mention_id HAVING arg_min(score, box_idx) < 0.5""",
+    "low_scored_values": f"""WITH RECURSIVE {CORNERS}, m AS (SELECT mention_id, doc_id, string_split(value, '-')[-1] AS part FROM mentions WHERE length(value) >= 4),
+j AS (SELECT mention_id, raw_id * 1048576 + box_idx AS box_idx, score FROM m JOIN ocr_raw USING (doc_id) JOIN (SELECT raw_id, box_idx, text, score FROM crn) USING (raw_id) WHERE part <> '' AND contains(text, part)),
+f AS (SELECT mention_id, score, box_idx FROM j QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY box_idx) = 1)
+SELECT mention_id, score, box_idx FROM f WHERE score < 0.5""",
 }

@@ -71,6 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is read as fewer partitions than there are cores; only then
     are its rows redistributed. Inputs that already have enough partitions
     are returned unchanged, without a shuffle."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -78,10 +79,12 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Clusters name it in ``spark.checkpoint.dir``; only where that is unset (as
-    in local tests) a folder of this machine is used."""
+    Clusters name it in ``spark.checkpoint.dir``; only where that is unset and all
+    runs on this machine (as in tests) a folder of this machine is used."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -90,5 +93,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and read it from there."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

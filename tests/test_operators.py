@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions import arrays, normalize, text
-from docloom.operators import assign, bio, datasets, envelope, layout, match, metrics, scoring, spans
+from docloom.operators import assign, bio, datasets, envelope, layout, match, metrics, scoring, spans, values
 from docloom.session import cut_lineage, spread
 
 
@@ -112,7 +112,10 @@ def test_flight_dates(spark):
     assert col(spark, "12 0CT", normalize.flight_date) == "12OCT"
     assert col(spark, "I2OCT19", normalize.flight_date) == "12OCT19"
     assert col(spark, "12OCT19", normalize.flight_date_iso) == "19-10-12"
+    assert col(spark, "12OCT2019", normalize.flight_date_iso) == "2019-10-12"
+    assert col(spark, "5 OCT.19", normalize.flight_date_iso) == "-19-10-5-"
     assert col(spark, "12OCT", normalize.flight_date_iso) == "10-12"
+    assert col(spark, "12/10", normalize.flight_date_iso) == "12/10"
     assert col(spark, "ABC", normalize.flight_date) == ""
 
 
@@ -122,22 +125,91 @@ def test_record_dates(spark):
     assert col(spark, "2019年1月5日", lambda v: normalize.discharge_date(v, fixed=True)) == "2019-01-05"
     assert col(spark, "2019年1月5日", normalize.imaging_date) == "2019-01-05"
     assert col(spark, "5日", normalize.date_run) == ""
+    assert col(spark, "入院2019年3月5日12时30分 次日", normalize.date_run) == "2019年3月5日12时30分"
+    assert col(spark, "2019-03-05,10：20^x", normalize.date_run) == "2019-03-05,10：20^"
+
+
+def on(spark, rows, expr):
+    """``expr`` of value and text over pairs of them."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v string, t string")
+    return [r.r for r in df.select("i", expr(F.col("v"), F.col("t")).alias("r")).orderBy("i").collect()]
+
+
+def test_flight_numbers(spark):
+    rows = [("CA1234", "东航 MU1234"), ("1234", "MU1234"), ("X1234", "南航CZ1234 东航MU1234"), ("航班1", ""), (None, "x"), ("5678", "海航 HU567")]
+    assert on(spark, rows, normalize.flight_number) == ["MU1234", "1234", "MU1234", None, None, "5678"]
 
 
 def test_numbers_and_names(spark):
-    assert col(spark, "CA1234", normalize.flight_number) == "1234"
-    assert col(spark, "航班1", normalize.flight_number) is None
     assert col(spark, "住院号:NK12-3 b", normalize.admission_number) == "NK12-3"
     assert col(spark, "WANG(A)", normalize.bracketless) == "WANG"
-    assert col(spark, "NAMEWANG/LI+", normalize.latin_name) == "WANG/LI"
+    amounts = {"12.0": True, "E-2.0": False, "1.O5": True, "合计1.0": False, "12.5": False, "o.5": True, "": False}
+    assert {v: col(spark, v, normalize.is_amount_text) for v in amounts} == amounts
     known = ["zhang", "wang", "li", "a"]
-    assert col(spark, "ZHANGLIA", normalize.syllables(known)) == ["ZHANG", "LI", "A"]
-    assert col(spark, "ZHANGXLI", normalize.syllables(known)) == ["ZHANG"]
+    assert col(spark, "ZHANGLIA", normalize.syllables(known)) == ["zhang", "li", "a"]
+    assert col(spark, "ZHANGXLI", normalize.syllables(known)) == ["zhang"]
+
+
+def test_passenger_names(spark):
+    known = ["zhang", "wang", "li", "ying", "hua", "a", "xiong", "qi", "feng"]
+    rows = [
+        ("XIONG/QIFENGSX", "NAME XIONG/QIFENGSX"),  # rest that spells nothing: the first syllable
+        ("WANG/LIYINGHUA", "WANG/LIYINGHUA SEAT"),  # three syllables: two
+        ("ANG/LI", "FROM ZHANG/LI TO"),  # letters cut off before the value come back
+        ("WANG/LI", "WANG/LI MR 12"),  # the title after it
+        ("WANG/LIM", "WANG/LIMR"),  # the letter after a final M
+        ("WANG/LITL", "WANG/LITL"), ("TLWANG/LI", "TLWANG/LI"),  # letters that never follow one another
+        ("WANG/LI登机", "WANG/LI登机口"), ("NAMEWANG/LI+", "NAMEWANG/LI+"), ("W", "W"), ("WANG/LI", "elsewhere"), (None, "x"), ("", "x"), ("WANG", None), ("WANG/", "WANG/"),
+    ]
+    want = ["XIONG/QI", "WANG/LIYING", "ZHANG/LI", "WANG/LI MR", "WANG/LIMR", "WANG/LI", "WANG/LI", "WANG/LI", "WANG/LI", None, "WANG/LI", None, "", "WANG", "WANG/"]
+    assert on(spark, rows, normalize.passenger_name(known)) == want
+    assert on(spark, [("ANG/LI", "ZHAANG/LI"), ("UAN/LI", "YUAN/LI")], normalize.passenger_name(known)) == ["ZHAANG/LI", "YUAN/LI"]
+
+
+def test_final_values(spark):
+    rows = [
+        ("boardcards", "Name_PY", "WANG/LI+", "interface", ""), ("boardcards", "Name_PY", "WANG/LI登", "model", "WANG/LI登"), ("boardcards", "Origin_PY", "XIAMENXX", "model", ""),
+        ("boardcards", "Origin_PY", "GATEXIAMEN", "model", ""), ("boardcards", "Destination_PY", "XIAM", "model", "to xiamen"), ("boardcards", "Destination_PY", "XIAM", "model", ""),
+        ("boardcards", "Flight_Number", "12 34567", "model", "东航 mu123456"), ("boardcards", "Flight_Date", "I2 0CT", "model", ""), ("boardcards", "Name", "王", "model", ""), ("boardcards", "Origin", "厦门", "model", ""),
+        ("xingchengdan", "Ticket_Fee", "CNY 12.0", "model", ""), ("xingchengdan_3code", "Name", "WANG/LI(A)", "model", "WANG/LI(A)"), ("xingchengdan_3code", "Name", "王", "model", ""),
+        ("discharge_records", "Admission_Date", "于2019年1月5日", "model", ""), ("discharge_records", "Hospital_Name", "院", "model", ""), ("discharge_records", "Department", "骨料", "model", "骨料住院部"),
+        ("imaging_report", "Check_Date", "于2019", "model", ""), ("boardcards", "Name", None, "model", ""), (None, "Name", "x", None, None),
+    ]
+    m = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "mention_id long, task string, category string, value string, pred_type string, text string")
+    places = spark.createDataFrame([(1, "XIAMEN")], "list_pos int, value string")
+    got = [r.final for r in values.final_values(m, places, ["wang", "li"]).orderBy("mention_id").collect()]
+    assert got == [
+        "WANG/LI", "WANG/LI", "XIAMEN", None, "XIAMEN", None, "MU123456", "12OCT", None, "厦门", " 12.0", "WANG/LI", "", "2019年1月5日", "", "骨科住院", "于2019", None, "x",
+    ]
 
 
 def test_departments(spark):
-    df = spark.createDataFrame([("骨料(东", "入骨料(东)区"), ("骨科", "骨科住院号"), ("骨科", "骨科住院部"), ("儿科", "儿科")], "v string, t string")
-    assert [r[0] for r in df.select(normalize.department(F.col("v"), F.col("t"))).collect()] == ["骨科(东)", "骨科", "骨科住院", "儿科"]
+    rows = [("骨料(东", "入骨料(东)区"), ("骨科", "骨科住院号"), ("骨科", "骨科住院部"), ("儿科", "儿科"), ("骨科(东", "骨科(东）住院"), ("外科", "内科"), (None, "x"), ("外科", None)]
+    assert on(spark, rows, normalize.department) == ["骨科(东)", "骨科", "骨科住院", "儿科", "骨科(东)", "外科", None, "外科"]
+
+
+def boxes(spark, rows):
+    """``(doc, text, x)`` as boxes of one row each."""
+    data = [(d, i, t, x, 0.0, x + 5, 0.0, x + 5, 9.0, x, 9.0) for i, (d, t, x) in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id int, box_idx int, text string, ax double, ay double, bx double, by double, cx double, cy double, dx double, dy double")
+
+
+def test_columns_by_header(spark):
+    heads = spark.createDataFrame([(1, 10.0, 20.0, 40.0)], "doc_id int, left_x double, mid_x double, right_x double")
+    b = boxes(spark, [(1, str(x), float(x)) for x in (5, 10, 15, 20, 29, 30, 31, 40, 41)])
+    got = {r.text: r.column_name for r in layout.columns_by_header(b, heads).collect()}
+    assert got == {"5": "before", "10": "at_mid", "15": "between", "20": "at_mid", "29": "at_mid", "30": "rest", "31": "rest", "40": "rest", "41": "beyond"}
+
+
+def test_fees(spark):
+    heads = [("民航发展", 10.0), ("燃油附加", 20.0), ("合计", 40.0)]
+    rows = [(1, *h) for h in heads] + [(1, "CNY 9.0", 5.0), (1, "1.0", 15.0), (1, "2.0", 21.0), (1, "3.0", 39.0), (1, "40.0", 50.0), (1, "七.0", 1.0), (1, None, 2.0)]
+    rows += [(2, *h) for h in heads] + [(2, "9.0", 5.0), (2, "2.0", 21.0), (2, "3.O", 39.0), (2, "4.0", 50.0)]
+    rows += [(3, *h) for h in heads[:2]] + [(3, "9.0", 5.0)]
+    rows += [(4, "燃油附加费", 1.0), *[(4, *h) for h in heads], (4, "6.0", 15.0)]  # the last box with a header's words counts
+    got = {(r.doc_id, r.category, r.value) for r in layout.fees(boxes(spark, rows)).collect()}
+    five = {(1, c, v) for c, v in zip(layout.FEES, ("9.0", "1.0", "2.0", "3.0", "40.0"))}
+    assert got == five | {(2, "Ticket_Fee", "9.0"), (2, "Oil_Fee", "2.0"), (2, "Other_Fee", "3."), (2, "Total_Fee", "4.0"), (4, "Develop_Fee", "6.0")}
 
 
 def test_canonical_text(spark):
@@ -160,9 +232,10 @@ def test_first_pattern_in_list_order(spark):
 
 
 def test_containment_ratio(spark):
-    e = spark.createDataFrame([(5, "XIAMEN"), (7, "MENG")], "list_pos int, value string")
-    v = spark.createDataFrame([("XIAMENXX",), ("XIA",), ("XIAM",), ("MENG",), (None,)], "value string")
-    assert {(r.value, r.entry) for r in match.containment_ratio(v, e).collect()} == {("XIAMENXX", "XIAMEN"), ("XIAM", "XIAMEN"), ("MENG", "MENG")}
+    e = spark.createDataFrame([(5, "XIAMEN"), (7, "MENG"), (9, "XIANYANG")], "list_pos int, value string")
+    rows = [("XIAMENXX", ""), ("XIA", "XIAMEN"), ("XIAM", "XIAMEN"), ("XIAM", "elsewhere"), ("MENG", ""), (None, ""), ("GATE XIAMEN", ""), ("XIAN", "TO XIANYANG"), ("XIAMENXXXXXX", "XIAMEN")]
+    v = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, value string, text string")
+    assert {r.id: r.entry for r in match.containment_ratio(v, e, "id").collect()} == {0: "XIAMEN", 2: "XIAMEN", 4: "MENG", 7: "XIANYANG"}
 
 
 def test_overlap_prefers_later_of_equal(spark):
