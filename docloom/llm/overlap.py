@@ -32,7 +32,7 @@ from docloom.session import cut_lineage, spread
 
 #: Texts whose lengths differ by a factor of ``CLASS`` at most share a class, whose
 #: blocks hold about so many texts (of each side) and characters.
-CLASS, EVAL_BLOCK, TRAIN_BLOCK, CHARACTERS = 1.12, 4096, 8192, 2_000_000
+CLASS, EVAL_BLOCK, TRAIN_BLOCK, CHARACTERS = 1.12, 2048, 4096, 1_000_000
 #: Bits of a position in a segment's key; pairs looked at together.
 PLACE, TOGETHER = 24, 16_384
 _FACTORS = np.random.default_rng(20240229).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
@@ -126,17 +126,30 @@ class Block:
         flat = np.bincount(self.of * bins + (self.codes % np.uint64(bins)).astype(np.int64), minlength=len(self.size) * bins)
         return np.minimum(flat, 30_000).astype(np.int16).reshape(-1, bins)
 
-    def substrings(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(key, text)`` of all substrings, sorted; a key is the hash of the
-        substring and its position."""
+    def runs(self, text: int, width: int) -> np.ndarray:
+        """How often runs of so many characters of each residue occur in one text."""
+        codes = self.codes[self.start[text] : self.start[text] + self.size[text]]
+        n = max(0, len(codes) - width + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(width):
+            h += codes[j : j + n] * _FACTORS[j]
+        return np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=1 << 12)
+
+    def substrings(self, width: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(key, text)`` of the substrings that may be among the ``wanted`` hashes,
+        sorted; a key is the hash of the substring and its position."""
         n = max(0, len(self.codes) - width + 1)
         h = np.zeros(n, dtype=np.uint64)
         for j in range(width):
             h += self.codes[j : j + n] * _FACTORS[j % 64]
-        of = self.of[:n]
-        at = np.arange(n) - self.start[of]
-        whole = at + width <= self.size[of]
-        key = (_mixed(h) | at.astype(np.uint64))[whole]
+        h = _mixed(h)
+        table = np.zeros(1 << 20, dtype=bool)
+        table[(wanted >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(table[(h >> np.uint64(44)).astype(np.int64)])
+        of = self.of[at]
+        place = at - self.start[of]
+        whole = place + width <= self.size[of]
+        key = (h[at] | place.astype(np.uint64))[whole]
         order = np.argsort(key)
         return key[order], of[whole][order]
 
@@ -175,22 +188,26 @@ def candidates(e: Block, t: Block, share: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     pairs = []
     for width, (h, first, last, text) in e.segments(share, int(t.size.min()), int(t.size.max())).items():
-        key, of = t.substrings(width)
+        key, of = t.substrings(width, h)
+        order = np.argsort(h)  # neighbouring look-ups stay in the cache
+        h, first, last, text = h[order], first[order], last[order], text[order]
         a = np.searchsorted(key, h | first)
         count = np.searchsorted(key, h | last, side="right") - a
         some = count > 0
         a, count, text = a[some], count[some], text[some]
         which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
         pairs.append(np.repeat(text, count) * len(t.size) + of[which])
-    both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+    both = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+    both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
     i, j = both // len(t.size), both % len(t.size)
     good = np.abs(e.size[i] - t.size[j]) <= np.maximum(e.size[i], t.size[j]) // share
     return i[good], j[good]
 
 
 def unlike(e: Block, t: Block, i: np.ndarray, j: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that counts of characters do not rule out: a change alters two
-    counts by one at most."""
+    """The pairs that counts of characters, and of runs of two and three, do not rule
+    out: a change alters two counts of characters by one at most, four of pairs and
+    six of triples."""
     for bins in (64, 512):
         x, y, kept = e.counts(bins), t.counts(bins), []
         for at in range(0, len(i), TOGETHER):
@@ -199,6 +216,10 @@ def unlike(e: Block, t: Block, i: np.ndarray, j: np.ndarray, share: int) -> tupl
             kept.append(np.flatnonzero(differ <= 2 * (np.maximum(e.size[a], t.size[b]) // share)) + at)
         good = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
         i, j = i[good], j[good]
+    for width in (2, 3):
+        k = np.maximum(e.size[i], t.size[j]) // share
+        good = np.array([np.abs(e.runs(a, width) - t.runs(b, width)).sum() <= 2 * width * c for a, b, c in zip(i, j, k)], dtype=bool)
+        i, j = i[good], j[good]
     return i, j
 
 
@@ -251,7 +272,14 @@ def near_texts(texts: DataFrame, share: int = 5) -> DataFrame:
         return rows.select(*(F.col(c).alias(f"{own}_{c}") for c in [*key, "rep", "text"]))
 
     key = ["e_class", "e_block", "t_class", "t_block"]
-    left, right = (dealt(*a).groupBy(*(f"{a[1]}_{c}" for c in key)) for a in ((e, "e", "t"), (t, "t", "e")))
+    # few bytes but much work: a stated number of partitions, which Spark does not coalesce by size
+    parts = max(4 * texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def grouped(own: str, other: str, rows: DataFrame):
+        names = [f"{own}_{c}" for c in key]
+        return dealt(rows, own, other).repartition(parts, *names).groupBy(*names)
+
+    left, right = grouped("e", "t", e), grouped("t", "e", t)
     return left.cogroup(right).applyInPandas(_verify_blocks(share), _NEAR)
 
 
