@@ -1,20 +1,24 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-A text is cut into blocks: runs of sentences, and runs of matter without
-sentence ends. Each block gets its compression ratio, divided by the ratio
-usual for plain prose of that length and script (extreme redundancy), and its
-density of sentence ends and mean length between separators (confirmation).
-Redundant or list-like blocks without sentences are stuffing; laboratory
-tables, drug lists and unpunctuated prose are not. A page is reported when at
-least ``share`` of its characters are stuffing.
-
-Everything is decided per document from its whole text, so a scan is all that
-is needed. Defined results: null, empty and blank texts are never reported;
-one-line headings do not count against a text; copies get the same verdict.
+Compression decides. Addresses and digits of a text are masked, and its segments
+(lines, and sentences within them) are parted into sentences and loose matter: what
+has no full stop, or none for ``LONG`` characters. The loose matter of a page is cut into
+blocks of about ``BLOCK`` characters, and each block's compression ratio is divided by the
+ratio that plain prose of that length and script has (``usual_ratio``). Blocks well
+below it are extremely redundant; that they are loose matter, so that the density of
+full stops is low, confirms them as stuffing. One link in a sentence, verses, program
+text, recipes or contents lists have no full stops either but are not redundant.
+Lines of laboratory values and drugs are redundant lists, too, but no stuffing.
+
+A page is reported when at least ``share`` of its characters are stuffing. Everything
+is decided per document from its whole text, so a scan is all that is needed. Defined
+results: null, empty and blank texts are never reported; loose matter under ``LEAST``
+characters is too short to be told; copies get the same verdict.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -31,91 +35,94 @@ LAB_UNIT = r"(?:[mμnpk]?mol|[mμnp]?g|kg|IU|U|10\^\d+)/(?:[mμ]?L|d|h|kg)|%|mmH
 DRUG_FORM = "片|胶囊|颗粒|注射液|口服液|滴眼液|软膏|凝胶|丸|散|糖浆|贴|栓|喷雾|tablets?|capsules?|injection|ointment|syrup|drops"
 # ----------------------------------------------------------------------------
 
-BLOCK = 2000
+#: Characters of a block; of a sentence, beyond which it counts as loose matter; of
+#: loose matter, below which it is not looked at.
+BLOCK, LONG, LEAST = 2000, 200, 30
+#: Share of the usual ratio below which a block is extremely redundant.
+REDUNDANT = 0.82
+#: Compressed bytes a character of plain prose (medians over prose) by number of
+#: characters; between, the logarithm of the number decides.
+LENGTHS = (30, 65, 100, 160, 300, 600, 1150, 2000)
+PROSE = {"han": (2.27, 2.05, 1.93, 1.81, 1.62, 1.37, 1.12, 0.94), "other": (1.77, 1.37, 1.18, 1.04, 0.88, 0.73, 0.61, 0.50)}
+_lengths = [math.log(n) for n in LENGTHS]
 _segment = re.compile(r".*?(?:[。！？；!?;]+|\.(?=\s|$))|.+$")
-_ended = re.compile(r"(?:[。！？；!?;]|[^\d\W]\.|\)\.|\d\.)$")
+_ended = re.compile(r"(?:[。；;]|[^\d\W]\.|\)\.|\d\.)\s*$")
 _lab = re.compile(rf"[-\d.]+\s*(?:{LAB_UNIT})\s*$|^(?:[^\d\n]{{1,20}})[\t |:]+-?\d[\d.]*[\t |]*(?:{LAB_UNIT})")
 _drug = re.compile(rf"(?:{DRUG_FORM})(?:[ \t(（,，、xX*×].{{0,30}})?$|(?:{DRUG_FORM})\s*\d+(?:\.\d+)?\s*(?:mg|g|ml|毫克|毫升|克)", re.I)
-_sep = re.compile(r"[\s,，、|/_\-#:：;；?？!！>·•*]+")
 _url = re.compile(r"(?:https?:)?//[^\s|<>)\]'\"]+|(?<![\w.])(?:[a-z0-9\-]+\.)+(?:com|cn|net|org|test|example|invalid|info|top|xyz|site)\b[^\s|<>)\]'\"]*")
-_link = re.compile(r"(?:https?:)?//|www\.|\bm\.[a-z]|href=|\]\(|\.(?:com|cn|net|org|test|example|invalid)\b")
+_unit = re.compile("//x+")
+_number = re.compile(r"[A-Z]?\d+(?:\.\d+)?")
+_heading = re.compile(r"^\s*第[一二三四五六七八九十百\d]+[章节条篇]")
 _cjk = re.compile("[一-鿿]")
 
 
-def usual_ratio(size: int, cjk: bool) -> float:
-    """Compression ratio of plain prose of ``size`` bytes."""
-    x = math.log(max(size, 40))
-    return max(0.2, 1.28 - 0.105 * x) if cjk else max(0.2, 1.36 - 0.125 * x)
+def usual_ratio(size: int, han: bool) -> float:
+    """Compressed bytes a character of plain prose of ``size`` characters."""
+    known = PROSE["han" if han else "other"]
+    x = math.log(max(size, LENGTHS[0]))
+    i = min(bisect.bisect_right(_lengths, x), len(_lengths) - 1)
+    a, b = _lengths[i - 1], _lengths[i]
+    return max(0.2, known[i - 1] + (known[i] - known[i - 1]) * (x - a) / (b - a))
 
 
 def redundancy(block: str) -> float:
-    """Compressed size as a share of what prose of that length takes; small is redundant."""
-    raw = block.encode()
-    if len(raw) < 60:
+    """Compression ratio as a share of what prose of that length has; small is redundant."""
+    if not block:
         return 1.0
-    cjk = len(_cjk.findall(block)) * 3 > len(raw) // 3
-    return len(zlib.compress(raw, 6)) / len(raw) / usual_ratio(len(raw), cjk)
+    raw = block.encode("utf-16-le", "surrogatepass")  # all characters of one size
+    return len(zlib.compress(raw, 9)) / len(block) / usual_ratio(len(block), bool(_cjk.search(block)))
 
 
-LOOSE, SENTENCES, QUESTIONS = range(3)
+def masked(text: str) -> str:
+    """An address is one unit of its length: its own dots and question marks end no sentence."""
+    return _url.sub(lambda m: "//" + "x" * (len(m[0]) - 2), text)
 
 
-def blocks(text: str) -> list[tuple[int, list[str]]]:
-    """``(kind, segments)`` in order: runs of segments without an end, with a
-    sentence end, and with a question or exclamation mark, at most about
-    ``BLOCK`` characters each."""
-    out: list[tuple[int, list[str]]] = []
-    size = 0
+def likened(matter: str) -> str:
+    """Addresses are all alike, and numbers are."""
+    return _number.sub("0", _unit.sub("//x", matter))
+
+
+def parted(text: str) -> tuple[int, list[str]]:
+    """``(characters in all, loose segments in order)``; a separator counts for each segment."""
+    total, loose = 0, []
     for line in text.split("\n"):
         for s in _segment.findall(line):
             if not s.strip():
                 continue
-            last = s.rstrip()
-            kind = LOOSE if not _ended.search(last) else QUESTIONS if last[-1] in "?？!！" else SENTENCES
-            if out and out[-1][0] == kind and size < BLOCK:
-                out[-1][1].append(s)
-                size += len(s)
-            else:
-                out.append((kind, [s]))
-                size = len(s)
+            total += len(s) + 1
+            if _ended.search(s) and len(s) <= LONG:
+                continue
+            if not (_lab.search(s) or _drug.search(s.rstrip()) or _heading.search(s)):
+                loose.append(s)
+    return total, loose
+
+
+def blocks(loose: list[str]) -> list[list[str]]:
+    """Segments in runs of about ``BLOCK`` characters each; a longer segment is cut."""
+    pieces = [s[i : i + BLOCK] for s in loose for i in range(0, len(s), BLOCK)]
+    size = sum(map(len, pieces))
+    most = size / max(1, round(size / BLOCK))
+    out: list[list[str]] = []
+    room = 0.0
+    for s in pieces:
+        if room <= 0:
+            out.append([])
+            room += most
+        out[-1].append(s)
+        room -= len(s)
     return out
 
 
-def stuffed(kind: int, segments: list[str]) -> int:
-    """Characters of a block that are stuffing, a separator counted for each segment."""
-    body = "\n".join(segments)
-    chars = sum(map(len, segments)) + len(segments)
-    if kind != LOOSE:
-        # question marks and the like may be sprinkled over a keyword list
-        atoms = [a for a in _sep.split(body) if a]
-        short = sum(map(len, atoms)) / max(1, len(atoms)) <= 7
-        least = 0.7 if kind == SENTENCES else 1.02
-        if not _cjk.search(body):  # words are short; what counts is short "sentences"
-            return chars if len(atoms) >= 6 and chars / len(segments) < 40 and redundancy(body) < 0.45 else 0
-        return chars if len(atoms) >= 4 and short and redundancy(body) < least else 0
-    fine = [s for s in segments if _lab.search(s) or _drug.search(s.rstrip())]
-    good = sum(map(len, fine))
-    if good * 2 >= chars:
-        return chars - good if chars - good > 40 else 0
-    if _link.search(body):
-        return chars
-    atoms = [a for a in _sep.split(body) if a]
-    mean = sum(map(len, atoms)) / max(1, len(atoms))
-    cjk = bool(_cjk.search(body))
-    if mean <= 14 if cjk else mean <= 9 and len(atoms) >= 4:
-        low = redundancy(body) < 0.8
-        listed = len(atoms) >= 4 and mean <= 9
-        return chars if low or listed else 0
-    return chars if redundancy(body) < 0.55 else 0
-
-
 def stuffing(text: str) -> float:
     """Share of the characters of ``text`` that are keyword or link stuffing."""
-    # an address is one unit: its own dots and question marks end no sentence
-    text = _url.sub(lambda m: "//" + "x" * (len(m[0]) - 2), canon(text))
-    found = blocks(text)
-    total = sum(len(x) + 1 for _, segments in found for x in segments)
-    return sum(stuffed(k, s) for k, s in found) / total if total else 0.0
+    total, loose = parted(masked(canon(text)))
+    found = 0
+    for block in blocks(loose):
+        size = sum(len(s) + 1 for s in block)
+        if size >= LEAST and redundancy(likened("\n".join(block))) < REDUNDANT:
+            found += size
+    return min(1.0, found / total) if total else 0.0
 
 
 def find_stuffed(documents: DataFrame, share: float = 0.7) -> DataFrame:

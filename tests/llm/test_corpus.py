@@ -269,6 +269,27 @@ def test_leak_edges(spark):
     assert leaks(spark, [], (PASSAGE,)) == set() and leaks(spark, [PASSAGE], ()) == set()
 
 
+def test_loose_matter_that_is_not_redundant():
+    """Verses, program text, recipes, tables and contents have no full stops but repeat little."""
+    texts = [
+        "Please see https://www.example.com/guide for the full text of the policy before you file a claim",
+        "The road goes on beyond the hill\nand evening settles, blue and still\na lantern swings beside the door\nthe tide retreats along the shore\nno letter came, no voice, no sign\nthe stars come out in single line",
+        "床前明月光\n疑是地上霜\n举头望明月\n低头思故乡\n白日依山尽\n黄河入海流\n欲穷千里目\n更上一层楼",
+        "def add(a, b):\n    return a + b\n\nfor i in range(10):\n    print(add(i, 2))\nclass Foo(Bar):\n    def __init__(self, x, y):\n        self.x = x\n        self.y = y\n    def area(self):\n        return self.x * self.y\n",
+        "2 cups flour\n1 teaspoon salt\n3 eggs\n1 cup milk\nbutter for the pan\nmix the flour and the salt\nbeat the eggs into the milk\nstir everything together\nrest the batter for an hour\nfry thin pancakes on both sides",
+        "name,age,city\nAlice,34,Berlin\nBob,28,Paris\nCarla,41,Rome\nDmitri,52,Riga\nEva,19,Oslo\nFarid,33,Tunis\nGrace,45,Dublin\nHugo,38,Porto",
+        "第一章 总则\n第二章 保险责任\n第三章 责任免除\n第四章 保险金额与保险费\n第五章 保险期间\n第六章 投保人义务\n第七章 赔偿处理\n第八章 争议处理\n第九章 其他事项",
+    ]
+    assert [spam.stuffing(t) for t in texts] == [0] * len(texts)
+
+
+def test_blocks_of_loose_matter():
+    loose = ["a" * 5000, "bb", "c" * 1999, *["d" * 10] * 700]
+    found = spam.blocks(loose)
+    assert "".join("".join(b) for b in found) == "".join(loose) and max(sum(map(len, b)) for b in found) <= 2 * spam.BLOCK
+    assert spam.blocks([]) == [] and 0.19 < spam.usual_ratio(10**9, True) < spam.usual_ratio(1, True)
+
+
 def test_bounds_of_stuffing(spark):
     prose = "患者今日复诊,右膝疼痛较前减轻,查体见局部轻度肿胀,活动稍受限。嘱继续服药并于两周后复查。"
     english = "The claimant forwarded the translated discharge note. The branch office recorded a delayed connection because of dense fog. "
