@@ -2,12 +2,16 @@
 
 Steps: deduplicate the values; normalise; retrieve candidates from an inverted
 index of character n-grams; score them by idf-weighted cosine; accept above a
-threshold and margin. An exact check follows, which tells a misspelt entry from
-a different place, number or kind.
+threshold and margin. Where the list itself tells what must not differ (the town, number
+and kind of a hospital), and for slips in short Latin names, an exact check follows,
+which tells a misspelt entry from a different one of high cosine (in the given lists other
+towns, numbers and places reach 0.8); every other entry is accepted by its cosine
+(``SURE``) and its lead over the next (``LEAD``), if its numbers are the same.
 
 The prefix filter of the retrieval is exact: the rarest n-grams of a value are
-looked up until the rest cannot reach the threshold any more, so frequent
-n-grams cost nothing and no candidate is lost.
+looked up until the rest cannot reach the threshold any more, and only the
+candidates found so are scored; an n-gram costs no more than its postings or the
+candidates, whichever are fewer.
 
 The list is shipped to the workers in blocks of at most ``block`` entries (a
 documented size bound); longer lists are handled block by block and the block
@@ -53,6 +57,11 @@ SHORT = {"人民医院": ("人医",), "中医医院": ("中医院", "中医"), "
 NUMERALS = "一二三四五六七八九十"
 # ----------------------------------------------------------------------------
 
+#: Cosine from which an entry without such a check is accepted, and its lead.
+SURE, SURE_PLACE, LEAD = 0.45, 0.6, 0.1
+#: Least difference of cost to the next entry.
+MARGIN = 0.02
+_numerals = re.compile("[一二三四五六七八九十]|[0-9]+")
 _simplify = str.maketrans(TRADITIONAL, SIMPLIFIED)
 _alike = {a + b for g in LOOKALIKE for a in g for b in g if a != b}
 _doubled = re.compile(r"(.)\1+")
@@ -108,6 +117,15 @@ def edit_cost(a: str, b: str, free_tail: bool = False, most: float = 9.0) -> flo
     return best if free_tail else prev[-1]
 
 
+def by_cosine(value: str, entry: str, cosine: float, least: float) -> float:
+    """Cost of an entry that only its cosine speaks for; other numbers rule it out."""
+    if value == entry:
+        return 0.0
+    if cosine < least or _numerals.findall(value) != _numerals.findall(entry):
+        return 9.0
+    return MARGIN / LEAD * (1 - cosine)
+
+
 class HospitalCheck:
     """Whether a value means an entry: same town, same number, same kind."""
 
@@ -133,11 +151,11 @@ class HospitalCheck:
             self._kind[rest] = sorted(scored)
         return self._kind[rest]
 
-    def cost(self, value: str, entry: str) -> float:
+    def cost(self, value: str, entry: str, cosine: float = 0.0) -> float:
         """0 for a clean match, below 1 for an acceptable one, else 9."""
         town, unit, number, kind = self.parsed[entry]
         if not kind:
-            return 0.0 if value == town else 9.0
+            return by_cosine(value, town, cosine, SURE)
         best = 9.0
         flat = _doubled.sub(r"\1", value)
         for v in (value,) if flat == value else (value, flat):
@@ -182,12 +200,13 @@ class HospitalCheck:
 
 
 class PlaceCheck:
-    """Whether a Latin place name means an entry: one slip, or cut short."""
+    """Whether a Latin place name means an entry: one slip (a letter in four of
+    names close in cosine), or cut short."""
 
     def __init__(self, entries: list[str], least_part: float = 0.5):
         self.least_part = least_part
 
-    def cost(self, value: str, entry: str) -> float:
+    def cost(self, value: str, entry: str, cosine: float = 0.0) -> float:
         if value == entry:
             return 0.0
         for tail in ("XX", "CITY", "AIRPORT", "INTL"):
@@ -200,7 +219,9 @@ class PlaceCheck:
             return 0.3
         if len(value) >= 4 and len(value) >= self.least_part * len(entry) and (entry.startswith(value) or entry.endswith(value)):
             return 0.6
-        return 9.0
+        if cosine < SURE_PLACE or edit_cost(value, entry, most=len(entry) // 4) > len(entry) // 4:
+            return 9.0
+        return 0.7 + by_cosine(value, entry, cosine, SURE_PLACE)
 
 
 class Index:
@@ -215,12 +236,12 @@ class Index:
         total = max(1, len(entries))
         self.idf = {g: math.log(1 + total / d) for g, d in df.items()}
         self.unseen = math.log(1 + 2 * total)
-        self.post = defaultdict(list)
+        self.post: dict[str, dict[int, int]] = defaultdict(dict)
         self.norm = []
         for i, v in enumerate(vectors):
             self.norm.append(math.sqrt(sum((c * self.idf[g]) ** 2 for g, c in v.items())) or 1.0)
             for g, c in v.items():
-                self.post[g].append((i, c))
+                self.post[g][i] = c
 
     def candidates(self, s: str) -> list[tuple[float, int]]:
         """``(cosine, entry)`` of every entry at or above the threshold."""
@@ -235,22 +256,28 @@ class Index:
             if left < limit:
                 break
             left -= q
-            found.update(i for i, _ in self.post.get(g, ()))
-        if not found:
-            return []
+            found.update(self.post.get(g, ()))
         dot = dict.fromkeys(found, 0.0)
         for x, g, c in w:
-            hits = self.post.get(g, ())
-            for i, k in hits:
-                if i in dot:
-                    dot[i] += x * x * c * k
+            hits, q = self.post.get(g), x * x * c
+            if not hits:
+                continue
+            # a frequent n-gram costs no more than the candidates
+            if len(hits) < len(dot):
+                for i, k in hits.items():
+                    if i in dot:
+                        dot[i] += q * k
+            else:
+                for i in dot:
+                    if i in hits:
+                        dot[i] += q * hits[i]
         root = math.sqrt(whole)
         return sorted(((d / root / self.norm[i], i) for i, d in dot.items() if d / root / self.norm[i] >= self.threshold), reverse=True)
 
     def best(self, value: str) -> tuple[int, float, float]:
         """``(list_pos or -1, cost, runner-up's cost)``."""
         s = self.normalize(value)
-        scored = sorted((self.check.cost(s, self.entries[i][1]), -c, self.entries[i][0]) for c, i in self.candidates(s))
+        scored = sorted((self.check.cost(s, self.entries[i][1], c), -c, self.entries[i][0]) for c, i in self.candidates(s))
         if not scored or scored[0][0] >= 1:
             return -1, 9.0, 9.0
         return scored[0][2], scored[0][0], scored[1][0] if len(scored) > 1 else 9.0
@@ -259,7 +286,7 @@ class Index:
 LISTS = {"hospital": (normalize_han, 2, HospitalCheck, 0.2), "place_py": (normalize_py, 2, PlaceCheck, 0.2)}
 
 
-def map_values(values: DataFrame, value: str, reference: DataFrame, list_name: str, margin: float = 0.02, block: int = 50_000) -> DataFrame:
+def map_values(values: DataFrame, value: str, reference: DataFrame, list_name: str, margin: float = MARGIN, block: int = 50_000) -> DataFrame:
     """``(value, list_pos)`` for every distinct non-null value: the entry meant or -1.
 
     ``reference`` has ``list_pos`` and ``value``."""
