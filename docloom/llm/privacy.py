@@ -1,10 +1,11 @@
 """Problem 2: personal information inside free text.
 
-Anchor expansion: one Aho-Corasick pass finds at-signs, identifier cues, units
-of addresses and words that announce or follow a person; local parsers then
-expand an anchor to the item's bounds and validate it (dates of birth, area
-codes, house numbers, name characters). Texts are read in their one consistent
-form with an alignment back to the original positions.
+Anchor expansion: one Aho-Corasick pass finds at-signs, digits, units of addresses and
+words that announce or follow a person; local parsers then expand an anchor to the
+item's bounds and validate it (dates of birth, area and country codes, house numbers,
+name characters). Digit runs are read from their first digit on, with a letter, bracket
+or plus sign before it. Only names without any cue are looked for by their form. Texts
+are read in their one consistent form with an alignment back to the original positions.
 
 Defined results: null or empty texts have no items; null words are skipped;
 items never overlap (e-mail before identity number, phone, address, name);
@@ -69,6 +70,8 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(w, ("unit", len(w)))
     for w in LATIN_ROADS:
         a.add_word(w, ("road", len(w)))
+    for w in "0123456789":
+        a.add_word(w, ("digit", 1))
     for w in ("·", "/"):
         a.add_word(w, ("dot" if w == "·" else "slash", 1))
     a.make_automaton()
@@ -77,6 +80,41 @@ def _automaton() -> ahocorasick.Automaton:
 
 AUTOMATON = _automaton()
 
+
+def anchors_of(t: str) -> dict[str, list[tuple[int, int]]]:
+    """``kind: (place, width)`` of the anchors of a text; of a run of digits the first."""
+    anchors: dict[str, list[tuple[int, int]]] = {}
+    last = -2
+    for end, (kind, width) in AUTOMATON.iter(t):
+        if kind == "digit":
+            if end != last + 1:
+                anchors.setdefault(kind, []).append((end, 1))
+            last = end
+        else:
+            anchors.setdefault(kind, []).append((end + 1 - width, width))
+    return anchors
+
+
+def expanded(pattern: re.Pattern, t: str, anchors: list[tuple[int, int]], before: str) -> Iterator[re.Match]:
+    """Matches of ``pattern`` from digit anchors on, or from a character of ``before``
+    (letters if it is ``"A"``) in front of them; none within another."""
+    end = 0
+    for at, _ in anchors:
+        if at < end:
+            continue
+        m = None
+        if before == "A":
+            k = at - 2 if t[at - 1 : at] == " " else at - 1
+            if k >= 0 and t[k].isascii() and t[k].isalpha():
+                m = pattern.match(t, k)
+        elif at and t[at - 1] in before:
+            m = pattern.match(t, at - 1)
+        if m is None and before != "A":
+            m = pattern.match(t, at)
+        if m:
+            end = m.end()
+            yield m
+
 _local = re.compile(r"[A-Za-z0-9._+\-]+$")
 _domain = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.|\[dot\]|\(dot\)|\{dot\}|\[DOT\]|\(DOT\))[A-Za-z0-9\-]+)+|[A-Za-z0-9\-]+(?: (?:dot|DOT) [A-Za-z0-9\-]+)+|[A-Za-z0-9\-]*dot[a-z]+|[A-Z0-9\-]*DOT[A-Z]+")
 _digits = re.compile(r"(?<![0-9])(?:(?<![A-Za-z])|(?<=[Tt]el)|(?<=TEL)|(?<=tEL))(?:\+|\()?[0-9](?:[ .\-—–()]{0,2}[0-9]){6,}[Xx]?(?:(?:转|-|ext\.?|x)[0-9]{1,5})?")
@@ -89,6 +127,9 @@ _passport_low = re.compile(r"(?<![0-9A-Za-z])[a-z][0-9]{8}(?![0-9A-Za-z\-])")
 _passport = re.compile(r"(?<![0-9A-Za-z])[A-Z] ?[0-9]{8}(?![0-9A-Za-z\-])")
 _id_after_letters = re.compile(r"(?<![0-9])(?:[0-9]{17}[0-9Xx]|[0-9]{15})(?![0-9A-Za-z])")
 _mobile = re.compile(r"(?:\+?86|0086)?(1[3-9][0-9]{9})$")
+#: Other countries' numbers: with a plus sign and country code, or in the form 3-3-4.
+_abroad = re.compile(r"\+[1-9][0-9]{0,2}[ .\-—–()]{0,2}(?:[0-9][ .\-—–()]{0,2}){6,13}[0-9]$")
+_ten = re.compile(r"\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[.\-][0-9]{4}$")
 _landline = re.compile(r"(?:\+?86|0086)?(0(?:10|2[0-9]|[3-9][0-9]{2})[0-9]{7,8})$")
 _address = re.compile(
     rf"(?P<prov>[{_han}]{{2,3}}(?:省|自治区))?(?P<town>[{_han}]{{2}}[市区县])(?P<town2>[{_han}]{{2}}[市区县])?"
@@ -102,8 +143,18 @@ _dotted_left = re.compile(rf"[{_han}]{{2,5}}$")
 _dotted_right = re.compile(rf"[{_han}]{{2,5}}")
 _zh = re.compile(rf"{_name_zh}[{GIVEN}]{{1,2}}")
 _zh_rare = re.compile(rf"{_name_zh}[{RARE_GIVEN}]{{1,2}}")
-_zh_cued = re.compile(rf"(?:{_name_zh}[{GIVEN}]{{1,2}}|[{_han}]{{1,2}}?[{RARE_GIVEN}]{{1,2}}|{_name_zh}[{_han}□*?]{{1,2}}(?=[\n,。;；:、()]|$|代述|补充|未随|签字|到场|陪护|另附|女士|先生))")
+_zh_cued = re.compile(rf"(?:{_name_zh}[{GIVEN}]{{1,2}}|[{_han}]{{1,2}}?[{RARE_GIVEN}]{{1,2}}|{_name_zh}[{_han}□*?]{{1,2}}(?=[\n,。;；:、() ]|$|代述|补充|未随|签字|到场|陪护|另附|女士|先生))")
 _west = re.compile(r"[A-Z][a-zß-ɏ]+ ?[A-Z][a-zß-ɏ]+")
+_english = re.compile(r"[A-Z][a-z]+(?: [A-Z]\.?)?(?: [A-Z][a-z]+)+")
+_addressed = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? (?P<name>[A-Z][a-zß-ɏ]+(?: [A-Z][a-zß-ɏ]+)?)")
+#: Words that may directly follow a name of three characters after a cue, characters
+#: that such a name does not hold, and the field words that end any name.
+_acts = "今日|昨日|自述|主诉|来院|就诊|致电|表示|要求"
+_no_name = "左右上下高低中前后第一二三四五六七八九十双单侧"
+_fields = "性别|年龄|科室|床号|住院号|病案号|电话|手机|身份证|证件|出生"
+_zh_acting = re.compile(rf"(?=[^{_no_name}]{{3}}){_name_zh}[{_han}]{{2}}(?={_acts})|{_name_zh}[{_han}]{{1,2}}?(?={_fields})")
+#: Two names joined, nothing else in their clause.
+_zh_pair = re.compile(rf"(?:(?<=[\n,。;；:!！?？])|^)(?=[^{_no_name}])(?P<one>{_name_zh}[{_han}]{{1,2}})[和与](?=[^{_no_name}])(?P<two>{_name_zh}[{_han}]{{1,2}})(?=[\n,。;；!！?？]|$)")
 _accent = re.compile(r"[ß-ɏ]")
 _slash_left = re.compile(r"[A-Z]{2,}$")
 _slash_right = re.compile(r"[A-Z]{2,}")
@@ -184,10 +235,8 @@ def find_items(t: str, whole_is_name: bool = False, places: frozenset[str] = fro
             taken[a:b] = b"\1" * (b - a)
             found.append((a, b, kind))
 
-    anchors: dict[str, list[tuple[int, int]]] = {}
-    for end, (kind, width) in AUTOMATON.iter(t):
-        anchors.setdefault(kind, []).append((end + 1 - width, width))
-
+    anchors = anchors_of(t)
+    digits = anchors.get("digit", [])
     for at, width in anchors.get("at", ()):
         span = _emails(t, at, width)
         if span:
@@ -196,15 +245,15 @@ def find_items(t: str, whole_is_name: bool = False, places: frozenset[str] = fro
         for m in _word_at.finditer(t):
             take(m.start("cued") if m["cued"] else m.start("free"), m.end(), "email")
 
-    for m in _passport.finditer(t):
+    for m in expanded(_passport, t, digits, "A"):
         if not _other_cue.search(t, max(0, m.start() - 8), m.start()) or _id_cue.search(t, max(0, m.start() - 12), m.start()):
             take(m.start(), m.end(), "id_number")
-    for m in _passport_low.finditer(t):
+    for m in expanded(_passport_low, t, digits, "A"):
         if _id_cue.search(t, max(0, m.start() - 12), m.start()):
             take(m.start(), m.end(), "id_number")
-    for m in _digits.finditer(t):
+    for m in expanded(_digits, t, digits, "+("):
         _number(t, m, take)
-    for m in _id_after_letters.finditer(t):
+    for m in expanded(_id_after_letters, t, digits, ""):
         if not taken[m.start()] and resident_card(m[0]) and _id_cue.search(t, max(0, m.start() - 8), m.start()):
             take(m.start(), m.end(), "id_number")
 
@@ -230,9 +279,7 @@ def find_items(t: str, whole_is_name: bool = False, places: frozenset[str] = fro
     if not _capital.search(t) and _small.search(t):
         # a text in small letters throughout: names are read as in capitals
         t = t.translate(_to_capitals)
-        anchors = {}
-        for end, (kind, width) in AUTOMATON.iter(t):
-            anchors.setdefault(kind, []).append((end + 1 - width, width))
+        anchors = anchors_of(t)
     _names(t, anchors, take, taken, whole_is_name)
     if places:
         for m in _bare_capitals.finditer(t):
@@ -273,6 +320,9 @@ def _number(t: str, m: re.Match, take) -> None:
             end = m.end() if off + len(s) >= len(body) else start + len(s)
             take(start + lead, end, "phone")
             return
+    whole = body.rstrip(" .-—–(")
+    if (_abroad.match(whole) and 8 <= sum(map(str.isdigit, whole)) <= 15 and not re.match(r"\+86", whole)) or _ten.match(whole):
+        take(a, a + len(whole), "phone")
 
 
 def _take_address(t: str, m: re.Match, take) -> None:
@@ -338,7 +388,7 @@ def _names(t: str, anchors, take, taken, whole_is_name: bool) -> None:
         if a >= n or taken[a]:
             continue
         while True:
-            m = _zh_cued.match(t, a)
+            m = _zh_cued.match(t, a) or _zh_acting.match(t, a)
             if not m:
                 break
             end = _take_zh(t, m, take)
@@ -360,6 +410,11 @@ def _names(t: str, anchors, take, taken, whole_is_name: bool) -> None:
             take(m.start(), m.end(), "person_name")
     for m in _titled.finditer(t):
         take(m.start(), m.end(), "person_name")
+    for m in _addressed.finditer(t):
+        take(m.start("name"), m.end(), "person_name")
+    for m in _zh_pair.finditer(t):
+        take(*m.span("one"), "person_name")
+        take(*m.span("two"), "person_name")
     for m in _zh_rare.finditer(t):
         a, b = m.start(), m.end()
         if taken[a]:
@@ -377,6 +432,9 @@ def _names(t: str, anchors, take, taken, whole_is_name: bool) -> None:
         if m and m.end() == len(core):
             k = t.index(core)
             take(k, k + len(core), "person_name")
+        elif _english.fullmatch(core):
+            k = t.index(core)
+            take(k, k + len(core), "person_name")
         elif re.fullmatch(r"[A-Z]{2,} ?[A-Z]{2,}(?: ?(?:MR|MS|MRS|MSTR|MISS))?", core) and " " in core:
             k = t.index(core)
             take(k, k + len(core), "person_name")

@@ -52,6 +52,28 @@ def test_names():
         assert kinds(filler, True) == []
 
 
+def test_names_and_numbers_in_general():
+    for t, name in {"患者王小明": "王小明", "患者王小明今日入院": "王小明", "姓名:赵铁柱 性别:男": "赵铁柱", "Name: John Smith": "John Smith", "Seen by Mr John Smith today": "John Smith"}.items():
+        assert kinds(t) == [(name, "person_name")], t
+    assert kinds("张三和李四") == [("张三", "person_name"), ("李四", "person_name")] and kinds("John Smith", True) == [("John Smith", "person_name")]
+    assert kinds("患者左下肢今日肿胀") == [] and kinds("热敷和冷敷") == [] and kinds("Hospital Road") == []
+    for p in ("415-555-0132", "(415) 555-0132", "+44 20 7946 0958", "+1 415.555.0132"):
+        assert kinds(f"call {p}, please") == [(p, "phone")], p
+    assert kinds("81.4mm*58.5mm 2019-03-05 10:20 12345-678-90") == []
+
+
+def test_digit_anchors_find_what_a_whole_search_finds():
+    """Parsers that start at digit anchors match where a search over all positions does."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(2000):
+        t = "".join(rng.choices("0123456789AZaz +(-. 号", weights=[6] * 10 + [2] * 4 + [3] * 7, k=60))
+        digits = privacy.anchors_of(t).get("digit", [])
+        for pattern, before in ((privacy._digits, "+("), (privacy._passport, "A"), (privacy._passport_low, "A"), (privacy._id_after_letters, "")):
+            assert [m.span() for m in privacy.expanded(pattern, t, digits, before)] == [m.span() for m in pattern.finditer(t)]
+
+
 def test_positions_in_words_and_redaction(spark):
     words = ["患", "者", None, "马", "", "槿", "骁", "，", "电", "话", "１３８", "00138000", "。"]
     assert privacy.items_of_words(words) == [(3, 7, "person_name"), (10, 12, "phone")]
@@ -88,6 +110,14 @@ def test_places(spark):
     assert mapped(spark, "place_py", PLACE_MEANT, PLACES) == PLACE_MEANT
 
 
+def test_entries_without_a_known_form_go_by_cosine(spark):
+    """Cosine, its lead and equal numbers decide where the list shows no towns and kinds."""
+    entries = ["北京协和医院", "上海瑞金医院", "四川大学华西医院", "海军第三疗养院", "海军第四疗养院"]
+    want = {"北京协合医院": 0, "上海市瑞金医院": 1, "四川大学华西医院": 2, "海军第三疗养院": 3, "海军疗养院": -1, "海军第五疗养院": -1, "北京第二医院": -1, "广州中山医院": -1}
+    assert mapped(spark, "hospital", want, entries) == want
+    assert mapped(spark, "place_py", ["GUANZOU", "HANGZOHU", "NINGBO"], ["GUANGZHOU", "HANGZHOU", "XIAMEN"]) == {"GUANZOU": 0, "HANGZOHU": 1, "NINGBO": -1}
+
+
 def test_long_lists_go_in_blocks(spark):
     assert mapped(spark, "hospital", MEANT, HOSPITALS, block=3) == MEANT
 
