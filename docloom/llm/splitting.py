@@ -2,8 +2,10 @@
 
 Recursive separator hierarchy: section (blank line), paragraph (line break),
 sentence, clause, word; a single word that alone exceeds the limit of a
-character-sized split is cut between characters. Pieces are packed greedily up
-to the limit and repeat the last ``overlap`` units of the piece before.
+character-sized split is cut between characters. Parts are packed greedily up to the
+limit; a part that no piece can hold, or that would leave a piece nearly empty, is
+split at its own next weaker separators. Pieces repeat the last ``overlap`` units of
+the piece before and add at least a quarter of the limit (but for the last).
 
 Defined results: null items give no piece; an item within the limit (an empty
 one too) is one piece; blank words (null, empty, spaces) count for nothing and
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.textform import LINE_BREAK
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "of")]))
 #: A word of nothing but white space, as ``str.strip`` sees it.
 BLANK = r"^[\s\p{Z}\u001c-\u001f\u0085]*$"
 SENTENCE_END = frozenset("。！？!?；;．…")
@@ -41,30 +43,44 @@ def strength(unit: str, following: str | None) -> int:
     return 1 if last in CLAUSE_END else 0
 
 
+def packed(ends: list[int], power: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces ``[start, end)`` of at most ``limit`` over units that end at ``ends``, with
+    the strength of a cut after each unit."""
+    pieces: list[tuple[int, int]] = []
+    start, done, least = 0, 0, max(1, limit // 4)  # of the open piece; end of the last one
+    held = 0  # end of what the open piece holds
+    parts = [(0, len(ends), 4)]  # units [from, to) and the separators they are split at
+    while parts:
+        a, b, level = parts.pop()
+        if ends[b - 1] - start <= limit:
+            held = ends[b - 1]
+            continue
+        first = ends[a - 1] if a else 0
+        full = held - done >= least and held - start > overlap
+        if full and (ends[b - 1] - first <= limit - overlap or level == 0):
+            pieces.append((start, held))
+            start, done = held - overlap, held
+            parts.append((a, b, level))
+        elif level:
+            cuts = [a, *(i + 1 for i in range(a, b - 1) if power[i] >= level), b]
+            parts.extend((x, y, level - 1) for x, y in zip(reversed(cuts[:-1]), reversed(cuts[1:])))
+        else:  # between words, as far as the piece goes
+            k = max(bisect.bisect_right(ends, start + limit, a, b), a)
+            held = ends[k - 1] if k and ends[k - 1] > max(done, start + overlap) else start + limit
+            pieces.append((start, held))
+            start, done = held - overlap, held
+            parts.append((k, b, 0))
+    if held > done or not pieces:
+        pieces.append((start, ends[-1] if ends else 0))
+    return pieces
+
+
 def cut(units: list[str], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces ``[start, end)`` over ``units``, each of at most ``limit``."""
     n = len(units)
     if n <= limit:
         return [(0, n)]
-    power = [strength(u, units[i + 1] if i + 1 < n else None) for i, u in enumerate(units)]
-    pieces, start = [], 0
-    while True:
-        top = start + limit
-        if top >= n:
-            pieces.append((start, n))
-            return pieces
-        least = start + overlap + 1  # a piece must add something new
-        best, end = None, top
-        for e in range(top, least - 1, -1):
-            p = power[e - 1]
-            # a line break or sentence end, in the later half if there is one
-            key = (p >= 2, e - start >= limit // 2, p)
-            if best is None or key > best:
-                best, end = key, e
-                if p >= 3 and key[1]:
-                    break
-        pieces.append((start, end))
-        start = end - overlap
+    return packed(list(range(1, n + 1)), [strength(u, units[i + 1] if i + 1 < n else None) for i, u in enumerate(units)], limit, overlap)
 
 
 def word_spans(words, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -80,24 +96,30 @@ def word_spans(words, limit: int, overlap: int) -> list[tuple[int, int]]:
 def split_words(df: DataFrame, id_column: str, words: str = "words", limit: int = 254, overlap: int = 32, labels: str | None = None) -> DataFrame:
     """One row per piece: id, ``piece``, ``n_pieces``, ``start_word``, ``end_word``, ``piece_words`` (and ``piece_labels``).
 
-    Only items over the limit reach Python; their spans come back and the
-    slices are taken in the JVM."""
+    Only the words of items over the limit are sent to Python, once; their spans
+    come back and the slices are taken in the JVM."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
 
     @F.pandas_udf(SPAN)
     def spans(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda w: [{"start": a, "end": b} for a, b in word_spans(w, limit, overlap)])
+        def one(words):
+            if words is None:
+                return None
+            found = word_spans(words, limit, overlap)
+            return [{"start": a, "end": b, "of": len(found)} for a, b in found]
+
+        return batch.map(one)
 
     w = F.col("__w")
     solid = F.size(F.filter(w, lambda x: ~F.coalesce(x, F.lit("")).rlike(BLANK)))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("end")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(w).alias("end"), F.lit(1).alias("of")))
     keep = [F.col(id_column).alias("__id"), F.col(words).alias("__w")] + ([F.col(labels).alias("__l")] if labels else [])
     out = df.select(*keep).where(w.isNotNull())
-    out = out.withColumn("__spans", F.when(solid > limit, spans(w)).otherwise(whole))
-    out = out.select("*", F.posexplode("__spans").alias("piece", "__s")).withColumn("__n", F.col("__s.end") - F.col("__s.start"))
+    # other items are nulls for the function
+    out = out.select("*", F.posexplode(F.coalesce(spans(F.when(solid > limit, w)), whole)).alias("piece", "__s")).withColumn("__n", F.col("__s.end") - F.col("__s.start"))
     cols = [
-        F.col("__id").alias(id_column), "piece", F.size("__spans").alias("n_pieces"), F.col("__s.start").alias("start_word"),
+        F.col("__id").alias(id_column), "piece", F.col("__s.of").alias("n_pieces"), F.col("__s.start").alias("start_word"),
         F.col("__s.end").alias("end_word"), F.slice(w, F.col("__s.start") + 1, F.col("__n")).alias("piece_words"),
     ]
     if labels:
@@ -126,19 +148,8 @@ def text_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     for u in units:
         at += len(u)
         ends.append(at)
-    spans, start = [], 0
-    while len(text) - start > limit:
-        best, end = -1, start + limit
-        j = bisect.bisect_right(ends, start + overlap)
-        while j < len(units) and ends[j] - start <= limit:
-            p = strength(units[j].rstrip(" \t") or units[j], units[j + 1] if j + 1 < len(units) else None)
-            if p >= best:
-                best, end = p, ends[j]
-            j += 1
-        spans.append((start, end))
-        start = end - overlap
-    spans.append((start, len(text)))
-    return spans
+    power = [strength(u.rstrip(" \t") or u, units[i + 1] if i + 1 < len(units) else None) for i, u in enumerate(units)]
+    return packed(ends, power, limit, overlap)
 
 
 def split_text(df: DataFrame, id_column: str, text: str = "text", limit: int = 2000, overlap: int = 100) -> DataFrame:
@@ -146,16 +157,20 @@ def split_text(df: DataFrame, id_column: str, text: str = "text", limit: int = 2
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
 
-    kind = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("piece_text", T.StringType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("piece_text", T.StringType()), T.StructField("of", T.IntegerType())]))
 
     @F.pandas_udf(kind)
     def pieces(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: [{"start_char": a, "piece_text": t[a:b]} for a, b in text_spans(t, limit, overlap)])
+        def one(t):
+            if t is None:
+                return None
+            found = text_spans(t, limit, overlap)
+            return [{"start_char": a, "piece_text": t[a:b], "of": len(found)} for a, b in found]
+
+        return batch.map(one)
 
     t = F.col("__t")
-    whole = F.array(F.struct(F.lit(0).alias("start_char"), t.alias("piece_text")))
+    whole = F.array(F.struct(F.lit(0).alias("start_char"), t.alias("piece_text"), F.lit(1).alias("of")))
     out = df.select(F.col(id_column).alias("__id"), F.col(text).alias("__t")).where(t.isNotNull())
-    out = out.withColumn("__p", F.when(F.length(t) > limit, pieces(t)).otherwise(whole))
-    return out.select("__id", F.size("__p").alias("n_pieces"), F.posexplode("__p").alias("piece", "__s")).select(
-        F.col("__id").alias(id_column), "piece", "n_pieces", "__s.start_char", "__s.piece_text"
-    )
+    out = out.select("__id", F.posexplode(F.coalesce(pieces(F.when(F.length(t) > limit, t)), whole)).alias("piece", "__s"))
+    return out.select(F.col("__id").alias(id_column), "piece", F.col("__s.of").alias("n_pieces"), "__s.start_char", "__s.piece_text")

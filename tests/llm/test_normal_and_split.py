@@ -66,6 +66,41 @@ def test_split_levels():
     assert splitting.strength(BREAK, BREAK) > splitting.strength(BREAK, "a") > splitting.strength("。", "a") > splitting.strength(",", "a") > splitting.strength("a", "b")
 
 
+def test_no_degenerate_pieces():
+    """A section end does not leave a piece that adds next to nothing."""
+    words = ["a"] * 80 + [BREAK, BREAK] + ["b"] * 300
+    assert splitting.cut(words, 200, 20) == [(0, 82), (62, 262), (242, 382)]
+    assert splitting.cut(["a", "。", *["b"] * 300], 200, 20) == [(0, 200), (180, 302)]
+
+
+def test_recursion_and_packing():
+    """Whole paragraphs are packed; one that is too long is split at its sentences."""
+    line, long = [*"今天好", BREAK], [*("很好。" * 30), BREAK]
+    words = line * 3 + long + line * 3
+    got = splitting.cut(words, 40, 4)
+    assert got[0] == (0, 39)  # three paragraphs and nine sentences
+    assert all(words[b - 1] in ("。", BREAK) for _, b in got)
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        words = rng.choices(["a", "b", "，", "。", BREAK], weights=[8, 8, 2, 1, 1], k=rng.randint(1, 400))
+        limit = rng.randint(2, 60)
+        overlap = rng.randrange(limit)
+        spans = splitting.cut(words, limit, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(words) and all(0 < b - a <= limit for a, b in spans)
+        assert all(b[0] == a[1] - overlap and b[1] > a[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_only_oversized_items_reach_python(spark, tmp_path):
+    """The function sees the words of items over the limit, others are nulls; the plan has it once."""
+    df = spark.createDataFrame([(i, ["x"] * (300 if i == 7 else 20)) for i in range(50)], "example_id long, words array<string>")
+    out = splitting.split_words(df, "example_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    assert {r.example_id: r.n_pieces for r in out.collect()} == {i: 2 if i == 7 else 1 for i in range(50)}
+
+
 def test_split_edges(spark):
     rows = [(1, None), (2, []), (3, [None, "", " "]), (4, ["a"] * 254), (5, ["a"] * 255), (5, ["a"] * 255)]
     df = spark.createDataFrame(rows, "example_id long, words array<string>").withColumn("piece", F.lit("clash"))
