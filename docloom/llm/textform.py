@@ -15,8 +15,8 @@ import unicodedata
 
 # --- fixed values -----------------------------------------------------------
 # Letters of other scripts and the Latin letter of the same look.
-CYRILLIC = "АВЕКМНОРСТУХІЈЅ" "аеорсухіјѕһк"
-CYRILLIC_AS_LATIN = "ABEKMHOPCTYXIJS" "aeopcyxijshk"
+CYRILLIC = "АВЕКМНОРСТУХІЈЅԚԜ" "аеорсухіјѕһкԁԛԝӏ"
+CYRILLIC_AS_LATIN = "ABEKMHOPCTYXIJSQW" "aeopcyxijshkdqwl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονρικυχ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYX" "ovpikux"
 # Radicals without a compatibility decomposition and their ideographs.
@@ -30,10 +30,10 @@ TO_LATIN = {**dict(zip(CYRILLIC, CYRILLIC_AS_LATIN)), **dict(zip(GREEK, GREEK_AS
 
 def _table() -> dict[int, str | None]:
     t: dict[int, str | None] = {}
-    for o in range(0x80, 0x10000):
+    for o in [*range(0x80, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]:
         c = chr(o)
         kind = unicodedata.category(c)
-        if kind == "Cf" or o in (0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F:
+        if kind == "Cf" or o in (0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF:
             t[o] = None
         elif kind == "Zs":
             t[o] = " "
@@ -41,7 +41,7 @@ def _table() -> dict[int, str | None]:
             t[o] = "\n"
         elif 0xFF01 <= o <= 0xFF5E:
             t[o] = chr(o - 0xFEE0)
-        elif o in (0xB5, 0x2126, 0x212A, 0x212B) or 0x2E80 <= o <= 0x2FDF or 0xF900 <= o <= 0xFAFF or 0xFB00 <= o <= 0xFB06:
+        elif o in (0xB5, 0x2126, 0x212A, 0x212B) or 0x2E80 <= o <= 0x2FDF or 0xF900 <= o <= 0xFAFF or 0xFB00 <= o <= 0xFB06 or 0x2160 <= o <= 0x217F or o >= 0x1D400:
             n = unicodedata.normalize("NFKC", c)
             if n != c:
                 t[o] = n
@@ -63,15 +63,20 @@ def ranges(points: set[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _char_class(points: set[int]) -> str:
-    """A regex character class, in escapes that Java and Python share."""
-    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges(points)) + "]"
+def _char_class(points: set[int], java: bool) -> str:
+    """A regex character class, in escapes of Java or of Python."""
 
+    def one(o: int) -> str:
+        return f"\\u{o:04x}" if o < 0x10000 else f"\\x{{{o:x}}}" if java else f"\\U{o:08x}"
 
-#: Class of everything that can make a text need rewriting; texts without a
-#: hit are in the one form already.
-SUSPECT = _char_class(set(TABLE) | set(range(0x300, 0x370)) | set(map(ord, TO_LATIN)))
-suspect = re.compile(SUSPECT)
+    return "[" + "".join(f"{one(a)}-{one(b)}" for a, b in ranges(points)) + "]"
+
+
+_points = set(TABLE) | set(range(0x300, 0x370)) | set(map(ord, TO_LATIN))
+#: Class (of Java) of everything that can make a text need rewriting; texts without
+#: a hit are in the one form already.
+SUSPECT = _char_class(_points, True)
+suspect = re.compile(_char_class(_points, False))
 _token = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f]+")
 _other_script = re.compile(r"[\u0370-\u03ff\u0400-\u052f]")
 _marks = re.compile(r"[\u0300-\u036f]")
@@ -114,6 +119,33 @@ def respell(token: str) -> str:
     return token
 
 
+def _only_own(token: str) -> bool:
+    """Whether a token is of another script beyond doubt: letters of one script, of
+    which some have no Latin look; one or two Greek letters are symbols."""
+    scripts = {_script(c) for c in token} - {"Zinh"}
+    if scripts == {"Grek"} and len(token) < 3:
+        return False
+    return len(scripts) == 1 and "Latn" not in scripts and any(c not in TO_LATIN for c in token)
+
+
+def respelled(s: str) -> str:
+    """``s`` with the consistent spelling of its tokens; the length is kept.
+
+    A token written wholly in letters that look Latin (a Cyrillic ``сор``) stays as it is
+    beside a token of its script that cannot be Latin; then the text is in that script."""
+    tokens = list(_token.finditer(s))
+    sure = [_only_own(m[0]) for m in tokens]
+    out, at = [], 0
+    for i, m in enumerate(tokens):
+        near = (j for j in (i - 1, i + 1) if 0 <= j < len(tokens) and sure[j])
+        whole = {_script(c) for c in m[0]} - {"Zinh"}
+        if len(whole) == 1 and "Latn" not in whole and any(_script(tokens[j][0][0]) in whole for j in near):
+            continue
+        out += [s[at : m.start()], respell(m[0])]
+        at = m.end()
+    return "".join(out) + s[at:]
+
+
 def canon(s: str) -> str:
     """The one consistent form of ``s`` (null-free; see :func:`variants`)."""
     if s.isascii() or not suspect.search(s):
@@ -122,7 +154,7 @@ def canon(s: str) -> str:
     if _marks.search(s):
         s = unicodedata.normalize("NFC", s)
     if _other_script.search(s):
-        s = _token.sub(lambda m: respell(m[0]), s)
+        s = respelled(s)
     return s
 
 
@@ -168,5 +200,5 @@ def canon_aligned(pieces: list[str | None]) -> tuple[str, list[int]]:
             b.append(i)
         s, at = "".join(t), b
     if _other_script.search(s):
-        s = _token.sub(lambda m: respell(m[0]), s)  # keeps the length
+        s = respelled(s)
     return s, at

@@ -36,7 +36,8 @@ def joined_words(words: Column) -> Column:
 
 def canon_column(text: Column) -> Column:
     """The one consistent form of a string column."""
-    return F.when(text.rlike(textform.SUSPECT), _canon(text)).otherwise(text)
+    # a function under ``when`` sees every row: the clean ones are nulls for it
+    return F.coalesce(_canon(F.when(text.rlike(textform.SUSPECT), text)), text)
 
 
 def normalize_text(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def normalize_words(df: DataFrame, column: str = "words", out: str | None = None
     """As :func:`normalize_text` for an array of words; look-alike letters are
     judged over tokens that span words, the number of words is unchanged."""
     words = F.col(column)
-    return df.withColumn(out or column, F.when(joined_words(words).rlike(textform.SUSPECT), _canon_words(words)).otherwise(words))
+    return df.withColumn(out or column, F.coalesce(_canon_words(F.when(joined_words(words).rlike(textform.SUSPECT), words)), words))
 
 
 def find_variants(df: DataFrame, id_column: str, text: Column, src: str) -> DataFrame:

@@ -14,6 +14,7 @@ BREAK = textform.LINE_BREAK
         ("ＡＢ１２，：", "AB12,:"), ("a​b﻿­", "ab"), ("a b　c", "a b c"), ("⼀金", "一金"), ("José", "José"),
         ("СТ室", "CT室"), ("ЕΙСU", "EICU"), ("K1", "K1"), ("5µmol", "5μmol"), ("μmol/L", "μmol/L"), ("α-淀粉酶 β2 γ", "α-淀粉酶 β2 γ"),
         ("。、《é》", "。、《é》"), ("", ""), ("nоidе", "noide"),
+        ("сор", "cop"), ("рок и сор", "рок и сор"), ("жук, сор", "жук, сор"), ("γ ΕΙ β", "γ EI β"), ("λόγος ον", "λόγος ον"), ("ICU сор", "ICU cop"), ("аԁmіn", "admin"), ("Ⅲ度 ⅳ", "III度 iv"), ("𝐀𝟏", "A1"), ("丽", "丽"),
     ],
 )
 def test_one_form(raw, plain):
