@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import without
 from docloom.schemas import LINE_BREAK
 
 # --- fixed values: words removed from values of age, sex and bed number -------
@@ -62,11 +63,38 @@ def case_variants_out(values: DataFrame) -> DataFrame:
     return v.join(best, ["doc_id", "__l", "__c"]).select("doc_id", "value")
 
 
-def train_values_out(values: DataFrame, seen: DataFrame, odd: str = "[□*?◆●]") -> DataFrame:
+#: Characters of which a value may hold none (fixed values): a zero-width space, curly
+#: quotation marks, a no-break and an ideographic space.
+ODD = "[\u200b“”\u00a0\u3000]"
+
+
+def train_values_out(values: DataFrame, seen: DataFrame, odd: str = ODD) -> DataFrame:
     """Without one-character values, values with odd characters and values seen in training."""
     return values.where((F.length("value") > 1) & ~F.col("value").rlike(odd)).join(seen.select("value").distinct(), "value", "left_anti")
 
 
+def cleaned_values(values: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(doc_id, value)``: the distinct values of each document as they are kept.
+
+    Full stops and corner brackets go, of variants in capitals and small letters the one
+    with more capitals stays, a value within another of its document (whatever the
+    letters' case) goes, and so do single characters, values with odd characters and
+    values seen in training. A value within another is found by an equi-join on three
+    letters, so that a document with very many values is never held in one task."""
+    v = values.where("value is not null").select("doc_id", without(F.col("value")).alias("value")).where("value <> ''")
+    v = case_variants_out(v).withColumn("__l", F.lower("value"))
+    n = F.length("__l")
+    # the first letters of the shorter value (padded if it is very short) stand in the longer one
+    head = F.rpad(F.substring("__l", 1, 3), 3, "\0")
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col("__l"), i, F.lit(3)))
+    short = F.transform(F.sequence(F.lit(1), n), lambda i: F.rpad(F.substr(F.col("__l"), i, F.lit(2)), 3, "\0"))
+    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.rpad(F.substr(F.col("__l"), i, F.lit(1)), 3, "\0"))
+    longer = v.select("doc_id", F.col("value").alias("__o"), F.col("__l").alias("__ol"), F.explode(F.array_distinct(F.concat(every, short, single))).alias("__g"))
+    within = v.withColumn("__g", head).join(longer, ["doc_id", "__g"]).where(F.contains("__ol", F.col("__l")) & (F.col("value") != F.col("__o")))
+    kept = v.select("doc_id", "value").join(within.select("doc_id", "value").distinct(), ["doc_id", "value"], "left_anti")
+    return train_values_out(kept, seen)
+
+
 def answers(assigned: DataFrame) -> DataFrame:
     """``(doc_id, task, category, answer)``: values joined by a blank, the
     line-break word as a newline; every category is there."""

@@ -63,12 +63,14 @@ def wrapped(tokens: Column) -> Column:
     return F.concat(F.array(F.lit("[CLS]")), tokens, F.array(F.lit("[SEP]")))
 
 
-def features(ids: Column, labels: Column, size: int, left: bool = False) -> dict[str, Column]:
+def features(ids: Column, labels: Column, size: int, left: bool = False, marks: int = 2) -> dict[str, Column]:
     """Fixed-length ``input_ids, input_mask, segment_ids, label_ids, input_len``.
 
-    Sequences are cut to ``size - 2``, wrapped, and padded on the right (or left)."""
-    body = F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, size - 2), F.array(F.lit(SEP)))
-    tags = F.concat(F.array(F.lit(PAD_LABEL)), F.slice(labels, 1, size - 2), F.array(F.lit(PAD_LABEL)))
+    Sequences are cut to ``size`` less the ``marks`` (3 where a second mark of the end
+    follows the first), wrapped, and padded on the right (or left)."""
+    ends = marks - 1
+    body = F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, size - marks), F.array(*[F.lit(SEP)] * ends))
+    tags = F.concat(F.array(F.lit(PAD_LABEL)), F.slice(labels, 1, size - marks), F.array(*[F.lit(PAD_LABEL)] * ends))
     return {
         "input_ids": arrays.padded(body, size, PAD, left), "input_mask": arrays.padded(F.transform(body, lambda x: F.lit(1)), size, 0, left),
         "segment_ids": F.array_repeat(F.lit(0), size), "label_ids": arrays.padded(tags, size, PAD_LABEL, left), "input_len": F.size(body),
@@ -103,8 +105,30 @@ def question_features(query: Column, tokens: Column, start: Column, size: Column
     }
 
 
+def question_targets(query: Column, start: Column, size: Column, first: Column, last: Column, answered: Column, longest_query: int = 64) -> Column:
+    """What a chunk is trained on: ``(start_position, end_position, no_answer)``, null for a
+    chunk that is thrown out.
+
+    ``first`` and ``last`` are the answer's tokens in the whole text, the chunk holds
+    ``size`` tokens from ``start``. A chunk of an answered question that does not hold the
+    whole answer is thrown out; one of an unanswered question has placeholders."""
+    offset = F.least(F.size(query), F.lit(longest_query)) + 2 - start
+    inside = (first >= start) & (last <= start + size - 1)
+    found = F.struct((first + offset).alias("start_position"), (last + offset).alias("end_position"), F.lit(0).alias("no_answer"))
+    none = F.struct(F.lit(2).alias("start_position"), F.lit(5).alias("end_position"), F.lit(1).alias("no_answer"))
+    return F.when(~answered, none).when(inside, found)
+
+
+def numbered(df: DataFrame, name: str, n: int | None = None) -> DataFrame:
+    """In order of the first number in ``name`` (none is last), then of the name; the first
+    ``n`` if given."""
+    ordered = df.orderBy(F.expr(f"try_cast(regexp_extract({name}, '([0-9]+)', 1) as decimal(38,0))").asc_nulls_last(), name)
+    return ordered if n is None else ordered.limit(n)
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Adds ``place``: a random-looking order by key that is the same on any partitioning."""
+    """Adds ``place``: a random-looking order by key that is the same on any partitioning.
+    Beyond a million rows places repeat; ``place`` and ``key`` together are the order."""
     return df.withColumn("place", bucket(F.col(key), seed, 1_000_003))
 
 

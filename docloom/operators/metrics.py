@@ -25,12 +25,13 @@ def value_sets(mentions: DataFrame) -> DataFrame:
     return mentions.where("value is not null and value <> ''").groupBy("doc_id", "category").agg(F.collect_set("value").alias("values"))
 
 
-def counts(pred: DataFrame, gold: DataFrame, to_set: bool = True, gate: DataFrame | None = None) -> DataFrame:
+def counts(pred: DataFrame, gold: DataFrame, to_set: bool = True, gate: DataFrame | None = None, each: bool = False) -> DataFrame:
     """``(category, pred, gold, correct)`` summed over documents.
 
     Both inputs are mentions ``(doc_id, category, value)``. With ``to_set`` equal
     values of a document count once; without it duplicates count on either side
-    while the intersection stays a set. ``gate`` is a second gold labelling: only
+    while the intersection stays a set, or with ``each`` every prediction of a gold
+    value is correct, a repeated one again. ``gate`` is a second gold labelling: only
     documents and categories where it is not empty and equal to ``gold`` count."""
 
     def side(m: DataFrame, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def counts(pred: DataFrame, gold: DataFrame, to_set: bool = True, gate: DataFram
         both = both.join(same, ["doc_id", "category"], "left_semi")
     return both.groupBy("category").agg(
         F.coalesce(F.sum("p"), F.lit(0)).alias("pred"), F.coalesce(F.sum("g"), F.lit(0)).alias("gold"),
-        F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("correct"),
+        F.coalesce(F.sum(F.when(F.col("g").isNotNull(), F.col("p") if each else F.when(F.col("p").isNotNull(), 1))), F.lit(0)).alias("correct"),
     )
 
 
@@ -59,6 +60,28 @@ def report(by_category: DataFrame) -> DataFrame:
     return by_category.select("category", "pred", "gold", "correct", *smoothed(F.col("pred"), F.col("gold"), F.col("correct")))
 
 
+def averages(by_category: DataFrame) -> DataFrame:
+    """``(category, precision, recall, f1, support)`` of counts, unsmoothed and 0 where
+    nothing was predicted or marked, with the rows ``micro avg`` (of the summed counts)
+    and ``macro avg`` (means weighted by the number marked)."""
+    def scored(df: DataFrame) -> DataFrame:
+        cols = [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(strict(F.col("pred"), F.col("gold"), F.col("correct")), ("precision", "recall", "f1"))]
+        return df.select("category", *cols, F.col("gold").alias("support"))
+
+    each = scored(by_category)
+    micro = scored(with_overall(by_category, "micro avg").where("category = 'micro avg'"))
+    weighted = [F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")]
+    macro = each.agg(*weighted, F.sum("support").alias("support")).select(F.lit("macro avg").alias("category"), "precision", "recall", "f1", "support")
+    return each.unionByName(micro).unionByName(macro)
+
+
+def mean_loss(df: DataFrame, loss: str, steps: str | None = None) -> DataFrame:
+    """``(n, mean_loss)``: the mean of a column of losses, of its totals over ``steps`` if given;
+    null losses do not count."""
+    n = F.count(loss) if steps is None else F.sum(F.when(F.col(loss).isNotNull(), F.col(steps)))
+    return df.agg(n.alias("n"), F.try_divide(F.sum(loss), n).alias("mean_loss"))
+
+
 def medians(df: DataFrame, key: str, value: str, bins: int = 65_536) -> DataFrame:
     """``(key, median)``, exact, without holding the values of a key in one task.
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import arrays
-from docloom.operators import datasets, match, scoring, spans
+from docloom.operators import datasets, match, metrics, scoring, spans
+from docloom.plans.payloads import BOXES, listed
 from docloom.session import checkpoint_dir, read
 from docloom.streaming import pipeline
 
@@ -198,6 +199,37 @@ def viterbi_labels(spark, sf_dir):
     return scored.select("doc_id", F.array_join(scoring.viterbi(step)(F.col("logits")), "").alias("path"))
 
 
+def masked_paths(spark, sf_dir):
+    """Best paths behind the mark of beginning, up to each text's length (no SQL: iterative)."""
+    ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
+    e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
+    scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(3))
+    step = np.array([[2.0, 0.0, -1.0], [0.0, -1.0, 3.0], [0.5, 0.0, 1.0]])
+    path = scoring.masked_viterbi(step)(F.col("logits"), F.least(F.size("logits"), F.lit(128)))
+    return scored.select("doc_id", F.array_join(path, "").alias("path"))
+
+
+def mean_losses(spark, sf_dir):
+    """Mean loss a label, over all texts (no SQL: iterative)."""
+    ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
+    e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
+    scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(3))
+    labels = F.transform("logits", lambda x: F.when(x[0] > x[1], F.lit(-100)).otherwise(F.lit(1)))
+    n = F.greatest(F.size("logits") - 1, F.lit(0))
+    loss = scoring.masked_loss(np.zeros((3, 3)))(F.col("logits"), labels, F.size("logits"))
+    return metrics.mean_loss(scored.select(loss.alias("loss"), n.alias("steps")), "loss", "steps").select("n", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+def question_training(spark, sf_dir):
+    """Chunks of the held-out passages that a reader is trained on, and their targets."""
+    i = read(spark, sf_dir, "eval_items").where("context <> ''").withColumn("answer", F.coalesce("answer", F.lit("")))
+    at = F.instr("context", F.col("answer")) - 1
+    i = i.where((F.col("answer") == "") | (at >= 0)).select("item_id", "question", "context", "answer", at.alias("first"), (at + F.length("answer") - 1).alias("last"))
+    c = chunk_windows(spark, sf_dir).join(i, "item_id")
+    t = datasets.question_targets(F.split("question", ""), F.col("start"), F.col("size"), F.col("first"), F.col("last"), F.col("answer") != "")
+    return c.select("item_id", "chunk", t.alias("t")).where("t is not null").select("item_id", "chunk", "t.*")
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -211,10 +243,29 @@ def stream_codes(spark, sf_dir):
 
 
 def stream_hourly(spark, sf_dir):
-    """Windowed counts behind a watermark, as a batch of the same operator."""
-    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    h = pipeline.hourly(e)
-    return h.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Windowed counts of a stream behind a watermark."""
+    path = f"{sf_dir}/events.parquet"
+    stream = pipeline.read_stream(spark, path, read(spark, sf_dir, "events"))
+    out = _folder(spark, "hourly")
+    pipeline.run_whole(pipeline.hourly(stream.withColumn("ts", F.col("ts").cast("timestamp"))), out, out + "-log")
+    return spark.read.parquet(out).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_once(spark, sf_dir):
+    """Documents of a stream of deliveries, repeated ones dropped within the watermark."""
+    path, like = f"{sf_dir}/ocr_raw.parquet", read(spark, sf_dir, "ocr_raw")
+    stream = pipeline.read_stream(spark, path, like).withColumn("received_at", F.col("received_at").cast("timestamp")).where("received_at is not null")
+    out = _folder(spark, "once")
+    pipeline.run(pipeline.once(stream, ["doc_id"]).select("doc_id"), out, out + "-log")
+    return spark.read.parquet(out)
+
+
+def stream_box_texts(spark, sf_dir):
+    """Canonical texts of the boxes on a stream of payloads."""
+    path, like = f"{sf_dir}/ocr_raw.parquet", read(spark, sf_dir, "ocr_raw")
+    out = _folder(spark, "boxes")
+    pipeline.run(pipeline.box_texts(pipeline.read_stream(spark, path, like)), out, out + "-log")
+    return spark.read.parquet(out)
 
 
 QUERIES = {
@@ -222,7 +273,7 @@ QUERIES = {
     for f in (
         chunk_windows, chunk_windows_examples, max_context, qa_candidates, qa_nbest, qa_vote, qa_softmax, qa_widened, qa_tightest, qa_layout, qa_flattened, original_answers,
         cosine_topk, cosine_pairs, token_overlap_topk, hash_split, hash_split_shares, hash_sample, batched, truncate_pre_post, feature_arrays, piece_labels, stub_labels,
-        viterbi_labels, stream_codes, stream_hourly,
+        viterbi_labels, masked_paths, mean_losses, question_training, stream_codes, stream_hourly, stream_once, stream_box_texts,
     )
 }
 
@@ -270,5 +321,15 @@ SELECT example_id, 128 AS size, (len(w) + 2)::INTEGER AS input_len, (203 + coale
   (coalesce(list_sum(list_transform(l, lambda x: length(coalesce(x, 'O')))), 0) - 100 * (128 - len(l)))::BIGINT AS label_ids FROM e""",
     "piece_labels": """WITH t AS (SELECT example_id, unnest(words) AS w, unnest(labels) AS l FROM examples WHERE words IS NOT NULL AND labels IS NOT NULL), p AS (SELECT example_id, greatest((length(coalesce(w, '')) + 1) // 2, 1) AS k, length(coalesce(w, '')) = 0 AS none, length(coalesce(l, 'O')) AS lab FROM t)
 SELECT example_id AS doc_id, sum(k)::BIGINT AS pieces, sum(lab - 100 * (k - 1))::BIGINT AS label_sum, count(*) FILTER (none) AS unused FROM p GROUP BY ALL""",
+    "stub_labels": """WITH t AS (SELECT example_id AS doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM examples WHERE words IS NOT NULL),
+s AS (SELECT doc_id, p, length(coalesce(w, '')) * 7 + p * 3 AS b FROM t), a AS (SELECT doc_id, p, [b % 17, (b + 13) % 17, (b + 26) % 17, (b + 39) % 17] AS r FROM s)
+SELECT example_id AS doc_id, coalesce(string_agg((list_position(r, list_max(r)) - 1)::VARCHAR, '' ORDER BY p), '') AS labels FROM examples LEFT JOIN a ON doc_id = example_id WHERE words IS NOT NULL GROUP BY example_id""",
+    "question_training": f"""WITH {CHUNKS}, q AS (SELECT item_id, least(length(question), 64) AS lq, coalesce(answer, '') AS a, instr(context, coalesce(answer, '')) - 1 AS f FROM eval_items WHERE context <> '')
+SELECT item_id, chunk, (CASE WHEN a = '' THEN 2 ELSE f - start + lq + 2 END)::INTEGER AS start_position, (CASE WHEN a = '' THEN 5 ELSE f + length(a) - 1 - start + lq + 2 END)::INTEGER AS end_position, (a = '')::INTEGER AS no_answer
+FROM ch JOIN q USING (item_id) WHERE a = '' OR (f >= 0 AND f >= start AND f + length(a) - 1 <= start + size - 1)""",
+    "stream_once": "SELECT DISTINCT doc_id FROM ocr_raw WHERE received_at IS NOT NULL",
+    "stream_box_texts": f"""WITH RECURSIVE {BOXES} SELECT raw_id, box_path, regexp_replace(replace(b ->> '$.text', chr(10), 'mjwemptymjw'), '[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b]', '', 'g') AS text FROM boxes WHERE b ->> '$.text' IS NOT NULL""",
+    "stream_codes": f"""WITH RECURSIVE {BOXES}, r AS (SELECT coalesce(x ->> '$.error', '') AS error, coalesce(r ->> '$.message', '') AS message, x ->> '$.error' IS NULL AND r ->> '$.message' IS NULL AS missing, coalesce(len({listed('r', '$.info')}), 0) AS n FROM res)
+SELECT CASE WHEN missing THEN '10002' WHEN message <> 'success' OR error <> '' THEN '10006' ELSE '200' END AS code, count(*) AS responses, sum(n)::BIGINT AS elements FROM r GROUP BY 1""",
     "stream_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

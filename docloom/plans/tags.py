@@ -90,14 +90,16 @@ def prf_duplicates(spark, sf_dir):
 
 
 def prf_strict(spark, sf_dir):
-    c = metrics.counts(*_both(spark, sf_dir))
+    """Unsmoothed scores; a repeated prediction of a gold value is correct again."""
+    c = metrics.counts(*_both(spark, sf_dir), to_set=False, each=True)
     return c.select("category", *metrics.strict(F.col("pred"), F.col("gold"), F.col("correct")))
 
 
 def prf_gated(spark, sf_dir):
-    """Counted only where a second gold labelling agrees with the first."""
+    """Counted only where a second gold labelling (some labels lost) agrees with the first."""
     pred, gold = _both(spark, sf_dir)
-    return metrics.counts(pred, gold, gate=gold.where("doc_id % 3 <> 0"))
+    second = tokens(spark, sf_dir).withColumn("label", F.when(F.col("pos") % 17 == 5, "O").otherwise(F.col("label")))
+    return metrics.counts(pred, gold, gate=bio.decode(second, glue=GLUE))
 
 
 def token_accuracy(spark, sf_dir):
@@ -110,6 +112,12 @@ def entity_exact(spark, sf_dir):
     return bio.entity_scores(bio.decode_typed(tokens(spark, sf_dir)), bio.decode_typed(pred_tokens(spark, sf_dir)))
 
 
+def entity_averages(spark, sf_dir):
+    """Exact matches of spans with micro and macro averages."""
+    t = metrics.averages(entity_exact(spark, sf_dir))
+    return t.select("category", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 def label_diff(spark, sf_dir):
     """Documents and categories whose value sets differ between the two taggings."""
     pred, gold = (metrics.value_sets(m) for m in _both(spark, sf_dir))
@@ -126,7 +134,8 @@ def error_class(spark, sf_dir):
     pred, gold = _both(spark, sf_dir)
     first = gold.groupBy("doc_id", "category").agg(F.min_by("value", "ent").alias("gold_value"))
     got = pred.groupBy("doc_id", "category").agg(F.min_by("value", "ent").alias("pred_value"))
-    text = tokens(spark, sf_dir).where("pos % 13 <> 5").groupBy("doc_id").agg(assign.in_order(F.coalesce("token", F.lit("")), F.col("pos")).alias("t"))
+    read_as = F.when(F.col("pos") % 13 == 5, "□").otherwise(F.coalesce("token", F.lit("")))
+    text = tokens(spark, sf_dir).groupBy("doc_id").agg(assign.in_order(read_as, F.col("pos")).alias("t"))
     j = first.join(got, ["doc_id", "category"], "left").join(text.select("doc_id", F.array_join("t", "").alias("text")), "doc_id")
     wrong = j.where(~F.col("gold_value").eqNullSafe(F.col("pred_value")))
     kind = F.when(~F.contains("text", F.col("gold_value")), "recognition").otherwise("extraction")
@@ -159,9 +168,15 @@ def case_variant_dedup(spark, sf_dir):
 
 
 def train_values_out(spark, sf_dir):
-    m = read(spark, sf_dir, "mentions").where("value is not null")
-    seen = m.where("mention_id % 2 = 0 and category = 'Department'").select("value")
-    return assign.train_values_out(m.where("mention_id % 2 = 1 and category = 'Department'").select("mention_id", "value"), seen)
+    """Values the model read, without those that rules had read as well."""
+    m = read(spark, sf_dir, "mentions").where("value is not null").select("mention_id", "value", "pred_type")
+    return assign.train_values_out(m.where("pred_type = 'model'"), m.where("pred_type = 'rule'")).select("mention_id", "value")
+
+
+def cleaned_values(spark, sf_dir):
+    """The values of each document as they are kept; those of the interface count as seen."""
+    m = read(spark, sf_dir, "mentions").where("value is not null and doc_id is not null")
+    return assign.cleaned_values(m.where("category in ('ad_diag', 'dis_diag', 'Department', 'Conclusion', 'Name_PY')"), m.where("pred_type = 'interface'"))
 
 
 def answers_wide(spark, sf_dir):
@@ -239,12 +254,13 @@ def latency_stats(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bio_decode, bio_typed_offsets, bio_id_merge, prf_by_category, prf_duplicates, prf_strict, prf_gated, token_accuracy, entity_exact, label_diff, error_class,
-        mentions_by_category, unknown_categories, first_seen, containment_dedup, case_variant_dedup, train_values_out, answers_wide, response_json, packed_mentions,
+        bio_decode, bio_typed_offsets, bio_id_merge, prf_by_category, prf_duplicates, prf_strict, prf_gated, token_accuracy, entity_exact, entity_averages, label_diff, error_class,
+        mentions_by_category, unknown_categories, first_seen, containment_dedup, case_variant_dedup, train_values_out, cleaned_values, answers_wide, response_json, packed_mentions,
         value_positions, tagged_round_trip, predicted_lines, label_dimension, label_types, fuzzy_headers, mentions_of_responses, shuffled_order, latency_stats,
     )
 }
 
+_ODD = r"[\x{200b}“”\x{00a0}\x{3000}]"
 _pair = f"WITH {TOK}, {PRED}, {_decode_sql('gm', 'tok', GLUE)}, {_decode_sql('pm', 'ptok', GLUE)}"
 _assigned = f"""
 cats(task, cat_pos, category) AS (VALUES {task_categories_sql()}),
@@ -273,11 +289,16 @@ SELECT category, pred, gold, correct, {SMOOTH} FROM allc""",
 SELECT category, coalesce(sum(p), 0)::BIGINT AS pred, coalesce(sum(g), 0)::BIGINT AS gold, count(*) FILTER (p IS NOT NULL AND g IS NOT NULL) AS correct
 FROM (SELECT doc_id, category, value, count(*) AS p FROM pm WHERE value <> '' GROUP BY ALL) a
 FULL JOIN (SELECT doc_id, category, value, count(*) AS g FROM gm WHERE value <> '' GROUP BY ALL) b USING (doc_id, category, value) GROUP BY category""",
-    "prf_strict": f"""{_pair}, {COUNTS}
+    "prf_strict": f"""{_pair}, c AS (SELECT category, coalesce(sum(p), 0)::BIGINT AS pred, coalesce(sum(g), 0)::BIGINT AS gold, coalesce(sum(p) FILTER (g IS NOT NULL), 0)::BIGINT AS correct
+FROM (SELECT doc_id, category, value, count(*) AS p FROM pm WHERE value <> '' GROUP BY ALL) a
+FULL JOIN (SELECT doc_id, category, value, count(*) AS g FROM gm WHERE value <> '' GROUP BY ALL) b USING (doc_id, category, value) GROUP BY category)
 SELECT category, CASE WHEN pred > 0 THEN correct::DOUBLE / pred END AS precision, CASE WHEN gold > 0 THEN correct::DOUBLE / gold END AS recall,
-  CASE WHEN correct > 0 THEN 2 * (correct::DOUBLE / pred) * (correct::DOUBLE / gold) / (correct::DOUBLE / pred + correct::DOUBLE / gold) END AS f1 FROM counts""",
-    "prf_gated": f"""{_pair}, pmg AS (SELECT * FROM pm), {COUNTS.replace('FROM pm WHERE', 'FROM pm WHERE doc_id % 3 <> 0 AND (doc_id, category) IN (SELECT (doc_id, category) FROM gm WHERE value <> chr(0)) AND').replace('FROM gm WHERE', 'FROM gm WHERE doc_id % 3 <> 0 AND')}
-SELECT * FROM counts""",
+  CASE WHEN correct > 0 THEN 2 * (correct::DOUBLE / pred) * (correct::DOUBLE / gold) / (correct::DOUBLE / pred + correct::DOUBLE / gold) END AS f1 FROM c""",
+    "prf_gated": f"""{_pair}, stok AS (SELECT doc_id, pos, token, CASE WHEN pos % 17 = 5 THEN 'O' ELSE label END AS label FROM tok), {_decode_sql('sm', 'stok', GLUE)},
+g AS (SELECT DISTINCT doc_id, category, value, 1 AS g FROM gm WHERE value <> ''), h AS (SELECT DISTINCT doc_id, category, value, 1 AS h FROM sm WHERE value <> ''), p AS (SELECT DISTINCT doc_id, category, value, 1 AS p FROM pm WHERE value <> ''),
+same AS (SELECT doc_id, category FROM g FULL JOIN h USING (doc_id, category, value) GROUP BY doc_id, category HAVING bool_and(g IS NOT NULL AND h IS NOT NULL))
+SELECT category, coalesce(sum(p), 0)::BIGINT AS pred, coalesce(sum(g), 0)::BIGINT AS gold, count(*) FILTER (p IS NOT NULL AND g IS NOT NULL) AS correct
+FROM p FULL JOIN g USING (doc_id, category, value) WHERE (doc_id, category) IN (SELECT (doc_id, category) FROM same) GROUP BY category""",
     "token_accuracy": f"""WITH {TOK}, {PRED}
 SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (coalesce(a.label, 'O') = coalesce(b.label, 'O')) AS n_equal,
   count(*) FILTER (coalesce(a.label, 'O') = coalesce(b.label, 'O'))::DOUBLE / count(*) AS accuracy
@@ -285,6 +306,14 @@ FROM tok a JOIN ptok b USING (doc_id, pos) WHERE coalesce(a.label, 'O') <> 'B-Na
     "entity_exact": f"""WITH {TOK}, {PRED}, {_typed_sql('gm', 'tok')}, {_typed_sql('pm', 'ptok')}
 SELECT category, count(g) AS gold, count(p) AS pred, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS correct
 FROM (SELECT doc_id, category, start, "end", 1 AS g FROM gm) a FULL JOIN (SELECT doc_id, category, start, "end", 1 AS p FROM pm) b USING (doc_id, category, start, "end") GROUP BY category""",
+    "entity_averages": f"""WITH {TOK}, {PRED}, {_typed_sql('gm', 'tok')}, {_typed_sql('pm', 'ptok')},
+c AS (SELECT category, count(g) AS gold, count(p) AS pred, count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS correct
+FROM (SELECT doc_id, category, start, "end", 1 AS g FROM gm) a FULL JOIN (SELECT doc_id, category, start, "end", 1 AS p FROM pm) b USING (doc_id, category, start, "end") GROUP BY category),
+s AS (SELECT category, gold, pred, correct FROM c UNION ALL SELECT 'micro avg', sum(gold), sum(pred), sum(correct) FROM c),
+e AS (SELECT category, CASE WHEN pred > 0 THEN correct::DOUBLE / pred ELSE 0 END AS p, CASE WHEN gold > 0 THEN correct::DOUBLE / gold ELSE 0 END AS r, gold::BIGINT AS support FROM s),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM e)
+SELECT category, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1, support FROM f UNION ALL
+SELECT 'macro avg', round(sum(p * support) / sum(support), 9), round(sum(r * support) / sum(support), 9), round(sum(f * support) / sum(support), 9), sum(support)::BIGINT FROM f WHERE category <> 'micro avg'""",
     "label_diff": f"""{_pair}, j AS (SELECT doc_id, category, value, g, p FROM (SELECT DISTINCT doc_id, category, value, 1 AS g FROM gm WHERE value <> '') a
   FULL JOIN (SELECT DISTINCT doc_id, category, value, 1 AS p FROM pm WHERE value <> '') b USING (doc_id, category, value))
 SELECT doc_id, category, (count(*) FILTER (p IS NULL))::INTEGER AS lost, (count(*) FILTER (g IS NULL))::INTEGER AS extra,
@@ -292,7 +321,7 @@ SELECT doc_id, category, (count(*) FILTER (p IS NULL))::INTEGER AS lost, (count(
 FROM j GROUP BY doc_id, category HAVING count(*) FILTER (p IS NULL) > 0 OR count(*) FILTER (g IS NULL) > 0""",
     "error_class": f"""{_pair}, first_ AS (SELECT doc_id, category, arg_min(value, ent) AS gold_value FROM gm GROUP BY ALL),
 got AS (SELECT doc_id, category, arg_min(value, ent) AS pred_value FROM pm GROUP BY ALL),
-txt AS (SELECT doc_id, string_agg(coalesce(token, ''), '' ORDER BY pos) AS text FROM tok WHERE pos % 13 <> 5 GROUP BY doc_id)
+txt AS (SELECT doc_id, string_agg(CASE WHEN pos % 13 = 5 THEN '□' ELSE coalesce(token, '') END, '' ORDER BY pos) AS text FROM tok GROUP BY doc_id)
 SELECT category, CASE WHEN NOT contains(text, gold_value) THEN 'recognition' ELSE 'extraction' END AS kind, count(*) AS n
 FROM first_ LEFT JOIN got USING (doc_id, category) JOIN txt USING (doc_id) WHERE gold_value IS DISTINCT FROM pred_value GROUP BY ALL""",
     "mentions_by_category": f"WITH {_assigned} SELECT doc_id, task, category, n, joined FROM full_",
@@ -305,8 +334,12 @@ kept AS (SELECT a.* FROM m a JOIN n USING (doc_id, category) WHERE n = 1 OR NOT
 SELECT doc_id, category, coalesce(string_agg(k.value, '|' ORDER BY k.pos, k.mention_id), '') AS kept FROM n LEFT JOIN kept k USING (doc_id, category) GROUP BY doc_id, category""",
     "case_variant_dedup": f"""WITH v AS (SELECT DISTINCT doc_id, value FROM mentions WHERE doc_id IS NOT NULL AND value IS NOT NULL AND category LIKE '%_PY')
 SELECT doc_id, value FROM v QUALIFY {CAPITALS} = max({CAPITALS}) OVER (PARTITION BY doc_id, lower(value))""",
-    "train_values_out": """SELECT value, mention_id FROM mentions WHERE mention_id % 2 = 1 AND category = 'Department' AND length(value) > 1 AND NOT regexp_matches(value, '[□*?◆●]')
-AND value NOT IN (SELECT value FROM mentions WHERE mention_id % 2 = 0 AND category = 'Department' AND value IS NOT NULL)""",
+    "train_values_out": f"""SELECT value, mention_id FROM mentions WHERE pred_type = 'model' AND length(value) > 1 AND NOT regexp_matches(value, '{_ODD}')
+AND value NOT IN (SELECT value FROM mentions WHERE pred_type = 'rule' AND value IS NOT NULL)""",
+    "cleaned_values": f"""WITH v AS (SELECT DISTINCT doc_id, translate(value, '。【】', '') AS value FROM mentions WHERE doc_id IS NOT NULL AND category IN ('ad_diag', 'dis_diag', 'Department', 'Conclusion', 'Name_PY')),
+c AS (SELECT doc_id, value, lower(value) AS l FROM v WHERE value <> '' QUALIFY length(regexp_replace(value, '[^A-Z]', '', 'g')) = max(length(regexp_replace(value, '[^A-Z]', '', 'g'))) OVER (PARTITION BY doc_id, lower(value)))
+SELECT doc_id, value FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND contains(o.l, c.l) AND o.value <> c.value) AND length(value) > 1 AND NOT regexp_matches(value, '{_ODD}')
+AND value NOT IN (SELECT value FROM mentions WHERE pred_type = 'interface' AND doc_id IS NOT NULL AND value IS NOT NULL)""",
     "answers_wide": f"""WITH {_assigned} SELECT doc_id, max(wide) FILTER (category = 'Name') AS "Name", max(wide) FILTER (category = 'Hospital_Name') AS "Hospital_Name",
   max(wide) FILTER (category = 'Check_Part') AS "Check_Part" FROM full_ WHERE task = 'imaging_report' GROUP BY doc_id""",
     "response_json": f"""WITH {_assigned.replace("FROM mentions WHERE doc_id IS NOT NULL", "FROM mentions WHERE doc_id IS NOT NULL AND task = 'xingchengdan' AND category IN ('Flight_Number', 'Ticket_Fee', 'Total_Fee')")}

@@ -159,6 +159,29 @@ def word_pieces(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(t).alias("pieces"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
+def _characters(spark, sf_dir) -> list[str]:
+    """A vocabulary: the unknown token and the letters of the lists (some hundreds at most)."""
+    c = read(spark, sf_dir, "gazetteer").select(F.explode(F.split("value", "")).alias("c")).where("c <> ''").distinct()
+    return ["[UNK]", *sorted(r["c"] for r in c.collect())]
+
+
+def token_ids(spark, sf_dir):
+    """Hospitals as ids of a vocabulary of characters."""
+    known = _characters(spark, sf_dir)
+    ids = tx.ids_of(known, "[UNK]")(F.filter(F.split("value", ""), lambda x: x != ""))
+    v = _values(spark, sf_dir, "Hospital_Name").select("mention_id", ids.alias("ids"))
+    back = F.array_join(tx.tokens_of(F.col("ids"), known), "")
+    return v.select("mention_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), back.alias("back"))
+
+
+def listed_patterns(spark, sf_dir):
+    """The first of some thousand patterns, places of the list in their settings, in list order."""
+    places = [r["value"] for r in read(spark, sf_dir, "gazetteer").where("list_name = 'place_py'").orderBy("list_pos").select("value").collect()]
+    patterns = tx.code_patterns(places, [("FROM ?", ""), ("TO ?", ""), ("", "(?: INTL)?")])
+    t = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.first_of_many(patterns)(F.upper("text")).alias("f"))
+    return t.where("f.pattern_pos is not null").select("doc_id", "f.pattern_pos", "f.match")
+
+
 def char_classes(spark, sf_dir):
     c = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     c = c.where("c <> ''")
@@ -257,7 +280,7 @@ def departments(spark, sf_dir):
 
 def key_values(spark, sf_dir):
     """``key:value`` sheets written from mentions and read again."""
-    m = _values(spark, sf_dir, "Flight_Number", "Flight_Date").where("value rlike '^[A-Za-z0-9,. -]+$' and doc_id is not null")
+    m = _values(spark, sf_dir, "Flight_Number", "Flight_Date").where("doc_id is not null")
     sheet = m.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat("category", F.lit(":"), "value")))).alias("text"))
     return readers.read_key_values(sheet, "doc_id").groupBy("category", "value").agg(F.count("*").alias("n"))
 
@@ -288,7 +311,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         box_geometry, row_group, row_group_font, row_order, row_spacing, layout_text, layout_paragraphs, layout_by_edge, font_size, header_columns, rank_columns,
-        fees, ocr_codes, response_plain_text, canonical_text, restored_text, filtered_words, char_tokens, basic_tokens, word_pieces, char_classes,
+        fees, ocr_codes, response_plain_text, canonical_text, restored_text, filtered_words, char_tokens, basic_tokens, word_pieces, token_ids, listed_patterns, char_classes,
         regex_fields, pattern_first_match, digit_confusions, date_normalize, flight_date_fix, number_fix, flight_numbers, names_cut, latin_names, name_syllables, final_values, name_context, departments, key_values,
         gazetteer_ratio, absent_documents, present_documents, low_scored_values,
     )
@@ -380,8 +403,16 @@ SELECT code, count(*) AS responses FROM c WHERE code <> '200' GROUP BY code""",
     "filtered_words": "SELECT doc_id, md5(translate(text, '。【】', '')) AS digest FROM documents WHERE text IS NOT NULL",
     "char_tokens": f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b\\x{{0085}}\\x1c-\\x1f]', '', 'g'), '(?i){LINE_BREAK}|\\S') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(t)::INTEGER AS tokens, len(list_distinct(t))::INTEGER AS distinct_tokens FROM t""",
-    "basic_tokens": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[一-鿿]|[^\\s\\pP\\pS一-鿿]+|[\\pP\\pS]') AS t FROM documents WHERE text IS NOT NULL)
+    "basic_tokens": f"""WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{{Cf}}\\x{{fffd}}]', '', 'g'))), '{tx.TOKEN.replace(chr(39), chr(39) * 2)}') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(t)::INTEGER AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
+    "token_ids": """WITH k AS (SELECT list_prepend('[UNK]', list_sort(list_distinct(flatten(list(string_split(value, '')))))) AS k FROM gazetteer WHERE value <> ''),
+t AS (SELECT mention_id, list_transform(list_filter(string_split(value, ''), lambda x: x <> ''), lambda x: coalesce(list_position(k, x), 1)) AS i, k FROM mentions, k WHERE category = 'Hospital_Name' AND value IS NOT NULL)
+SELECT mention_id, array_to_string(list_transform(i, lambda x: x - 1), ' ') AS ids, array_to_string(list_transform(i, lambda x: k[x]), '') AS back FROM t""",
+    "listed_patterns": """WITH g AS (SELECT value, row_number() OVER (ORDER BY list_pos) - 1 AS n FROM gazetteer WHERE list_name = 'place_py'),
+p AS (SELECT 3 * n AS pattern_pos, 'FROM ?' || value AS p FROM g UNION ALL SELECT 3 * n + 1, 'TO ?' || value FROM g UNION ALL SELECT 3 * n + 2, value || '(?: INTL)?' FROM g),
+d AS (SELECT doc_id, upper(text) AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, t, n FROM d JOIN g ON contains(t, value)),
+m AS (SELECT doc_id, pattern_pos, regexp_extract(t, p, 0) AS match FROM h JOIN p ON p.pattern_pos // 3 = h.n WHERE regexp_matches(t, p))
+SELECT doc_id, pattern_pos::INTEGER AS pattern_pos, match FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pattern_pos) = 1""",
     "char_classes": r"""WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM documents), g AS (SELECT c, count(*) AS n FROM c WHERE c <> '' GROUP BY c)
 SELECT c, n, regexp_matches(c, '^[\pP!-/:-@\[-`{-~]$') AS punctuation, c IN (' ', chr(9), chr(10), chr(13)) OR regexp_matches(c, '^\p{Zs}$') AS space, regexp_matches(c, '^[一-鿿㐀-䶿豈-﫿]$') AS han FROM g""",
     "regex_fields": " UNION ALL ".join(
@@ -411,7 +442,7 @@ SELECT mention_id, CASE WHEN contains(text, '日期') AND NOT contains(substring
     "departments": f"""WITH RECURSIVE {TEXTS}, f AS (SELECT mention_id, value, CASE WHEN instr(text, value) > 0 THEN substring(text, instr(text, value) + length(value), 3) ELSE '' END AS tail FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category = 'Department' AND value IS NOT NULL)
 SELECT mention_id, replace(value || CASE WHEN left(tail, 1) IN (')', '）') THEN ')' ELSE '' END || CASE WHEN left(tail, 2) = '住院' AND tail <> '住院号' THEN '住院' ELSE '' END, '料', '科') AS department FROM f""",
     "key_values": r"""WITH m AS (SELECT category, unnest(CASE WHEN category = 'Flight_Number' THEN string_split(upper(replace(value, ' ', '')), ',') ELSE [upper(replace(value, ' ', ''))] END) AS value
-FROM mentions WHERE category IN ('Flight_Number', 'Flight_Date') AND regexp_matches(value, '^[A-Za-z0-9,. -]+$') AND doc_id IS NOT NULL)
+FROM mentions WHERE category IN ('Flight_Number', 'Flight_Date') AND value IS NOT NULL AND doc_id IS NOT NULL)
 SELECT category, value, count(*) AS n FROM m WHERE value <> '' GROUP BY ALL""",
     "gazetteer_ratio": f"""WITH RECURSIVE {TEXTS}, v AS (SELECT mention_id, value, coalesce(text, '') AS text FROM mentions LEFT JOIN dtx USING (doc_id) WHERE category IN ('Origin_PY', 'Destination_PY') AND length(value) > 3 AND NOT contains(value, 'GATE') AND NOT contains(value, 'PLEASE')),
 g AS (SELECT list_pos, value AS entry FROM gazetteer WHERE list_name = 'place_py')

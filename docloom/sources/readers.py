@@ -125,3 +125,21 @@ def table_values(df: DataFrame, amounts: tuple[str, ...] = (), dates: tuple[str,
         v = F.translate(F.coalesce(v.cast("string"), F.lit("")), "，：（） ", ",:()")
         out[c] = F.upper(v)
     return df.select(*[e.alias(c) for c, e in out.items()])
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """A folder tree of files of any kind, images say: ``(file, name, length, content)``;
+    ``content`` is only read where it is selected."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return df.select(F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+
+
+def read_run_codes(spark: SparkSession, path: str, log: str = "log.json") -> DataFrame:
+    """``(folder, code)`` of every folder with files below ``path``: the code of the first
+    entry of its log; null where there is no log or none can be read."""
+    files = read_files(spark, path).select(F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder"), "name")
+    folders = files.groupBy("folder").agg(F.max(F.col("name") == log).alias("__has"))
+    logs = read_files(spark, path, log).select(
+        F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder"), F.get_json_object(F.col("content").cast("string"), "$[0].code").alias("code")
+    )
+    return folders.join(logs, "folder", "left").select("folder", F.when(F.col("__has"), F.col("code")).alias("code"))

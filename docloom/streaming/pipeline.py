@@ -45,3 +45,13 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything that is there, exactly once, to a Parquet folder."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_whole(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """As :func:`run` for results that change: each trigger writes the whole result anew."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()

@@ -225,6 +225,76 @@ def test_word_pieces(spark):
     assert col(spark, ["unable", "xyz", "a"], split, "array<string>") == ["un", "##able", "[UNK]", "a"]
 
 
+def test_basic_tokens_in_full(spark):
+    assert col(spark, "Ab\u200bC\u0000 Élan, 世界x℃y—z $5\u3000ﬁn\ufffd", text.basic_tokens) == ["abc", "elan", ",", "世", "界", "x℃y", "—", "z", "$", "5", "ﬁn"]
+    assert col(spark, "Ab Élan", lambda v: text.basic_tokens(v, lower=False)) == ["Ab", "Élan"]
+    assert col(spark, None, text.basic_tokens) is None and col(spark, "", text.basic_tokens) == []
+    vocabulary = text.vocabulary_of("[UNK]\nun\n##able\na\n世\n")
+    assert vocabulary == ["[UNK]", "un", "##able", "a", "世"]
+    assert col(spark, "Unable 世b a", lambda v: text.full_tokens(v, vocabulary)) == ["un", "##able", "世", "[UNK]", "a"]
+    assert col(spark, ["a", "zz"], text.ids_of(vocabulary, "[UNK]"), "array<string>") == [3, 0]
+    assert col(spark, [3, 1], lambda v: text.tokens_of(v, vocabulary), "array<int>") == ["a", "un"]
+    assert col(spark, [0, 299], lambda v: text.tokens_of(v, [f"t{i}" for i in range(300)]), "array<int>") == ["t0", "t299"]
+
+
+def test_first_of_many_patterns(spark):
+    codes = [f"C{i}X" for i in range(2000)]
+    patterns = [*text.code_patterns(codes, [("", "[0-9]"), ("to ", "")]), "[0-9]{3}"]
+    df = spark.createDataFrame([(0, "c7x5 to C3X"), (1, "to C1999X"), (2, "only 123"), (3, "C5X"), (4, None), (5, "")], "k int, t string")
+
+    def found(**kw):
+        return [(r.f.pattern_pos, r.f.match) for r in df.select("k", text.first_of_many(patterns, **kw)("t").alias("f")).orderBy("k").collect()]
+
+    assert found() == [(7, "to C3X"), (3999, "to C1999X"), (4000, "123"), (None, None), (None, None), (None, None)]
+    assert found(ignore_case=True)[0] == (7, "to C3X") and text.first_of_many([]) is not None
+
+
+def test_cleaned_values(spark):
+    rows = [(1, "Ab"), (1, "AB"), (1, "xabz。"), (1, "x"), (1, "q“q"), (1, "seen"), (2, "AB"), (2, None), (1, "世界和平"), (1, "世界"), (3, "cD"), (3, "Cd")]
+    v = spark.createDataFrame(rows, "doc_id long, value string")
+    seen = spark.createDataFrame([("seen",)], "value string")
+    got = {(r.doc_id, r.value) for r in assign.cleaned_values(v, seen).collect()}
+    assert got == {(1, "xabz"), (2, "AB"), (1, "世界和平")}
+
+
+def test_averages(spark):
+    c = spark.createDataFrame([("a", 4, 2, 1), ("b", 0, 2, 0)], "category string, pred long, gold long, correct long")
+    got = {r.category: (r.precision, r.recall, round(r.f1, 4), r.support) for r in metrics.averages(c).collect()}
+    assert got == {"a": (0.25, 0.5, 0.3333, 2), "b": (0.0, 0.0, 0.0, 2), "micro avg": (0.25, 0.25, 0.25, 4), "macro avg": (0.125, 0.25, 0.1667, 4)}
+    pred = spark.createDataFrame([(1, "n", "x"), (1, "n", "x"), (1, "n", "z")], "doc_id int, category string, value string")
+    gold = spark.createDataFrame([(1, "n", "x"), (1, "n", "y")], "doc_id int, category string, value string")
+    r = metrics.counts(pred, gold, to_set=False, each=True).first()
+    assert (r.pred, r.gold, r.correct) == (3, 2, 2)
+    losses = spark.createDataFrame([(1.0, 2), (None, 5), (3.0, 2)], "l double, n long")
+    assert metrics.mean_loss(losses, "l").first().mean_loss == 2.0 and metrics.mean_loss(losses, "l", "n").first().mean_loss == 1.0
+
+
+def test_masked_sequences_against_brute_force(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    e, t = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
+    body = e[1:4]  # behind the mark of beginning, before the padding
+    score = lambda p: sum(body[i, s] for i, s in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))
+    paths = list(product(range(3), repeat=3))
+    df = spark.createDataFrame([(e.tolist(), [-100, 2, -100, 1, 0, 0], 4), (e.tolist(), [0] * 6, 1), (None, None, None)], "e array<array<double>>, y array<int>, n int")
+    got = df.select(scoring.masked_viterbi(t)("e", "n").alias("p"), scoring.masked_loss(t)("e", "y", "n").alias("l")).collect()
+    assert got[0].p == list(max(paths, key=score)) and got[1].p == got[2].p == []
+    assert abs(got[0].l - (np.log(sum(np.exp(score(p)) for p in paths)) - score((2, 0, 1)))) < 1e-9 and got[1].l == got[2].l == 0
+
+
+def test_question_targets(spark):
+    q = F.array(*map(F.lit, "abc"))
+    rows = [(0, 10, 2, 4, True), (5, 10, 2, 4, True), (5, 10, 6, 15, True), (5, 10, 6, 14, True), (0, 10, 0, -1, False)]
+    df = spark.createDataFrame(rows, "start int, size int, a int, b int, known boolean")
+    got = [r.t for r in df.select(datasets.question_targets(q, *map(F.col, ("start", "size", "a", "b", "known"))).alias("t")).collect()]
+    assert [g and tuple(g) for g in got] == [(7, 9, 0), None, None, (6, 14, 0), (2, 5, 1)]
+    f = datasets.features(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(7), F.lit(8), F.lit(9)), 5, marks=3)
+    assert spark.range(1).select(f["input_ids"].alias("i")).first().i == [101, 1, 2, 102, 102]
+    names = spark.createDataFrame([("p10.txt",), ("p9.txt",), ("x",), ("p9b.txt",)], "name string")
+    assert [r.name for r in datasets.numbered(names, "name").collect()] == ["p9.txt", "p9b.txt", "p10.txt", "x"] and datasets.numbered(names, "name", 2).count() == 2
+
+
 def test_first_pattern_in_list_order(spark):
     df = spark.createDataFrame([(1, "x 22 CA11"), (2, "none")], "k int, t string")
     got = text.first_pattern(df, "k", "t", ["CA[0-9]+", "[0-9]+"]).collect()

@@ -91,3 +91,14 @@ def test_repeated_deliveries_and_late_windows(spark, data, tmp_path):
 def test_id_texts(spark, tmp_path):
     (tmp_path / "x.tsv").write_text("/a/b/12ab.txt.ann\tx y z\n")
     assert tuple(readers.read_id_texts(spark, str(tmp_path / "x.tsv")).first()) == ("12ab", "xyz")
+
+
+def test_files_and_run_codes(spark, tmp_path):
+    for name, content in {"a/log.json": '[{"code": "10002"}]', "a/1.png": "x", "b/c/2.png": "yy", "d/log.json": "broken", "e/log.json": '[{"code": "200"}]'}.items():
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(content)
+    got = {r.folder.rsplit(tmp_path.name + "/", 1)[1]: r.code for r in readers.read_run_codes(spark, str(tmp_path)).collect()}
+    assert got == {"a": "10002", "b/c": None, "d": None, "e": "200"}
+    images = readers.read_files(spark, str(tmp_path), "*.png")
+    assert {(r.name, bytes(r.content)) for r in images.collect()} == {("1.png", b"x"), ("2.png", b"yy")}
