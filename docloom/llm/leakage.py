@@ -188,7 +188,7 @@ class Passages:
         alphabet = np.unique(np.minimum(np.concatenate([np.zeros(0, dtype=np.uint32), *self.codes]), 0xFFFF))
         self.number[alphabet] = np.arange(2, len(alphabet) + 2) % 0x10000
 
-    def candidates(self, docs: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    def candidates(self, docs: list[str], whole: bool = True) -> list[tuple[int, int, list[tuple[int, int]]]]:
         """``(document, passage, hits)`` of the pairs that two bounds leave: hits of
         the longer stretch close by on near diagonals, and its banded alignment."""
         size = np.array([len(d) for d in docs], dtype=np.int64)
@@ -202,7 +202,7 @@ class Passages:
             return []
         pair = doc_of[pos] * len(self.keys) + passage
         # fewer hits than two stretches keep in all need no second look
-        enough = np.bincount(pair, minlength=len(docs) * len(self.keys)).reshape(len(docs), -1) >= self.fewest
+        enough = np.bincount(pair, minlength=len(docs) * len(self.keys)).reshape(len(docs), -1) >= (self.fewest if whole else self.least[3])
         some = np.flatnonzero(enough.ravel()[pair])
         pos, passage, at, pair = pos[some], passage[some], at[some], pair[some]
         if not len(pos):
@@ -349,12 +349,30 @@ class Passages:
             return out
         docs = [letters(t) for t in texts]
         for first, last in _batches([len(d) for d in docs]):
-            for d, n, hits in self.candidates(docs[first:last]):
+            one = docs[first]
+            for d, n, hits in self.candidates(docs[first:last]) if len(one) <= 2 * LETTERS else self.of_long(one):
                 share = self.coverage(docs[first + d], n, hits)
                 if share >= self.share:
                     out += [(first + d, i, share) for i in self.ids[n]]
         return out
 
+    def of_long(self, doc: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """:meth:`candidates` of one very long document, in parts: its passages are told from
+        parts that overlap by more than a stretch, their hits are then taken from all of it."""
+        more = 2 * int(self.size.max())
+        parts = range(0, len(doc), LETTERS)
+        able = np.zeros(len(self.keys), dtype=bool)
+        for a in parts:
+            able[[n for _, n, _ in self.candidates([doc[a : a + LETTERS + more]], whole=False)]] = True
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a in parts:
+            for p in self.pieces:
+                pos, passage, at = p.hits(_codes(doc[a : a + LETTERS + p.width - 1]).astype(np.uint64))
+                mine = np.flatnonzero(able[passage])
+                for d, n, c in zip((pos[mine] + a).tolist(), passage[mine].tolist(), at[mine].tolist()):
+                    hits[n].append((d, c))
+        return [(0, n, sorted(h)) for n, h in hits.items()]
+
 
 def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``LETTERS`` letters together."""

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.textform import canon
+from docloom.session import ship
 
 # --- fixed values -----------------------------------------------------------
 # Traditional characters and their simplified form (names of places, clinics).
@@ -290,6 +291,7 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, list_name: s
     """``(value, list_pos)`` for every distinct non-null value: the entry meant or -1.
 
     ``reference`` has ``list_pos`` and ``value``."""
+    ship(values.sparkSession)
     normalize, n, check, threshold = LISTS[list_name]
     # few bytes but much work per value: spread over the cores by number (not by
     # value, which Spark would take for the partitioning that is there already

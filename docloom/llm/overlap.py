@@ -118,6 +118,8 @@ class Block:
         self.texts = texts.to_numpy()
         self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
+        if len(self.size) and self.size.max() >> PLACE:
+            raise ValueError(f"texts of 2^{PLACE} characters and more cannot be compared")
         self.start = np.cumsum(self.size) - self.size
         self.of = np.repeat(np.arange(len(self.size)), self.size)
 

@@ -260,6 +260,20 @@ def test_evenly_spread_errors_leak():
             assert {f[:2] for f in passages.found(texts)} == {(i, i) for i in range(30)}
 
 
+def test_leaks_of_long_documents(monkeypatch):
+    """Documents looked at in parts give what they give as a whole."""
+    rng = random.Random(12)
+    keys = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(n)) for n in (60, 120, 200) for _ in range(4)]
+    passages = leakage.Passages(list(enumerate(keys)))
+    filler = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(400)) for _ in keys]
+    doc = "".join(f + k[: len(k) // 3] + f[:90] + k[len(k) // 2 :] for k, f in zip(keys, filler))
+    whole = sorted(passages.found([doc]))
+    assert {f[1] for f in whole} == set(range(12))
+    for letters in (150, 500, 1000):
+        monkeypatch.setattr(leakage, "LETTERS", letters)
+        assert sorted(passages.found([doc, doc])) == sorted([*whole, *((1, *f[1:]) for f in whole)])
+
+
 def test_leak_edges(spark):
     long = "啊" * 30_000 + PASSAGE
     assert leaks(spark, [long, PASSAGE, PASSAGE], (PASSAGE, None, "", "短", PASSAGE)) == {(d, i) for d in range(3) for i in (0, 4)}
