@@ -12,10 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import ship
+
 
 def meet(left: DataFrame, right: DataFrame, key_left: str, key_right: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows_left: int = 4096, rows_right: int = 65_536) -> DataFrame:
     """``kernel`` over each pair of blocks of about so many rows; columns must differ
     from ``__left`` and ``__right``. An empty side gives no calls with rows of both."""
+    ship(left.sparkSession)
     blocks = [max(1, -(-df.count() // rows)) for df, rows in ((left, rows_left), (right, rows_right))]
 
     def dealt(df: DataFrame, key: str, own: int):
