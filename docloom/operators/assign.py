@@ -45,6 +45,11 @@ def by_category(mentions: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
+def skipped(mentions: DataFrame, part: str = "Fee") -> DataFrame:
+    """Without the categories that hold ``part``: amounts never come from running text."""
+    return mentions.where(~F.contains(F.coalesce("category", F.lit("")), F.lit(part)))
+
+
 def unknown_categories(mentions: DataFrame, categories: DataFrame) -> DataFrame:
     """Mentions of a category that their task does not have."""
     return mentions.join(categories.select("task", "category"), ["task", "category"], "left_anti")

@@ -51,6 +51,15 @@ def n_best(spans: DataFrame, n: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qas_id").orderBy(*order))).where(F.col("rank") <= n).drop("__r")
 
 
+def n_best_json(best: DataFrame) -> DataFrame:
+    """``(qas_id, nbest)``: the n best as a JSON list of text, probability (the softmax of
+    their scores), score and place, in order of rank."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "text", "score", "s", "e")))
+    p = F.transform(arrays.softmax(F.transform("__b", lambda b: b["score"])), lambda x: F.round(x, 6))
+    rows = F.zip_with("__b", p, lambda b, x: F.struct(b["text"].alias("text"), x.alias("probability"), b["score"].alias("score"), b["s"].alias("start_index"), b["e"].alias("end_index")))
+    return best.groupBy("qas_id").agg(listed.alias("__b")).select("qas_id", F.to_json(rows).alias("nbest"))
+
+
 def vote(votes: DataFrame, threshold: float = 1.0) -> DataFrame:
     """``(qas_id, n_chunks, n_none, answered)``: unanswered iff so many chunks say
     that there is no answer (with 1: all)."""

@@ -73,6 +73,11 @@ def qa_nbest(spark, sf_dir):
     return spans.n_best(_texts(spark, sf_dir), 10).select("qas_id", "rank", "chunk", "s", "e", "score", "text")
 
 
+def qa_nbest_json(spark, sf_dir):
+    """The n best of each question as JSON."""
+    return spans.n_best_json(qa_nbest(spark, sf_dir))
+
+
 def qa_vote(spark, sf_dir):
     v = chunk_windows(spark, sf_dir).select(F.col("item_id").alias("qas_id"), (F.col("item_id") * 7 % 5 + F.col("chunk") > 2).cast("bigint").alias("no_answer"))
     return spans.vote(v)
@@ -271,7 +276,7 @@ def stream_box_texts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_windows, chunk_windows_examples, max_context, qa_candidates, qa_nbest, qa_vote, qa_softmax, qa_widened, qa_tightest, qa_layout, qa_flattened, original_answers,
+        chunk_windows, chunk_windows_examples, max_context, qa_candidates, qa_nbest, qa_nbest_json, qa_vote, qa_softmax, qa_widened, qa_tightest, qa_layout, qa_flattened, original_answers,
         cosine_topk, cosine_pairs, token_overlap_topk, hash_split, hash_split_shares, hash_sample, batched, truncate_pre_post, feature_arrays, piece_labels, stub_labels,
         viterbi_labels, masked_paths, mean_losses, question_training, stream_codes, stream_hourly, stream_once, stream_box_texts,
     )
@@ -290,6 +295,9 @@ SELECT item_id, pos, chunk FROM p QUALIFY row_number() OVER (PARTITION BY item_i
     "qa_candidates": f"WITH {CHUNKS}, {LOGITS}, {CANDIDATES} SELECT qas_id, chunk, s, e, score FROM cand",
     "qa_nbest": f"""WITH {CHUNKS}, {LOGITS}, {CANDIDATES}, {_NBEST}
 SELECT qas_id, row_number() OVER (PARTITION BY qas_id ORDER BY score DESC, chunk, s, e)::INTEGER AS rank, chunk, s, e, score, text FROM nb QUALIFY rank <= 10""",
+    "qa_nbest_json": f"""WITH {CHUNKS}, {LOGITS}, {CANDIDATES}, {_NBEST}, k AS (SELECT qas_id, row_number() OVER (PARTITION BY qas_id ORDER BY score DESC, chunk, s, e) AS rank, s, e, score, text FROM nb QUALIFY rank <= 10),
+x AS (SELECT *, exp(score - max(score) OVER (PARTITION BY qas_id)) AS x FROM k), p AS (SELECT *, round(x / sum(x) OVER (PARTITION BY qas_id), 6) AS p FROM x)
+SELECT qas_id, list({{'text': text, 'probability': p, 'score': score, 'start_index': s, 'end_index': e}} ORDER BY rank)::JSON::VARCHAR AS nbest FROM p GROUP BY qas_id""",
     "qa_vote": f"""WITH {CHUNKS}, v AS (SELECT item_id AS qas_id, (item_id * 7 % 5 + chunk > 2)::BIGINT AS no_answer FROM ch)
 SELECT qas_id, count(*) AS n_chunks, sum(no_answer)::BIGINT AS n_none, sum(no_answer) < count(*) AS answered FROM v GROUP BY qas_id""",
     "qa_softmax": f"""WITH {CHUNKS}, {LOGITS}, m AS (SELECT *, max(sl) OVER (PARTITION BY item_id, chunk) AS mx FROM lg)

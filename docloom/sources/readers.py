@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,3 +144,30 @@ def read_run_codes(spark: SparkSession, path: str, log: str = "log.json") -> Dat
         F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder"), F.get_json_object(F.col("content").cast("string"), "$[0].code").alias("code")
     )
     return folders.join(logs, "folder", "left").select("folder", F.when(F.col("__has"), F.col("code")).alias("code"))
+
+
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as text: UTF-8 (with or without its mark) if they are that, UTF-16 with a mark,
+    else the Chinese national encoding with what it lacks replaced."""
+
+    def one(data) -> str:
+        data = bytes(data)
+        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return data.decode("utf-16", "replace")
+        try:
+            return data.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return data.decode("gb18030", "replace")
+
+    return content.map(one, na_action="ignore")
+
+
+def read_sheets(spark: SparkSession, path: str, invalid: DataFrame | None = None, suffix: str = ".correct") -> DataFrame:
+    """``key:value`` files of any encoding: ``(id, category, value)``, the id from the file name
+    without its suffix; ids of ``invalid`` are left out. Only flight numbers are lists."""
+    files = read_files(spark, path, f"*{suffix}")
+    sheets = files.select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("id"), decoded("content").alias("text"))
+    if invalid is not None:
+        sheets = sheets.join(invalid.select("id").distinct(), "id", "left_anti")
+    return read_key_values(sheets, "id", split_on_comma=("Flight_Number", "航班号"))

@@ -35,6 +35,18 @@ def score_lines(report: DataFrame) -> DataFrame:
     return report.select("category", "pred", "gold", "correct", *three)
 
 
+def set_lines(values: DataFrame, number: str = "doc_id") -> DataFrame:
+    """``(category, value)``: lines ``number+1 category:values``, the values sorted, one a
+    document and category, for a dump of each category."""
+    line = F.concat((F.col(number) + 1).cast("string"), F.lit(" "), F.col("category"), F.lit(":"), F.array_join(F.sort_array("values"), ","))
+    return values.select("category", number, line.alias("value"))
+
+
+def write_by(lines: DataFrame, path: str, column: str = "category") -> None:
+    """A folder of text for each value of ``column``."""
+    lines.select(column, "value").write.mode("overwrite").partitionBy(column).text(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 

@@ -102,3 +102,38 @@ def test_files_and_run_codes(spark, tmp_path):
     assert got == {"a": "10002", "b/c": None, "d": None, "e": "200"}
     images = readers.read_files(spark, str(tmp_path), "*.png")
     assert {(r.name, bytes(r.content)) for r in images.collect()} == {("1.png", b"x"), ("2.png", b"yy")}
+
+
+def test_sheets_of_any_encoding(spark, tmp_path):
+    lines = "航班号:ca 12,MU3\n姓名:张三\nno colon\nDate: 01may"
+    for name, data in {"a.correct": lines.encode(), "b.correct": lines.encode("gb18030"), "c.correct": b"\xef\xbb\xbf" + lines.encode(), "d.correct": lines.encode("utf-16"), "bad.correct": b"x:y", "e.txt": b"x:y"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = readers.read_sheets(spark, str(tmp_path), spark.createDataFrame([("bad",)], "id string"))
+    assert {(r.id, r.category, r.value) for r in got.collect()} == {(i, *x) for i in "abcd" for x in (("航班号", "CA12"), ("航班号", "MU3"), ("姓名", "张三"), ("Date", "01MAY"))}
+
+
+def test_records_round_trip(spark, tmp_path):
+    from docloom.sources import records
+
+    rows = [(1, [101, 7, 102], [], None), (2**40, [-5, 2**62], [0] * 200, 3), (-1, [], [1], 0)]
+    df = spark.createDataFrame(rows, "unique_ids long, input_ids array<long>, mask array<int>, no_answers int").repartition(2)
+    written = records.write_records(df, f"file://{tmp_path}/r", *df.columns)
+    assert sum(r.records for r in written.collect()) == 3
+    back = records.read_records(spark, f"{tmp_path}/r", [*df.columns, "missing"])
+    got = sorted((r.unique_ids, r.input_ids, r.mask, r.no_answers, r.missing) for r in back.collect())
+    assert got == sorted(([a], b, c, None if d is None else [d], None) for a, b, c, d in rows)
+    assert records.checksum(b"123456789") == ((0xE3069283 >> 15 | 0xE3069283 << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    data = records.frame(records.message({"a": [1]}))
+    for broken in (data[:-1], data[:5], data[:13] + b"x" + data[14:]):
+        try:
+            list(records.bodies(broken))
+        except ValueError:
+            continue
+        raise AssertionError("a broken record was read")
+
+
+def test_dumps_by_category(spark, tmp_path):
+    v = spark.createDataFrame([(0, "n", ["b", "a"]), (1, "n", []), (1, "d", ["x"])], "doc_id int, category string, values array<string>")
+    sinks.write_by(sinks.set_lines(v), str(tmp_path / "d"))
+    got = {(r.category, r.value) for r in spark.read.text(str(tmp_path / "d")).collect()}
+    assert got == {("n", "1 n:a,b"), ("n", "2 n:"), ("d", "2 d:x")}
