@@ -122,7 +122,8 @@ def by_cosine(value: str, entry: str, cosine: float, least: float) -> float:
     """Cost of an entry that only its cosine speaks for; other numbers rule it out."""
     if value == entry:
         return 0.0
-    if cosine < least or _numerals.findall(value) != _numerals.findall(entry):
+    part = len(value) >= 4 and value in entry  # a name cut short
+    if not part and (cosine < least or _numerals.findall(value) != _numerals.findall(entry)):
         return 9.0
     return MARGIN / LEAD * (1 - cosine)
 
