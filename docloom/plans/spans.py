@@ -188,7 +188,7 @@ def piece_labels(spark, sf_dir):
 
 
 def stub_labels(spark, sf_dir):
-    """A scorer at work: logits per token and the best label (no SQL: scorer)."""
+    """A scorer at work: logits per token and the best label."""
     ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
     e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
     scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(4))
@@ -196,26 +196,24 @@ def stub_labels(spark, sf_dir):
 
 
 def viterbi_labels(spark, sf_dir):
-    """The best path through the scorer's logits (no SQL: iterative)."""
+    """The best path through the scorer's logits."""
     ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
     e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
     scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(4))
-    step = np.array([[2.0, 0.0, -9.0, 1.0], [0.0, -1.0, 3.0, 0.0], [0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0]])
-    return scored.select("doc_id", F.array_join(scoring.viterbi(step)(F.col("logits")), "").alias("path"))
+    return scored.select("doc_id", F.array_join(scoring.viterbi(np.array(STEP_4))(F.col("logits")), "").alias("path"))
 
 
 def masked_paths(spark, sf_dir):
-    """Best paths behind the mark of beginning, up to each text's length (no SQL: iterative)."""
+    """Best paths behind the mark of beginning, up to each text's length."""
     ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
     e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
     scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(3))
-    step = np.array([[2.0, 0.0, -1.0], [0.0, -1.0, 3.0], [0.5, 0.0, 1.0]])
-    path = scoring.masked_viterbi(step)(F.col("logits"), F.least(F.size("logits"), F.lit(128)))
+    path = scoring.masked_viterbi(np.array(STEP_3))(F.col("logits"), F.least(F.size("logits"), F.lit(128)))
     return scored.select("doc_id", F.array_join(path, "").alias("path"))
 
 
 def mean_losses(spark, sf_dir):
-    """Mean loss a label, over all texts (no SQL: iterative)."""
+    """Mean loss a label, over all texts, without transitions."""
     ids = F.transform("words", lambda x: F.length(F.coalesce(x, F.lit(""))).cast("bigint"))
     e = read(spark, sf_dir, "examples").where("words is not null").select(F.col("example_id").alias("doc_id"), ids.alias("ids"))
     scored = scoring.score_tokens(e, "ids", lambda: scoring.stub_scorer(3))
@@ -282,6 +280,28 @@ QUERIES = {
     )
 }
 
+STEP_4 = ((2.0, 0.0, -9.0, 1.0), (0.0, -1.0, 3.0, 0.0), (0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 0.0, 0.0))
+STEP_3 = ((2.0, 0.0, -1.0), (0.0, -1.0, 3.0), (0.5, 0.0, 1.0))
+
+
+def _paths_sql(step, first: int, most: str, name: str) -> str:
+    """Best paths, each label's best path so far carried along."""
+    n = range(len(step))
+
+    def first_of(parts: list[str], values: list[str]) -> str:
+        whens = " ".join(f"WHEN {p} >= greatest({', '.join(parts)}) THEN {v}" for p, v in zip(parts[:-1], values))
+        return f"CASE {whens} ELSE {values[-1]} END"
+
+    score = lambda p, j: f"((l[{p} + 1] * 7 + {j * 13} + ({p}) * 3) % 17)::DOUBLE"
+    into = [[f"s{i} + {step[i][j]}" for i in n] for j in n]
+    begin = ", ".join(f"{score(first, j)} AS s{j}, '{j}' AS p{j}" for j in n)
+    then = ", ".join(f"greatest({', '.join(into[j])}) + {score('p + 1', j)}, {first_of(into[j], [f'p{i}' for i in n])} || '{j}'" for j in n)
+    best = first_of([f"s{i}" for i in n], [f"p{i}" for i in n])
+    return f"""WITH RECURSIVE e AS (SELECT example_id AS d, list_transform(words, lambda x: length(coalesce(x, ''))) AS l, {most} AS n FROM examples WHERE words IS NOT NULL),
+v AS (SELECT d, l, n, {first} AS p, {begin} FROM e WHERE n > {first} UNION ALL SELECT d, l, n, p + 1, {then} FROM v WHERE p + 1 < n)
+SELECT e.d AS doc_id, coalesce({best}, '') AS {name} FROM e LEFT JOIN (SELECT * FROM v WHERE p = n - 1) v ON v.d = e.d"""
+
+
 _bucket = "(((({0} + {1}) % 1000003) * 2654435761) % 100)"
 _NBEST = "nb AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY qas_id, text ORDER BY score DESC, chunk, s, e) = 1)"
 
@@ -332,6 +352,11 @@ SELECT example_id AS doc_id, sum(k)::BIGINT AS pieces, sum(lab - 100 * (k - 1)):
     "stub_labels": """WITH t AS (SELECT example_id AS doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM examples WHERE words IS NOT NULL),
 s AS (SELECT doc_id, p, length(coalesce(w, '')) * 7 + p * 3 AS b FROM t), a AS (SELECT doc_id, p, [b % 17, (b + 13) % 17, (b + 26) % 17, (b + 39) % 17] AS r FROM s)
 SELECT example_id AS doc_id, coalesce(string_agg((list_position(r, list_max(r)) - 1)::VARCHAR, '' ORDER BY p), '') AS labels FROM examples LEFT JOIN a ON doc_id = example_id WHERE words IS NOT NULL GROUP BY example_id""",
+    "viterbi_labels": _paths_sql(STEP_4, 0, "len(words)", "path"),
+    "masked_paths": _paths_sql(STEP_3, 1, "least(len(words), 128)", "path"),
+    "mean_losses": """WITH t AS (SELECT unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM examples WHERE words IS NOT NULL), b AS (SELECT length(coalesce(w, '')) * 7 + p * 3 AS b FROM t WHERE p >= 1),
+e AS (SELECT (b % 17)::DOUBLE AS x, ((b + 13) % 17)::DOUBLE AS y, ((b + 26) % 17)::DOUBLE AS z FROM b)
+SELECT count(*)::BIGINT AS n, round(avg(ln(exp(x) + exp(y) + exp(z)) - CASE WHEN x > y THEN x ELSE y END), 6) AS mean_loss FROM e""",
     "question_training": f"""WITH {CHUNKS}, q AS (SELECT item_id, least(length(question), 64) AS lq, coalesce(answer, '') AS a, instr(context, coalesce(answer, '')) - 1 AS f FROM eval_items WHERE context <> '')
 SELECT item_id, chunk, (CASE WHEN a = '' THEN 2 ELSE f - start + lq + 2 END)::INTEGER AS start_position, (CASE WHEN a = '' THEN 5 ELSE f + length(a) - 1 - start + lq + 2 END)::INTEGER AS end_position, (a = '')::INTEGER AS no_answer
 FROM ch JOIN q USING (item_id) WHERE a = '' OR (f >= 0 AND f >= start AND f + length(a) - 1 <= start + size - 1)""",

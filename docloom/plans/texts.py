@@ -152,7 +152,7 @@ def basic_tokens(spark, sf_dir):
 
 
 def word_pieces(spark, sf_dir):
-    """Word pieces over a vocabulary of two-letter pieces (no SQL: greedy)."""
+    """Word pieces over a vocabulary of two-letter pieces."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     vocab = {a + b for a in letters for b in letters} | {"##" + a + b for a in letters for b in letters} | {"##" + a for a in letters} | set(letters)
     t = tx.pieces(vocab)(tx.basic_tokens(F.col("text")))
@@ -365,6 +365,8 @@ _pattern_whens = " ".join(f"WHEN regexp_matches(text, '{p}') THEN {i}" for i, p
 _match_whens = " ".join(f"WHEN regexp_matches(text, '{p}') THEN regexp_extract(text, '{p}', 0)" for i, p in enumerate(FLIGHT_PATTERNS))
 _canon = f"regexp_replace(replace(text, chr(10), '{LINE_BREAK}'), '{SPACE_CLASS}', '', 'g')"
 
+_TOKENS = f"""WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{{Cf}}\\x{{fffd}}]', '', 'g'))), '{tx.TOKEN.replace(chr(39), chr(39) * 2)}') AS t FROM documents WHERE text IS NOT NULL)"""
+
 SQL = {
     "box_geometry": f"WITH RECURSIVE {CORNERS} SELECT doc_id, box_idx, min_y, avg_y, x_start, x_end, x_center, height FROM geo",
     "row_group": f"WITH RECURSIVE {CORNERS}, {ROWS} SELECT doc_id, box_idx, row_id FROM rws",
@@ -403,8 +405,10 @@ SELECT code, count(*) AS responses FROM c WHERE code <> '200' GROUP BY code""",
     "filtered_words": "SELECT doc_id, md5(translate(text, '。【】', '')) AS digest FROM documents WHERE text IS NOT NULL",
     "char_tokens": f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x0b\\x{{0085}}\\x1c-\\x1f]', '', 'g'), '(?i){LINE_BREAK}|\\S') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(t)::INTEGER AS tokens, len(list_distinct(t))::INTEGER AS distinct_tokens FROM t""",
-    "basic_tokens": f"""WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\p{{Cf}}\\x{{fffd}}]', '', 'g'))), '{tx.TOKEN.replace(chr(39), chr(39) * 2)}') AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, len(t)::INTEGER AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
+    "basic_tokens": f"""{_TOKENS} SELECT doc_id, len(t)::INTEGER AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
+    "word_pieces": f"""{_TOKENS}, p AS (SELECT doc_id, flatten(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[a-z]{{1,200}}$')
+  THEN list_transform(range((length(x) + 1) // 2), lambda i: CASE WHEN i > 0 THEN '##' ELSE '' END || substring(x, 2 * i + 1, 2)) ELSE ['[UNK]'] END)) AS p FROM t)
+SELECT doc_id, len(p)::INTEGER AS pieces, md5(array_to_string(p, ' ')) AS digest FROM p""",
     "token_ids": """WITH k AS (SELECT list_prepend('[UNK]', list_sort(list_distinct(flatten(list(string_split(value, '')))))) AS k FROM gazetteer WHERE value <> ''),
 t AS (SELECT mention_id, list_transform(list_filter(string_split(value, ''), lambda x: x <> ''), lambda x: coalesce(list_position(k, x), 1)) AS i, k FROM mentions, k WHERE category = 'Hospital_Name' AND value IS NOT NULL)
 SELECT mention_id, array_to_string(list_transform(i, lambda x: x - 1), ' ') AS ids, array_to_string(list_transform(i, lambda x: k[x]), '') AS back FROM t""",
