@@ -35,6 +35,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,7 +55,7 @@ DRIFT = 3
 WIDEST = 4
 #: Documents looked at together hold about so many letters; so many alignments
 #: advance together.
-LETTERS, TOGETHER = 600_000, 4096
+LETTERS, TOGETHER = 400_000, 2048
 #: A stretch drifts over so many bands of diagonals at most. Bits of a place in a passage.
 BANDS, PLACE = 3, 24
 #: Scores start here and are set back after so many letters, so that they fit a byte.
@@ -61,8 +63,24 @@ FLOOR, REBASE = 8, 64
 _skip = re.compile(r"[\W_]+")
 
 
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+@lru_cache(maxsize=1)
+def _small() -> np.ndarray:
+    """The small letter of each code point up to U+FFFF; 0 for what is no letter, digit or ideograph."""
+    every = [chr(o) for o in range(0x10000)]
+    return np.array([0 if _skip.match(c) else ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every], dtype=np.uint32)
+
+
 def letters(s: str) -> str:
-    return _skip.sub("", canon(s)).lower()
+    """Letters, digits and ideographs only, in the one form and in small letters."""
+    codes = _codes(canon(s))
+    if len(codes) and codes.max() > 0xFFFF:
+        return _skip.sub("", canon(s)).lower()
+    small = _small()[codes]
+    return small[small > 0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def cut(n: int, share: float) -> tuple[int, int]:
@@ -86,20 +104,17 @@ def gram_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
-        h *= np.uint64(0x9E3779B97F4A7C15)
+    h = codes[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(1, width):
         h += codes[j : j + n]
+        if j < width - 1:
+            h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 class Pieces:
     """Exact look-up of the pieces of one width: where each stands in which passage."""
 
@@ -138,8 +153,9 @@ class Pieces:
             found.append((pos, piece))
         pos, piece = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         count = self.count[piece]
-        which = np.repeat(self.first[piece] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(pos, count), self.passage[which], self.at[which]
+        which = np.repeat((self.first[piece] - np.cumsum(count) + count).astype(np.int32), count)
+        which += np.arange(len(which), dtype=np.int32)
+        return np.repeat(pos.astype(np.int32), count), self.passage[which], self.at[which]
 
 
 class Passages:
@@ -188,29 +204,30 @@ class Passages:
         alphabet = np.unique(np.minimum(np.concatenate([np.zeros(0, dtype=np.uint32), *self.codes]), 0xFFFF))
         self.number[alphabet] = np.arange(2, len(alphabet) + 2) % 0x10000
 
-    def candidates(self, docs: list[str], whole: bool = True) -> list[tuple[int, int, list[tuple[int, int]]]]:
-        """``(document, passage, hits)`` of the pairs that two bounds leave: hits of
+    def candidates(self, docs: list[str], whole: bool = True) -> list[tuple[int, int, list[tuple[int, int]], list[tuple[int, int]]]]:
+        """``(document, passage, hits, hits that are alone)`` of the pairs that two bounds leave: hits of
         the longer stretch close by on near diagonals, and its banded alignment."""
         size = np.array([len(d) for d in docs], dtype=np.int64)
         start = np.cumsum(size + 1) - size - 1
         codes = _codes("\0".join(docs) + "\0")
-        doc_of = np.repeat(np.arange(len(docs)), size + 1)
+        doc_of = np.repeat(np.arange(len(docs), dtype=np.int32), size + 1)
         wide = codes.astype(np.uint64)
         parts = [p.hits(wide) for p in self.pieces]
         pos, passage, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
         if not len(pos):
             return []
-        pair = doc_of[pos] * len(self.keys) + passage
+        pair = doc_of[pos].astype(np.int64) * len(self.keys) + passage
         # fewer hits than two stretches keep in all need no second look
         enough = np.bincount(pair, minlength=len(docs) * len(self.keys)).reshape(len(docs), -1) >= (self.fewest if whole else self.least[3])
         some = np.flatnonzero(enough.ravel()[pair])
         pos, passage, at, pair = pos[some], passage[some], at[some], pair[some]
         if not len(pos):
             return []
-        pos -= start[doc_of[pos]]
+        pos -= start.astype(np.int32)[doc_of[pos]]
         rooms = ((size[:, None] + self.size) // self.band + BANDS + 1).ravel()
         base = np.cumsum(rooms) - rooms
-        cell = base[pair] + (pos - at + self.size[passage]) // self.band[passage]
+        small = [x.astype(np.int32) for x in (self.size, self.band)]
+        cell = base[pair] + (pos - at + small[0][passage]) // small[1][passage]
         number = self.number[np.minimum(codes, 0xFFFF)]
         hits = np.sort(cell << PLACE | at)
         of = hits >> PLACE
@@ -228,10 +245,24 @@ class Passages:
         wanted = np.zeros(len(docs) * len(self.keys), dtype=bool)
         wanted[kept] = True
         mine = np.flatnonzero(wanted[pair])
-        order = np.lexsort((at[mine], pos[mine], pair[mine]))
-        pair, pos, at = pair[mine][order], pos[mine][order], at[mine][order]
-        ends = np.searchsorted(pair, kept, side="right")
-        return [(int(p) // len(self.keys), int(p) % len(self.keys), list(zip(pos[a:b].tolist(), at[a:b].tolist()))) for p, a, b in zip(kept, np.r_[0, ends[:-1]], ends)]
+        pair, pos, at = pair[mine], pos[mine], at[mine]
+        # a hit with no other on diagonals as near as neighbours of a stretch may be is
+        # a run of its own
+        order = np.lexsort((pos - at, pair))
+        apart = np.diff(pos[order] - at[order]) > DRIFT
+        apart |= pair[order][1:] != pair[order][:-1]
+        alone = np.zeros(len(order), dtype=bool)
+        alone[order] = np.r_[True, apart] & np.r_[apart, True]
+        out = []
+        found = []
+        for some in (np.flatnonzero(~alone), np.flatnonzero(alone)):
+            some = some[np.lexsort((at[some], pos[some], pair[some]))]
+            ends = np.searchsorted(pair[some], kept, side="right")
+            d, c = pos[some].tolist(), at[some].tolist()
+            found.append([(d[a:b], c[a:b]) for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())])
+        for p, together, single in zip(kept.tolist(), *found):
+            out.append((p // len(self.keys), p % len(self.keys), list(zip(*together)), list(zip(*single))))
+        return out
 
     def dense(self, hits: np.ndarray, first: np.ndarray, cells: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
         """Which of the ``cells`` begin a window of so many ``bands`` that holds as many
@@ -305,14 +336,14 @@ class Passages:
             reached[rows] = hit.any(axis=0)
         return reached
 
-    def coverage(self, doc: str, n: int, hits: list[tuple[int, int]]) -> float:
+    def coverage(self, doc: str, n: int, hits: list[tuple[int, int]], alone: list[tuple[int, int]] = []) -> float:
         """Share of passage ``n`` that stands in ``doc`` in at most two stretches;
-        0 where that is less than ``share``."""
+        0 where that is less than ``share``. ``hits`` are in order; those ``alone`` join no run."""
         key = self.keys[n]
         width = self.cut[n][0]
         open_runs: dict[int, list[tuple[int, int]]] = {}  # by the diagonal of the last hit
         runs = []
-        for d, c in sorted(hits):
+        for d, c in hits:
             best = None
             for g in range(d - c - DRIFT, d - c + DRIFT + 1):
                 if g in open_runs:
@@ -326,7 +357,8 @@ class Passages:
             run.append((d, c))
             open_runs[d - c] = run
         solid, longest, needed = [], 0, self.share * len(key)
-        for bound, run in sorted(((_longest(run, width), run) for run in runs), reverse=True):
+        bounds = sorted(((_longest(run, width), run) for run in runs), reverse=True)
+        for bound, run in chain(bounds, ((_longest([hit], width), [hit]) for hit in alone)):
             if max(longest, bound) + bound < needed:
                 break
             for s in _stretches(key, doc, run, width, int(bound / ERRORS) + 1):
@@ -350,20 +382,20 @@ class Passages:
         docs = [letters(t) for t in texts]
         for first, last in _batches([len(d) for d in docs]):
             one = docs[first]
-            for d, n, hits in self.candidates(docs[first:last]) if len(one) <= 2 * LETTERS else self.of_long(one):
-                share = self.coverage(docs[first + d], n, hits)
+            for d, n, *hits in self.candidates(docs[first:last]) if len(one) <= 2 * LETTERS else self.of_long(one):
+                share = self.coverage(docs[first + d], n, *hits)
                 if share >= self.share:
                     out += [(first + d, i, share) for i in self.ids[n]]
         return out
 
-    def of_long(self, doc: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    def of_long(self, doc: str) -> list[tuple[int, int, list[tuple[int, int]], list[tuple[int, int]]]]:
         """:meth:`candidates` of one very long document, in parts: its passages are told from
         parts that overlap by more than a stretch, their hits are then taken from all of it."""
         more = 2 * int(self.size.max())
         parts = range(0, len(doc), LETTERS)
         able = np.zeros(len(self.keys), dtype=bool)
         for a in parts:
-            able[[n for _, n, _ in self.candidates([doc[a : a + LETTERS + more]], whole=False)]] = True
+            able[[n for _, n, *_ in self.candidates([doc[a : a + LETTERS + more]], whole=False)]] = True
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for a in parts:
             for p in self.pieces:
@@ -371,7 +403,7 @@ class Passages:
                 mine = np.flatnonzero(able[passage])
                 for d, n, c in zip((pos[mine] + a).tolist(), passage[mine].tolist(), at[mine].tolist()):
                     hits[n].append((d, c))
-        return [(0, n, sorted(h)) for n, h in hits.items()]
+        return [(0, n, sorted(h), []) for n, h in hits.items()]
 
 
 def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
