@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrays import let
+from docloom.session import spread
 
 DEPTH = 16
 
@@ -85,7 +86,8 @@ def _boxes(boxes: Column, page: Column, parent: Column, depth: int, level: int =
 
 
 def _parsed(df: DataFrame, key: str, payload: str) -> DataFrame:
-    return df.where(F.col(payload).isNotNull()).select(F.col(key).alias("__key"), let(parse_whole(F.col(payload)), pages_of).alias("__pages"))
+    rows = spread(df.select(F.col(key).alias("__key"), F.col(payload).alias("__payload")).where("__payload is not null"))
+    return rows.select("__key", let(parse_whole(F.col("__payload")), pages_of).alias("__pages"))
 
 
 def responses(df: DataFrame, key: str = "raw_id", payload: str = "payload", missing: bool = False) -> DataFrame:
@@ -121,8 +123,12 @@ def _all_boxes(df: DataFrame, key: str, payload: str, depth: int) -> DataFrame:
 def payload_texts(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:
     """``(key, text)`` of the payloads with boxes: the texts of all boxes in order, a
     newline between two; boxes without text are left out. No shuffle."""
-    flat = _parsed(df, key, payload).select(F.col("__key").alias(key), _flat_boxes(depth).alias("__b")).where(F.size("__b") > 0)
-    return flat.select(key, F.array_join(F.transform("__b", lambda b: _get(b["box"], "$.text", "string")), "\n").alias("text"))
+    def joined(b: Column) -> Column:
+        text = F.array_join(F.transform(b, lambda x: _get(x["box"], "$.text", "string")), "\n")
+        return F.when(F.size(b) > 0, F.array(text))
+
+    # a generator, as a filter on the boxes would have them built twice
+    return _parsed(df, key, payload).select(F.col("__key").alias(key), F.explode(let(_flat_boxes(depth), joined)).alias("text"))
 
 
 def boxes(df: DataFrame, key: str = "raw_id", payload: str = "payload", depth: int = DEPTH) -> DataFrame:

@@ -32,8 +32,8 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: the recognised text of each document, of its first delivery."""
-    raw = read(spark, sf_dir, "ocr_raw")
-    texts = nested.payload_texts(raw).join(raw.select("raw_id", "doc_id"), "raw_id")
+    raw = read(spark, sf_dir, "ocr_raw").withColumn("key", F.struct("doc_id", "raw_id"))
+    texts = nested.payload_texts(raw, "key").select("key.doc_id", "key.raw_id", "text")
     return texts.groupBy("doc_id").agg(F.min_by("text", "raw_id").alias("text"))
 
 

@@ -68,11 +68,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give Python-heavy work one partition per core at least.
+    """Give work that is heavy for its bytes one partition per core at least.
 
     A small file is read as fewer partitions than there are cores; only then
     are its rows redistributed. Inputs that already have enough partitions
     are returned unchanged, without a shuffle."""
+    if df.isStreaming:
+        return df
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
