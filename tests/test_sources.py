@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.plans import spans as span_plans
+from docloom.plans import tags
 from docloom.sources import readers, sinks
 from docloom.streaming import pipeline
 
@@ -137,3 +138,13 @@ def test_dumps_by_category(spark, tmp_path):
     sinks.write_by(sinks.set_lines(v), str(tmp_path / "d"))
     got = {(r.category, r.value) for r in spark.read.text(str(tmp_path / "d")).collect()}
     assert got == {("n", "1 n:a,b"), ("n", "2 n:"), ("d", "2 d:x")}
+
+
+def test_predicted_lines_meet_by_document(spark, data):
+    """Texts and predictions join before they are unfolded, and never through the driver."""
+    texts = spark.createDataFrame([(1, ["a", None, "c"]), (2, ["d"]), (3, []), (4, None), (5, ["e"])], "doc_id long, words array<string>")
+    labels = spark.createDataFrame([(1, ["B-X", "I-X"]), (2, [None, "O"]), (3, ["O"]), (4, ["O"]), (6, ["O"])], "doc_id long, labels array<string>")
+    got = sorted(map(tuple, sinks.predicted(texts, labels).collect()))
+    assert got == [(1, 0, "a", "B-X"), (1, 1, None, "I-X"), (2, 0, "d", None)]
+    plan = tags.predicted_lines(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.index("Generate") < plan.index("SortMergeJoin")
