@@ -322,3 +322,30 @@ def test_bounds_of_stuffing(spark):
         assert (i in got, i + n + 1 in got) == (want, want), t[:40]
     assert n not in got and spam.find_stuffed(df.limit(0)).count() == 0
     assert spam.stuffing("低价机票 " * 60_000) > 0.9
+
+
+def test_texts_are_dealt_few_times(spark, monkeypatch):
+    """A training text goes to one group, an evaluation text to those of near lengths; groups
+    that are split, on both sides, lose no pair."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("甲乙丙丁戊己庚辛", k=rng.randint(10, 400))) for _ in range(300)]
+    copies = [changed(t, 0.1, rng) for t in texts[:90]]
+    rows = [(i, t, True, False) for i, t in enumerate(texts)] + [(1000 + i, t, False, True) for i, t in enumerate(copies)]
+    df = spark.createDataFrame(rows, "rep long, text string, in_train boolean, in_eval boolean")
+    near = {(1000 + i, j) for i, x in enumerate(copies) for j, y in enumerate(texts) if overlap.within(x, y, max(len(x), len(y)) // 5) * 5 <= max(len(x), len(y))}
+    left, right, _ = overlap.dealt(df)
+    assert 290 < right.count() <= 300 and left.count() <= 5 * 90
+    for smallest, largest in ((1_000_000, 16_000_000), (900, 2000)):
+        monkeypatch.setattr(overlap, "SMALLEST", smallest)
+        monkeypatch.setattr(overlap, "LARGEST", largest)
+        groups = overlap.dealt(df)[2]
+        assert (groups > 60) == (smallest == 900)
+        got = [(r.rep_eval, r.rep_train) for r in overlap.near_texts(df).collect()]
+        assert len(set(got)) == len(got) and set(got) == near and len(near) >= 85
+
+
+def test_texts_between_steps_are_compressed(spark, data):
+    """The texts are written once as compressed files, not as an uncompressed checkpoint."""
+    df = overlap.overlaps(spark.read.parquet(f"{data}/examples.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and all(f.endswith(".zstd.parquet") for f in df.inputFiles())
